@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 from . import agreement as ag
+from . import cleaning as cl
+from . import records as rc
 
-QUERIES = {
-    "agreement_by_ship_day": ag.agreement_by_ship_day,
-    "agreement_match_rates": ag.match_rates,
+# name -> (builder, oracle SQL or None)
+_ENTRIES = {
+    "agreement_by_ship_day": (ag.agreement_by_ship_day, ag.AGREEMENT_SQL),
+    "agreement_match_rates": (ag.match_rates, ag.MATCH_RATES_SQL),
+    "party_union": (cl.party_union, cl.PARTY_SQL),
+    "priority_clean_counts": (cl.priority_clean_counts, cl.PRIORITY_SQL),
+    "priority_schema_audit": (cl.priority_schema_audit, cl.PRIORITY_AUDIT_SQL),
+    "events_typed": (cl.events_typed, cl.EVENTS_TYPED_SQL),
+    "events_rejected": (cl.events_rejected, cl.EVENTS_REJECTED_SQL),
+    "calendar_parts": (cl.calendar_parts, cl.CALENDAR_SQL),
+    "customer_missing_flags": (cl.customer_missing_flags, cl.CUSTOMER_FLAGS_SQL),
+    "customer_shape": (cl.customer_shape, cl.CUSTOMER_SHAPE_SQL),
+    "document_dup_masks": (rc.document_dup_masks, rc.DOC_DUP_MASKS_SQL),
+    "document_dup_report": (rc.document_dup_report, rc.DOC_DUP_REPORT_SQL),
+    "document_dedupe": (rc.document_dedupe, rc.DOC_DEDUPE_SQL),
+    "conversation_encounters": (rc.conversation_encounters, rc.CONV_ENCOUNTERS_SQL),
+    "document_attrition": (rc.document_attrition, rc.DOC_ATTRITION_SQL),
+    "document_cohort": (rc.document_cohort, rc.DOC_COHORT_SQL),
+    "document_headline": (rc.document_headline, rc.DOC_HEADLINE_SQL),
+    "document_target_counts": (rc.document_target_counts, rc.DOC_TARGET_COUNTS_SQL),
 }
 
-ORACLE_SQL = {
-    "agreement_by_ship_day": ag.AGREEMENT_SQL,
-    "agreement_match_rates": ag.MATCH_RATES_SQL,
-}
+QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
+ORACLE_SQL = {k: v[1] for k, v in _ENTRIES.items() if v[1] is not None}

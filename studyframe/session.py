@@ -22,7 +22,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in SESSION_DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
