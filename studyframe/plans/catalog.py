@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import agreement as ag
 from . import cleaning as cl
+from . import profiling as pf
 from . import records as rc
 
 # name -> (builder, oracle SQL or None)
@@ -26,6 +27,17 @@ _ENTRIES = {
     "document_cohort": (rc.document_cohort, rc.DOC_COHORT_SQL),
     "document_headline": (rc.document_headline, rc.DOC_HEADLINE_SQL),
     "document_target_counts": (rc.document_target_counts, rc.DOC_TARGET_COUNTS_SQL),
+    "lineitem_numeric_profile": (pf.lineitem_numeric_profile, pf.LINEITEM_NUMERIC_SQL),
+    "events_value_profile": (pf.events_value_profile, pf.EVENTS_VALUE_SQL),
+    "lineitem_modes": (pf.lineitem_modes, pf.LINEITEM_MODES_SQL),
+    "orders_categorical_profile": (pf.orders_categorical_profile, pf.ORDERS_CATEGORICAL_SQL),
+    "part_categorical_profile": (pf.part_categorical_profile, pf.PART_CATEGORICAL_SQL),
+    "lineitem_binary_profile": (pf.lineitem_binary_profile, pf.LINEITEM_BINARY_SQL),
+    "document_effective_unique": (pf.document_effective_unique, pf.DOC_EFFECTIVE_SQL),
+    "lineitem_histogram": (pf.lineitem_histogram, pf.LINEITEM_HISTOGRAM_SQL),
+    "part_value_extremes": (pf.part_value_extremes, pf.PART_EXTREMES_SQL),
+    "lineitem_value_overview": (pf.lineitem_value_overview, pf.LINEITEM_OVERVIEW_SQL),
+    "customer_missingness": (pf.customer_missingness, pf.CUSTOMER_MISSINGNESS_SQL),
 }
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
