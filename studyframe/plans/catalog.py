@@ -6,6 +6,7 @@ from . import agreement as ag
 from . import cleaning as cl
 from . import profiling as pf
 from . import records as rc
+from . import screening as sc
 
 # name -> (builder, oracle SQL or None)
 _ENTRIES = {
@@ -38,6 +39,12 @@ _ENTRIES = {
     "part_value_extremes": (pf.part_value_extremes, pf.PART_EXTREMES_SQL),
     "lineitem_value_overview": (pf.lineitem_value_overview, pf.LINEITEM_OVERVIEW_SQL),
     "customer_missingness": (pf.customer_missingness, pf.CUSTOMER_MISSINGNESS_SQL),
+    "document_predictor_types": (sc.document_predictor_types, sc.PREDICTOR_TYPES_SQL),
+    "document_associations": (sc.document_associations, sc.DOC_ASSOC_SQL),
+    "document_associations_pvalues": (sc.document_associations_pvalues, None),
+    "lineitem_price_associations": (sc.lineitem_price_associations, sc.LINEITEM_PRICE_SQL),
+    "document_decisions": (sc.document_decisions, sc.DOC_DECISIONS_SQL),
+    "document_decision_summary": (sc.document_decision_summary, sc.DOC_DECISION_SUMMARY_SQL),
 }
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
