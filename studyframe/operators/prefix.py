@@ -71,3 +71,31 @@ def row_index(df: DataFrame, key: str, tiebreak=(), name: str = "row_id", bucket
     """Consecutive 0-based ids in ``(key, *tiebreak)`` order (C2 row ids)."""
     out = prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), key, ["_one"], tiebreak, buckets)
     return out.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one")
+
+
+def suffix_min(df: DataFrame, key: str, value: str, out: str, tiebreak=(), buckets: int | None = None) -> DataFrame:
+    """``out`` = min of ``value`` over all rows at or after this one in ``(key, *tiebreak)`` order.
+
+    Same range-bucket scheme as ``prefix_sums``: per-range minima (B rows) give
+    each range the minimum of all later ranges; a window runs inside a range.
+    """
+    b = with_range_bucket(df, key, buckets)
+    mins = {r["_rb"]: r["m"] for r in b.groupBy("_rb").agg(F.min(value).alias("m")).collect()}
+    ids = sorted(i for i in mins if i is not None)
+    later = {}
+    run = None
+    for i in reversed(ids):
+        later[i] = run
+        m = mins[i]
+        run = m if run is None else (m if m is not None and m < run else run)
+    w = (Window.partitionBy("_rb").orderBy(F.col(key), *[F.col(t) for t in tiebreak])
+         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    inside = F.min(value).over(w)
+    if ids:
+        arr = F.array(*[F.lit(later[i]).cast("double") for i in ids])
+        pos = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("_rb")).cast("int")
+        nxt = F.element_at(arr, pos)
+        res = F.when(nxt.isNull(), inside).otherwise(F.least(inside, nxt))
+    else:
+        res = inside
+    return b.withColumn(out, res).drop("_rb")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import agreement as ag
 from . import cleaning as cl
+from . import inference as inf
 from . import profiling as pf
 from . import records as rc
 from . import screening as sc
@@ -45,6 +46,11 @@ _ENTRIES = {
     "lineitem_price_associations": (sc.lineitem_price_associations, sc.LINEITEM_PRICE_SQL),
     "document_decisions": (sc.document_decisions, sc.DOC_DECISIONS_SQL),
     "document_decision_summary": (sc.document_decision_summary, sc.DOC_DECISION_SUMMARY_SQL),
+    "events_mann_whitney": (inf.events_mann_whitney, inf.EVENTS_MW_SQL),
+    "document_chi_square": (inf.document_chi_square, inf.DOC_CHI_SQL),
+    "planted_fdr": (inf.planted_fdr, inf.PLANTED_FDR_SQL),
+    "planted_effect_bands": (inf.planted_effect_bands, inf.PLANTED_BANDS_SQL),
+    "document_inferential_screen": (inf.document_inferential_screen, None),
 }
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
