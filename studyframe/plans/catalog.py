@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import agreement as ag
 from . import cleaning as cl
 from . import inference as inf
+from . import modelling as md
 from . import profiling as pf
 from . import records as rc
 from . import screening as sc
@@ -51,6 +52,18 @@ _ENTRIES = {
     "planted_fdr": (inf.planted_fdr, inf.PLANTED_FDR_SQL),
     "planted_effect_bands": (inf.planted_effect_bands, inf.PLANTED_BANDS_SQL),
     "document_inferential_screen": (inf.document_inferential_screen, None),
+    "customer_simple_impute": (md.customer_simple_impute, md.CUSTOMER_IMPUTE_SQL),
+    "document_model_frame": (md.document_model_frame, md.DOC_MODEL_FRAME_SQL),
+    "document_frame_summary": (md.document_frame_summary, md.DOC_FRAME_SUMMARY_SQL),
+    "document_split_counts": (md.document_split_counts, md.DOC_SPLIT_SQL),
+    "document_fold_sizes": (md.document_fold_sizes, md.DOC_FOLDS_SQL),
+    "scored_metrics": (md.scored_metrics, md.SCORED_METRICS_SQL),
+    "scored_roc_points": (md.scored_roc_points, md.SCORED_ROC_SQL),
+    "scored_pr_points": (md.scored_pr_points, md.SCORED_PR_SQL),
+    "scored_confusion": (md.scored_confusion, md.SCORED_CONFUSION_SQL),
+    "scored_calibration": (md.scored_calibration, md.SCORED_CALIBRATION_SQL),
+    "scored_histogram": (md.scored_histogram, md.SCORED_HISTOGRAM_SQL),
+    "scored_threshold_scan": (md.scored_threshold_scan, md.SCORED_SCAN_SQL),
 }
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}

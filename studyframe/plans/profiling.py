@@ -18,7 +18,8 @@ def sig(c, digits: int = SIG):
     two engines that differ only in summation order agree (no decimal ties)."""
     x = F.col(c) if isinstance(c, str) else c
     p = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * p, 0) / p)
+    finite = ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return F.when(x == 0, F.lit(0.0)).when(finite, F.round(x * p, 0) / p).otherwise(x)
 
 
 def rounded(df: DataFrame, digits: int = SIG) -> DataFrame:
@@ -28,7 +29,8 @@ def rounded(df: DataFrame, digits: int = SIG) -> DataFrame:
 
 def sig_sql(e: str, digits: int = SIG) -> str:
     p = f"pow(10.0, {digits - 1} - floor(log10(abs({e}))))"
-    return f"CASE WHEN ({e}) = 0 THEN 0.0::DOUBLE ELSE round(({e}) * {p}) / {p} END"
+    return (f"CASE WHEN ({e}) = 0 THEN 0.0::DOUBLE WHEN isinf(({e})::DOUBLE) OR isnan(({e})::DOUBLE) THEN ({e})::DOUBLE "
+            f"ELSE round(({e}) * {p}) / {p} END")
 
 
 def sig_wrap(sql: str, cols) -> str:
