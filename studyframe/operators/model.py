@@ -19,7 +19,7 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,27 +206,14 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
     train = train.checkpoint(eager=True)  # reused by every fit: cut lineage once
     n_train = train.count()
     pre = preprocessor(train, list(predictors))
-    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                              metricName="areaUnderROC", numBins=0)
-    comparison, fitted = [], {}
-    for name, (clf, grid) in candidates(n_train, random_state).items():
-        if name not in models:
-            continue
-        pipe = Pipeline(stages=pre + [clf])
-        grid = [{**pm} for pm in grid]
-        # pipeline params: the grid refers to the classifier inside the pipeline
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator, foldCol="fold",
-                            parallelism=parallelism, seed=random_state, collectSubModels=False)
-        cvm = cv.fit(train)
-        best = max(range(len(grid)), key=lambda i: (cvm.avgMetrics[i], -i))
-        std = cvm.stdMetrics[best] if cvm.stdMetrics else float("nan")
-        comparison.append((name, float(cvm.avgMetrics[best]), float(std), _params_text(grid[best])))
-        fitted[name] = (cvm.bestModel, pipe, grid[best])
-    comparison.sort(key=lambda r: -r[1])
+    comparison, fitted = grid_search(train, pre, candidates(n_train, random_state), cv_folds, parallelism,
+                                     [m for m in models])
     comp_df = spark.createDataFrame(comparison, "model_name string, best_cv_auc_mean double, "
                                                 "best_cv_auc_std double, best_params string")
     best_name = comparison[0][0]
-    best_model, best_pipe, best_params = fitted[best_name]
+    best_clf = fitted[best_name]
+    best_pipe = Pipeline(stages=pre + [best_clf])
+    best_model = best_pipe.fit(train)
     warning = None
     if len(comparison) >= 2 and comparison[0][1] - comparison[1][1] < comparison[0][2] / 2:
         warning = f"top-2 AUC gap below half the winner's CV sd: {best_name} over {comparison[1][0]} is not conclusive"
@@ -234,7 +221,7 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
     if threshold_strategy == "fixed":
         threshold = 0.5
     else:
-        oof = out_of_fold(train, best_pipe, best_params, cv_folds)
+        oof = out_of_fold(train, best_pipe, {}, cv_folds)
         scan = D.threshold_scan(oof, "label", "p")
         threshold = (D.youden_threshold(scan) if threshold_strategy == "youden"
                      else D.min_sensitivity_threshold(scan, min_sensitivity_target))
@@ -255,6 +242,54 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
             "scored_test": scored, "model": best_model, "warning": warning}
 
 
+def grid_search(train: DataFrame, pre, cands: dict, k: int, parallelism: int, models):
+    """Stratified k-fold grid search on ROC-AUC.
+
+    Preprocessing has no searched parameters, so it is fitted once per fold and
+    the fold's feature vectors are cached; every grid point's classifier is then
+    fitted on them (JVM fits run concurrently) and scored on the held-out fold
+    with the exact AUC.  Returns comparison rows (best mean, sd, params) sorted by
+    mean AUC and the best classifier per family, unfitted.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
+                                              metricName="areaUnderROC", numBins=0)
+    jobs = [(name, i, clf, pm) for name, (clf, grid) in cands.items() if name in models
+            for i, pm in enumerate(grid)]
+    scores = {(name, i): [] for name, i, _, _ in jobs}
+    keep = ["features", "label", "w_one", "w_balanced"]
+    for f in range(k):
+        prep = Pipeline(stages=list(pre)).fit(train.where(F.col("fold") != f))
+        tr = prep.transform(train.where(F.col("fold") != f)).select(*keep).persist()
+        va = prep.transform(train.where(F.col("fold") == f)).select(*keep).persist()
+        try:
+            def one(job):
+                name, i, clf, pm = job
+                m = clf.copy(pm).fit(tr)
+                return name, i, evaluator.evaluate(m.transform(va))
+            with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+                for name, i, auc in pool.map(one, jobs):
+                    scores[(name, i)].append(auc)
+        finally:
+            tr.unpersist()
+            va.unpersist()
+    rows, best = [], {}
+    for name, (clf, grid) in cands.items():
+        if name not in models:
+            continue
+        stats = []
+        for i, pm in enumerate(grid):
+            v = scores[(name, i)]
+            mean = sum(v) / len(v)
+            sd = (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5
+            stats.append((mean, -i, sd, pm))
+        mean, neg_i, sd, pm = max(stats, key=lambda t: (t[0], t[1]))
+        rows.append((name, float(mean), float(sd), _params_text(pm)))
+        best[name] = clf.copy(pm)
+    rows.sort(key=lambda r: -r[1])
+    return rows, best
+
+
 def out_of_fold(train: DataFrame, pipe: Pipeline, params: dict, k: int) -> DataFrame:
     """K refits, each scoring its held-out fold; union of the scored folds."""
     parts = None

@@ -64,6 +64,7 @@ _ENTRIES = {
     "scored_calibration": (md.scored_calibration, md.SCORED_CALIBRATION_SQL),
     "scored_histogram": (md.scored_histogram, md.SCORED_HISTOGRAM_SQL),
     "scored_threshold_scan": (md.scored_threshold_scan, md.SCORED_SCAN_SQL),
+    "document_logistic_run": (md.document_logistic_run, None),
 }
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
