@@ -27,7 +27,7 @@ def with_range_bucket(df: DataFrame, key: str, buckets: int | None = None, out:
     if b == 1:
         return df.withColumn(out, F.lit(0))
     probs = [i / b for i in range(1, b)]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 10000).alias("q")).first()
+    row = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 1000).alias("q")).first()
     cuts = sorted({float(v) for v in (row["q"] or []) if v is not None})
     if not cuts:
         return df.withColumn(out, F.lit(0))

@@ -65,26 +65,37 @@ def value_counts(df: DataFrame, cols, value_type: str = "string") -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def column_catalog(df: DataFrame, cols=None) -> list[dict]:
-    """Per column: dtype, metadata, rows, non-null and distinct counts (one job).
+SMALL_CARDINALITY = 1000
+
 
-    Returns a small list (one dict per column) for driver-side routing (A3, A4,
-    A9, A16, R1).
+def column_catalog(df: DataFrame, cols=None) -> list[dict]:
+    """Per column: dtype, metadata, rows, non-null and distinct counts.
+
+    Routing only needs to tell one, two or more levels apart, so distinct counts
+    are exact where they could be small: one pass gives row / non-null counts and
+    an approximate distinct count, and only columns estimated at no more than
+    ``SMALL_CARDINALITY`` levels get an exact value count.  Larger estimates are
+    reported as is (``n_unique_exact`` False); no routing rule depends on them.
+    Returns one small dict per column.
     """
     cols = list(cols or df.columns)
     if not cols:
         return []
-    vc = value_counts(df, cols)
-    per = {r["column"]: r for r in vc.groupBy("column").agg(
-        F.sum("n").alias("n_nonnull"), F.count(F.lit(1)).alias("n_unique")).collect()}
-    n_rows = df.count()
+    first = df.agg(F.count(F.lit(1)).alias("__rows"),
+                   *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if first[f"d{i}"] <= SMALL_CARDINALITY]
+    exact = {}
+    if small:
+        exact = {r["column"]: int(r["u"]) for r in
+                 value_counts(df, small).groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect()}
     out = []
-    for c in cols:
+    for i, c in enumerate(cols):
         f = df.schema[c]
-        r = per.get(c)
         out.append({"column": c, "dtype": f.dataType.simpleString(), "metadata": dict(f.metadata or {}),
-                    "n_rows": n_rows, "n_nonnull": int(r["n_nonnull"]) if r else 0,
-                    "n_unique": int(r["n_unique"]) if r else 0})
+                    "n_rows": int(first["__rows"]), "n_nonnull": int(first[f"n{i}"]),
+                    "n_unique": exact.get(c, 0) if c in small else int(first[f"d{i}"]),
+                    "n_unique_exact": c in small})
     return out
 
 
@@ -138,7 +149,7 @@ def numeric_value_table(df: DataFrame, cols, buckets: int | None = None, cuts=No
     b = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     if cuts is None:
         probs = [i / b for i in range(1, b)] if b > 1 else [0.5]
-        row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, 10000).alias(f"q{i}")
+        row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, 1000).alias(f"q{i}")
                        for i, c in enumerate(cols)]).first()
         cuts = {c: row[f"q{i}"] for i, c in enumerate(cols)}
     base = df.select(*[(F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(cols)])
@@ -234,7 +245,7 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                  F.avg(x).alias(f"av{i}"), F.stddev_pop(x).alias(f"sd{i}"), F.skewness(x).alias(f"sk{i}"),
-                 F.kurtosis(x).alias(f"ku{i}"), F.percentile_approx(x, probs, 10000).alias(f"q{i}")]
+                 F.kurtosis(x).alias(f"ku{i}"), F.percentile_approx(x, probs, 1000).alias(f"q{i}")]
     m = df.agg(*aggs).first()
     vt = numeric_value_table(df, cols, b, cuts={c: m[f"q{i}"] for i, c in enumerate(cols)}).persist()
     try:
