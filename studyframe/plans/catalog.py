@@ -8,6 +8,7 @@ from . import inference as inf
 from . import modelling as md
 from . import profiling as pf
 from . import records as rc
+from . import reporting as rp
 from . import screening as sc
 
 # name -> (builder, oracle SQL or None)
@@ -65,6 +66,9 @@ _ENTRIES = {
     "scored_histogram": (md.scored_histogram, md.SCORED_HISTOGRAM_SQL),
     "scored_threshold_scan": (md.scored_threshold_scan, md.SCORED_SCAN_SQL),
     "document_logistic_run": (md.document_logistic_run, None),
+    "document_report_bundle": (rp.document_report_bundle, None),
+    "events_janitor": (rp.events_janitor, rp.EVENTS_JANITOR_SQL),
+    "scored_metrics_long": (rp.scored_metrics_long, None),
 }
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
