@@ -180,7 +180,7 @@ def metrics_long(metrics: DataFrame) -> DataFrame:
 
 
 def auc_bootstrap_ci(scored: DataFrame, n_boot: int = 1000, ci_level: float = 0.95, seed: int = 42,
-                     y: str = "y", p: str = "p"):
+                     y: str = "y", p: str = "p", rank_bins: int = 2000):
     """BCa interval of the AUC; percentile interval when BCa is undefined.
 
     Replicates resample the (score, class) count table with Poisson weights.
@@ -192,14 +192,16 @@ def auc_bootstrap_ci(scored: DataFrame, n_boot: int = 1000, ci_level: float = 0.
     from . import bootstrap
 
     vt = infer.class_value_table(scored.select(F.col(p).alias("p"), F.col(y).alias("_y")), "_y", ["p"])
-    mw = infer.mann_whitney(vt).first()
+    ranked = infer.ranked_values(vt).persist()
+    mw = infer.mann_whitney(None, ranked).first()
     n1, n0 = int(mw["n1"]), int(mw["n0"])
     if n1 < 2 or n0 < 2:
+        ranked.unpersist()
         return None, None
     auc = mw["u1"] / (n1 * n0)
-    counts = vt.groupBy("column", "value").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")) \
-        .select("column", F.col("value").alias("v"), "c1", "c0")
-    reps = bootstrap.rank_biserial_replicates(counts, n_boot, seed).withColumn("r", (F.col("r") + 1.0) / 2.0)
+    n_distinct = ranked.count()
+    bins = infer.bootstrap_bins(ranked, {"p": (n1 + n0, n_distinct)}, rank_bins)
+    reps = bootstrap.rank_biserial_replicates(bins, n_boot, seed).withColumn("r", (F.col("r") + 1.0) / 2.0)
     vals = sorted(r["r"] for r in reps.collect())  # n_boot values
     if len(vals) < max(10, int(0.1 * n_boot)):
         return None, None
@@ -212,7 +214,9 @@ def auc_bootstrap_ci(scored: DataFrame, n_boot: int = 1000, ci_level: float = 0.
         return vals[lo] + (vals[hi] - vals[lo]) * (h - lo)
 
     # jackknife: placements per distinct score
-    cum = prefix.prefix_sums(counts.select("v", "c1", "c0"), "v", ["c1", "c0"])
+    counts = vt.groupBy(F.col("value").alias("v")).agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    cum = prefix.prefix_sums(counts, "v", ["c1", "c0"])
+    ranked.unpersist()
     below0 = F.col("cum_c0") - F.col("c0")
     above1 = F.lit(n1) - F.col("cum_c1")
     place_pos = below0 + 0.5 * F.col("c0")      # for each positive at this score
