@@ -222,7 +222,17 @@ def _interp(os_, c, n, q):
     return a + (b - a) * (h - lo)
 
 
-def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float = 0.1) -> DataFrame:
+def numeric_candidates(df: DataFrame, exclude=()) -> list[str]:
+    """A4 by schema alone: numeric, not a declared categorical, not bookkeeping.
+    ``numeric_profile(..., skip_two_level=True)`` then applies the distinct ≠ 2
+    rule from its own exact distinct counts, with no extra pass."""
+    return [f.name for f in df.schema.fields
+            if _is_numeric(f.dataType) and (f.metadata or {}).get("kind") != "categorical"
+            and f.name not in BOOKKEEPING and f.name not in exclude]
+
+
+def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float = 0.1,
+                    skip_two_level: bool = False) -> DataFrame:
     """One row per numeric column.
 
     Columns: column, n, n_unique, missing_pct, max, min, median, mean, mode,
@@ -312,6 +322,8 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
         cv = sd / mean if (sd is not None and mean not in (None, 0)) else None
         iqr = pct[0.75] - pct[0.25] if pct[0.75] is not None and pct[0.25] is not None else None
         n_unique = sum(t[2] for t in totals.get(c, []))
+        if skip_two_level and n_unique == 2:
+            continue
         out.append((c, n, n_unique, miss, m[f"mx{i}"], m[f"mn{i}"], pct[0.5], mean,
                     s["mode"] if s else None, int(s["n_modes"]) if s else None, sd, cv, tm, iqr,
                     pct[0.05], pct[0.95], skew, kurt))
@@ -400,7 +412,19 @@ def _ranked_levels(vc: DataFrame, k: int, rarest: bool = False, rank_col: str =
     return ranking.top_k(vc, "column", order, k, salt_cols="value", rank_col=rank_col)
 
 
-def categorical_profile(df: DataFrame, cols, levels: dict | None = None) -> DataFrame:
+def categorical_candidates(df: DataFrame, exclude=()) -> list[str]:
+    """A9 by schema alone: declared categoricals and plain strings, not flags or
+    bookkeeping; the > 2 levels rule is ``categorical_profile(min_levels=3)``."""
+    out = []
+    for f in df.schema.fields:
+        kind = (f.metadata or {}).get("kind")
+        if ((kind == "categorical" or (kind is None and isinstance(f.dataType, T.StringType)))
+                and not f.name.endswith("_missing") and f.name not in BOOKKEEPING and f.name not in exclude):
+            out.append(f.name)
+    return out
+
+
+def categorical_profile(df: DataFrame, cols, levels: dict | None = None, min_levels: int = 1) -> DataFrame:
     """One row per categorical column.
 
     Levels are observed values (declared-but-unseen levels are not counted);
@@ -437,6 +461,7 @@ def categorical_profile(df: DataFrame, cols, levels: dict | None = None) -> Data
         j = j.withColumn("_cum", F.sum("n").over(w)).withColumn("_tot", F.sum("n").over(Window.partitionBy("column")))
         med = j.where(F.col("_cum") >= F.col("_tot") * 0.5).groupBy("column").agg(
             F.min_by("value", "lrank").alias("median_category"))
+    st = st.where(F.col("n_levels") >= min_levels)
     out = st.join(top, "column", "left").join(low, "column", "left")
     out = out.join(med, "column", "left") if med is not None else out.withColumn("median_category", F.lit(None).cast("string"))
     N = F.col("n_total").cast("double")

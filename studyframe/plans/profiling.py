@@ -55,9 +55,8 @@ LINEITEM_NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def lineitem_numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    cols = profile.numeric_columns(li, profile.column_catalog(li, list(LINEITEM_NUMERIC) + ["l_linestatus"]))
-    return rounded(profile.numeric_profile(li, cols))
+    li = table(spark, sf_dir, "lineitem").select(*LINEITEM_NUMERIC, "l_linestatus")
+    return rounded(profile.numeric_profile(li, profile.numeric_candidates(li), skip_two_level=True))
 
 
 def events_value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +120,8 @@ def orders_categorical_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", "o_custkey")
     specs = (ColumnSpec(name="o_orderpriority", kind="categorical", ordered=PRIORITY_LEVELS),
              ColumnSpec(name="o_orderstatus", kind="categorical"))
-    typed = clean.apply_schema(o, specs)
-    cols = profile.categorical_columns(typed, profile.column_catalog(typed, ["o_orderpriority", "o_orderstatus"]))
-    return rounded(profile.categorical_profile(typed, cols))
+    typed = clean.apply_schema(o, specs).drop("o_custkey")
+    return rounded(profile.categorical_profile(typed, profile.categorical_candidates(typed), min_levels=3))
 
 
 def part_categorical_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +177,8 @@ def _lines_binary(spark, sf_dir):
 
 def lineitem_binary_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _lines_binary(spark, sf_dir)
-    cols = profile.binary_columns(li, profile.column_catalog(li))
-    return rounded(profile.binary_profile(li, cols))
+    # Any column with exactly two observed levels; the profile keeps only those
+    return rounded(profile.binary_profile(li, li.columns))
 
 
 def binary_profile_sql(col: str, expr: str, is_flag: bool = False) -> str:
