@@ -66,6 +66,10 @@ _ENTRIES = {
     "scored_histogram": (md.scored_histogram, md.SCORED_HISTOGRAM_SQL),
     "scored_threshold_scan": (md.scored_threshold_scan, md.SCORED_SCAN_SQL),
     "document_logistic_run": (md.document_logistic_run, None),
+    "document_model_comparison": (md.document_model_comparison, None),
+    "document_top_features": (md.document_top_features, None),
+    "customer_iterative_impute": (md.customer_iterative_impute, None),
+    "document_approved_predictors": (sc.document_approved_predictors, sc.APPROVED_SQL),
     "document_report_bundle": (rp.document_report_bundle, None),
     "events_janitor": (rp.events_janitor, rp.EVENTS_JANITOR_SQL),
     "scored_metrics_long": (rp.scored_metrics_long, None),

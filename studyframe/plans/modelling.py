@@ -30,6 +30,16 @@ FROM c, m, s
 """, ["c_acctbal"])
 
 
+def customer_iterative_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: chained random-forest imputation (50 trees, up to 10 rounds) of two
+    numeric customer columns with planted gaps; integer column floored."""
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(F.col("c_custkey") % 11 != 0, F.col("c_nationkey")).alias("c_nationkey"),
+        F.length("c_name").cast("double").alias("name_len"))
+    return impute.iterative_impute(c, ["c_acctbal", "c_nationkey", "name_len"])
+
+
 def _decisions(spark, sf_dir):
     f = study_frame(spark, sf_dir)
     kinds = govern.classify_predictors(f, PREDICTORS, CONTINUOUS)
@@ -244,12 +254,33 @@ def _model_inputs(spark, sf_dir):
     return frame, preds
 
 
+_RUNS: dict = {}
+
+
+def _logistic_run(spark, sf_dir):
+    """One logistic-family run per session and table folder; its small result
+    tables (built from driver-side rows or checkpointed) serve several queries."""
+    key = (id(spark), sf_dir)
+    if key not in _RUNS:
+        frame, preds = _model_inputs(spark, sf_dir)
+        _RUNS[key] = model.run(frame, "target", preds, positive_class=1, key_cols=("doc_id",),
+                               models=("logistic_regression",))
+    return _RUNS[key]
+
+
 def document_logistic_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1–L4, L7–L11, L14–L20 for the logistic family (its full grid): the final
     metrics row (rows-only check).  ``model.run`` with all three families is the
     complete search; it is exercised outside the driver check because boosting
     with 100–200 rounds per fit is dominated by per-job overhead on tiny data."""
-    frame, preds = _model_inputs(spark, sf_dir)
-    res = model.run(frame, "target", preds, positive_class=1, key_cols=("doc_id",),
-                    models=("logistic_regression",))
-    return res["metrics"]
+    return _logistic_run(spark, sf_dir)["metrics"]
+
+
+def document_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best CV AUC mean / sd / params per family, ordered by mean AUC."""
+    return _logistic_run(spark, sf_dir)["comparison"].orderBy(F.col("best_cv_auc_mean").desc())
+
+
+def document_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 largest importances (|coefficient|) by encoded feature."""
+    return D.top_features(_logistic_run(spark, sf_dir)["importance"], 15)

@@ -244,3 +244,32 @@ def _summary_sql():
 
 
 DOC_DECISION_SUMMARY_SQL = _summary_sql()
+
+
+def document_approved_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved predictors with their type, test route and the
+    kind pair they form with the target."""
+    from ..operators import infer
+    f = study_frame(spark, sf_dir)
+    kinds = govern.classify_predictors(f, PREDICTORS, CONTINUOUS)
+    dec = govern.feature_decisions(f, "quality", kinds, MISSINGNESS, LEAKAGE, REDUNDANCY)
+    target = govern.resolve_target(dec, f.columns)
+    approved = govern.approved_predictors(dec, f.columns)
+    rows = [(p, kinds[p], infer.predictor_kind(kinds[p]), target) for p in approved]
+    t = spark.createDataFrame(rows, "predictor string, inferred_type string, test_route string, target string")
+    return t.withColumn("pair_type", govern.pair_type(F.col("inferred_type"), F.lit("binary")))
+
+
+APPROVED_SQL = """
+SELECT * FROM (VALUES
+  ('n_chars', 'continuous', 'numeric', 'quality', 'numberxbinary'),
+  ('lang', 'categorical_nominal', 'categorical', 'quality', 'categoryxbinary'),
+  ('source', 'categorical_nominal', 'categorical', 'quality', 'categoryxbinary'),
+  ('n_chars_sparse', 'continuous', 'numeric', 'quality', 'numberxbinary')
+) v(predictor, inferred_type, test_route, target, pair_type)
+UNION ALL
+SELECT 'doc_bucket', CASE WHEN k = 2 THEN 'binary' ELSE 'discrete' END, 'numeric', 'quality',
+       CASE WHEN k = 2 THEN 'binaryxbinary' ELSE 'numberxbinary' END
+FROM (SELECT count(*) AS k FROM (SELECT doc_id % 7 AS v, count(*) AS n, sum(count(*)) OVER () AS tot
+      FROM documents GROUP BY 1) WHERE n >= tot * 0.01)
+"""
