@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = 2048
+_CELL_BUDGET = 4_000_000  # float64 cells per draw chunk (~32 MB)
 
 
 def _seed(seed: int, name: str, salt: int) -> np.random.Generator:
@@ -112,17 +113,21 @@ def cramers_v_replicates(cells: DataFrame, n_boot: int, seed: int) -> DataFrame:
         for y, x, n in zip(pdf["y"], pdf["x"], pdf["n"]):
             m[ys[y], xs[x]] = n
         rng = _seed(seed, name, int(m.sum()))
-        draws = rng.poisson(m[:, :, None], size=m.shape + (B,)).astype("float64")
+        # replicates are drawn in chunks so memory stays near _CELL_BUDGET cells
+        chunk = max(1, min(B, _CELL_BUDGET // max(1, m.size)))
         out = []
-        for b in range(B):
-            t = draws[:, :, b]
-            t = t[t.sum(axis=1) > 0][:, t.sum(axis=0) > 0]
-            if t.shape[0] < 2 or t.shape[1] < 2:
-                continue
-            n = t.sum()
-            e = np.outer(t.sum(axis=1), t.sum(axis=0)) / n
-            chi2 = float(((t - e) ** 2 / e).sum())
-            out.append((b, float(np.sqrt(chi2 / (n * (min(t.shape) - 1))))))
+        for start in range(0, B, chunk):
+            k = min(chunk, B - start)
+            draws = rng.poisson(m[:, :, None], size=m.shape + (k,)).astype("float64")
+            for j in range(k):
+                t = draws[:, :, j]
+                t = t[t.sum(axis=1) > 0][:, t.sum(axis=0) > 0]
+                if t.shape[0] < 2 or t.shape[1] < 2:
+                    continue
+                n = t.sum()
+                e = np.outer(t.sum(axis=1), t.sum(axis=0)) / n
+                chi2 = float(((t - e) ** 2 / e).sum())
+                out.append((start + j, float(np.sqrt(chi2 / (n * (min(t.shape) - 1))))))
         return pd.DataFrame({"column": name, "rep": np.array([o[0] for o in out], dtype="int32"),
                              "r": np.array([o[1] for o in out], dtype="float64")})
 

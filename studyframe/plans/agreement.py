@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import clean, cohort
 from ..spec import ColumnSpec, TaskSpec
 from .tables import table
@@ -38,7 +39,13 @@ def derived_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agreement_by_ship_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = derived_lines(spark, sf_dir)
+    # Only evaluable rows enter the cohort, and a row is evaluable only when the
+    # order's status is in the family: applying that before the join lets the
+    # predicate reach the orders scan and shrinks the join input.
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus", "l_shipdate")
+    od = (table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+          .where(X.any_prefix("o_orderstatus", X.normalise_prefixes(AGREEMENT_SPECS[0].match_by))))
+    d = clean.apply_derived(li.join(od, li.l_orderkey == od.o_orderkey), AGREEMENT_SPECS)
     c = cohort.attach_target(cohort.flag(d, AGREEMENT_TASK), AGREEMENT_TASK).where(F.col(cohort.INCLUDED))
     return c.groupBy(
         "ship_dow", "ship_workday", F.floor(F.col("ship_delay_days") / 7).cast("long").alias("delay_weeks")
