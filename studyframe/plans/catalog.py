@@ -75,5 +75,33 @@ _ENTRIES = {
     "scored_metrics_long": (rp.scored_metrics_long, None),
 }
 
+# DuckDB widens count_if / sums of counts to HUGEINT and returns BIGINT calendar
+# parts; the oracle columns are cast to the widths the Spark queries declare.
+_B, _I = "BIGINT", "INTEGER"
+_CASTS = {
+    "agreement_by_ship_day": {"n_match": _B},
+    "calendar_parts": {"ts_hour": _I, "ts_year": _I},
+    "customer_shape": {"null_cells": _B},
+    "document_headline": {"n_positive": _B, "n_negative": _B},
+    "orders_categorical_profile": {"n": _B},
+    "part_categorical_profile": {"n": _B},
+    "lineitem_binary_profile": {"n": _B},
+    "document_effective_unique": {"effective_unique": _B},
+    "part_value_extremes": {"rank": _I},
+    "customer_missingness": {"n_missing": _B},
+    "document_associations": {"n_used": _B, "analysis_excluded_n": _B, "predictor_missing_n": _B},
+    "events_mann_whitney": {"n1": _B, "n0": _B},
+    "document_chi_square": {"n": _B},
+    "scored_metrics": {"tp": _B, "fp": _B, "tn": _B, "fn": _B},
+    "scored_threshold_scan": {"tp": _B, "fp": _B, "tn": _B, "fn": _B},
+    "events_janitor": {"ts_hour": _I},
+}
+
+
+def _cast(sql: str, casts: dict) -> str:
+    rep = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in casts.items())
+    return f"SELECT * REPLACE ({rep}) FROM ({sql}) _t"
+
+
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
-ORACLE_SQL = {k: v[1] for k, v in _ENTRIES.items() if v[1] is not None}
+ORACLE_SQL = {k: (_cast(v[1], _CASTS[k]) if k in _CASTS else v[1]) for k, v in _ENTRIES.items() if v[1] is not None}
