@@ -90,7 +90,7 @@ _CASTS = {
     "part_value_extremes": {"rank": _I},
     "customer_missingness": {"n_missing": _B},
     "document_associations": {"n_used": _B, "analysis_excluded_n": _B, "predictor_missing_n": _B},
-    "events_mann_whitney": {"n1": _B, "n0": _B},
+    "events_mann_whitney": {"n1": _B, "n0": _B, "n_values": _B},
     "document_chi_square": {"n": _B},
     "scored_metrics": {"tp": _B, "fp": _B, "tn": _B, "fn": _B},
     "scored_threshold_scan": {"tp": _B, "fp": _B, "tn": _B, "fn": _B},

@@ -28,7 +28,8 @@ r AS (SELECT x, y, rank() OVER (ORDER BY x) AS rmin, count(*) OVER (PARTITION BY
 s AS (SELECT sum(CASE WHEN y = 1 THEN rmin + (t - 1) / 2.0 END) AS r1, count_if(y = 1) AS n1, count_if(y = 0) AS n0 FROM r),
 tt AS (SELECT CAST(sum(CAST(t AS DOUBLE) * t * t - t) AS DOUBLE) AS ties FROM (SELECT count(*) AS t FROM e GROUP BY x))
 SELECT 'value' AS "column", n1, n0, ties, r1 - n1 * (n1 + 1) / 2.0 AS u1,
-       2.0 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0) - 1.0 AS rank_biserial
+       2.0 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0) - 1.0 AS rank_biserial,
+       (SELECT count(DISTINCT x) FROM e) AS n_values
 FROM s, tt
 """, ["ties", "u1", "rank_biserial"])
 
