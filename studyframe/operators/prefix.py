@@ -15,10 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def default_buckets(spark) -> int:
+    """Range buckets are window tasks: two per core of the cluster."""
+    return max(8, 2 * spark.sparkContext.defaultParallelism)
+
+
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return max(1, int(buckets))
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    return default_buckets(df.sparkSession)
 
 
 def with_range_bucket(df: DataFrame, key: str, buckets: int | None = None, out: str = "_rb") -> DataFrame:

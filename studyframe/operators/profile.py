@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from . import ranking
+from .prefix import default_buckets
 
 BOOKKEEPING = ("included_in_cohort", "row_id", "cohort_exclusion_reason", "target")
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -146,7 +147,7 @@ def _splits(cuts):
 
 def numeric_value_table(df: DataFrame, cols, buckets: int | None = None, cuts=None) -> DataFrame:
     """``(column, bucket, value, n)`` with ``bucket`` monotone in ``value`` per column."""
-    b = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    b = buckets or default_buckets(df.sparkSession)
     if cuts is None:
         probs = [i / b for i in range(1, b)] if b > 1 else [0.5]
         row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, 1000).alias(f"q{i}")
@@ -248,7 +249,7 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
               "iqrange double, p_5th double, p_95th double, skewness double, kurtosis double")
     if not cols:
         return spark.createDataFrame([], schema)
-    b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    b = buckets or default_buckets(spark)
     probs = [i / b for i in range(1, b)] if b > 1 else [0.5]
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
