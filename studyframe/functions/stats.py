@@ -126,7 +126,7 @@ def norm_ppf(p: float) -> float:
 
 
 def fisher_exact_2x2(a: int, b: int, c: int, d: int):
-    """Odds ratio (a·d)/(b·c) and two-sided p: total probability of tables no
+    """Odds ratio (a·d)/(b·c) and two-sided p: total probability of tables no
     more likely than the observed one (relative tolerance 1e-7)."""
     r1, r2, c1 = a + b, c + d, a + c
     n = r1 + r2

@@ -62,7 +62,8 @@ def binary_code(df: DataFrame, target: str):
 
 
 def numeric_summaries(df: DataFrame, target: str, cols, y_num) -> dict:
-    """One aggregate: per numeric predictor n_used, missing, x range over complete pairs, r."""
+    """C9 + T1/T2: one aggregate giving, per numeric predictor, pairwise-complete
+    n_used, missing count, x range over complete pairs and r."""
     y = F.col(target)
     aggs = [F.count_if(y.isNull()).alias("__ymiss")]
     for i, c in enumerate(cols):

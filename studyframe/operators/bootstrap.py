@@ -135,7 +135,7 @@ def cramers_v_replicates(cells: DataFrame, n_boot: int, seed: int) -> DataFrame:
 
 
 def percentile_ci(reps: DataFrame, n_boot: int, ci_level: float) -> dict:
-    """column → (ci_low, ci_high) from replicate values (linear percentiles), or
+    """Column → (ci_low, ci_high) from replicate values (linear percentiles), or
     (None, None) when fewer than max(10, 10% of n_boot) replicates are valid."""
     a = (1.0 - ci_level) / 2.0
     rows = reps.groupBy("column").agg(

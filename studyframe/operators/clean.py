@@ -137,6 +137,7 @@ def rejected_values(raw: DataFrame, specs) -> DataFrame:
 
 
 def _check_derived_sources(df: DataFrame, spec: ColumnSpec) -> None:
+    """Derivation guards (missing sources, non-datetime sources for durations and calendar parts)."""
     missing = [c for c in spec.derive_from if c not in df.columns]
     if missing:
         raise KeyError(f"{spec.name}: missing source columns {missing}")

@@ -43,7 +43,7 @@ def attrition(flagged: DataFrame) -> DataFrame:
 
 def build(df: DataFrame, task: TaskSpec, all_tasks=(), order_key: str | None = None,
           tiebreak=(), row_ids: bool = True):
-    """Returns ``(cohort, attrition, metadata)``.
+    """Returns ``(cohort, attrition, metadata)``.
 
     ``row_id`` is a consecutive id in ``order_key`` order (G1, no single-task
     window).  After the filter, every task's own target column, the flag and

@@ -152,7 +152,7 @@ def _CastDouble(cols, outs):
 # ----------------------------------------------------------------- L4–L6 candidates
 
 def candidates(n_train: int, seed: int = 42):
-    """Model name → (classifier, param grid).  C maps to regParam = 1/(C·n)."""
+    """Model name → (classifier, param grid).  C maps to regParam = 1/(C·n)."""
     lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=3000, probabilityCol="probability")
     lr_grid = (ParamGridBuilder()
                .addGrid(lr.regParam, [1.0 / (c * max(n_train, 1)) for c in (0.1, 1.0, 10.0)])
@@ -183,8 +183,9 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
         cv_folds: int = 5, n_boot: int = 1000, ci_level: float = 0.95, threshold_strategy: str = "youden",
         min_sensitivity_target: float = 0.8, random_state: int = 42, parallelism: int = 4,
         models=("logistic_regression", "random_forest", "gradient_boosting")) -> dict:
-    """Split → grid search per model family → pick best mean AUC → threshold
-    from out-of-fold probabilities → held-out metrics.  Returns DataFrames:
+    """L20 (L13 fixed 0.5, L11/L12 scanned thresholds): split → grid search per
+    model family → pick best mean AUC → threshold from out-of-fold probabilities
+    → held-out metrics.  Returns DataFrames:
     comparison, metrics, importance, scored_test, plus the fitted model."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must be between 0 and 1")

@@ -224,7 +224,7 @@ def _interp(os_, c, n, q):
 
 
 def numeric_candidates(df: DataFrame, exclude=()) -> list[str]:
-    """A4 by schema alone: numeric, not a declared categorical, not bookkeeping.
+    """A4 / C8 by schema alone: numeric, not a declared categorical, not bookkeeping, not excluded.
     ``numeric_profile(..., skip_two_level=True)`` then applies the distinct ≠ 2
     rule from its own exact distinct counts, with no extra pass."""
     return [f.name for f in df.schema.fields
@@ -531,8 +531,8 @@ def effective_unique(df: DataFrame, cols, min_freq: float = 0.01) -> DataFrame:
 
 
 def value_overview(df: DataFrame, cols=None) -> DataFrame:
-    """A2 (numbers): per column, null count, distinct count and, for numeric
-    columns, min / max / mean / sample sd."""
+    """A2 (numbers), D10 (post-derive summary): per column, null count, distinct
+    count and, for numeric columns, min / max / mean / sample sd."""
     cols = list(cols or df.columns)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):

@@ -64,17 +64,6 @@ FROM (
 """
 
 
-def party_header_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3 on in-memory headers: missing / extra names against the first frame."""
-    frames = _raw_parties(spark, sf_dir)
-    base = frames[0].columns
-    rows = [(i, f"part-{i}", f.columns) for i, f in enumerate(frames)]
-    df = spark.createDataFrame(rows, "file_index int, file string, header array<string>")
-    ref = F.array(*[F.lit(c) for c in base])
-    return df.select("file_index", F.size(F.array_except(ref, "header")).alias("n_missing"),
-                     F.size(F.array_except("header", ref)).alias("n_extra"))
-
-
 # ----------------------------------------------------------------- P5–P7, P11
 
 PRIORITY_SPECS = (
@@ -275,3 +264,23 @@ SELECT count(*) AS n_rows, 5 AS n_cols,
        round((count_if(c_custkey % 7 = 0) + count_if(c_mktsegment = 'MACHINERY')) * 100.0 / (count(*) * 5), 2) AS null_pct
 FROM customer
 """
+
+
+def party_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1–S5, U1, U3, P1–P4 on files: customer and supplier are written by Spark as
+    CSV (their own drifting headers, several part files each) under the shared
+    scratch folder, then discovered, header-checked and merged back by name."""
+    import uuid
+
+    from ..session import shared_path
+    root = shared_path(spark, f"csv-{uuid.uuid4().hex}")
+    raw = _raw_parties(spark, sf_dir)
+    for i, f in enumerate(raw):
+        f.write.option("header", True).mode("overwrite").csv(f"{root}/part{i}")
+    paths = ingest.discover(spark, f"{root}/*", pattern="*.csv")
+    diff = ingest.header_diff(spark, paths)
+    if diff.where(F.size("missing") + F.size("extra") > 0).count() == 0:
+        raise ValueError("expected drifting headers")
+    merged = ingest.merge(spark, paths, PARTY_MAP)
+    typed = clean.apply_schema(merged, PARTY_SPECS, PARTY_MAP)
+    return clean.reorder(typed, ["segment", "party_key"]).drop("_src_file", "_src_order")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as D
 from ..operators import govern, impute, model
+from ..session import shared_path
+from ..sources import sinks
 from .cleaning import _customers_with_nulls
 from .profiling import rounded, sig_wrap
 from .screening import CONTINUOUS, LEAKAGE, MISSINGNESS, PREDICTORS, REDUNDANCY, _STUDY_SQL, study_frame
@@ -263,8 +267,11 @@ def _logistic_run(spark, sf_dir):
     key = (id(spark), sf_dir)
     if key not in _RUNS:
         frame, preds = _model_inputs(spark, sf_dir)
-        _RUNS[key] = model.run(frame, "target", preds, positive_class=1, key_cols=("doc_id",),
-                               models=("logistic_regression",))
+        res = model.run(frame, "target", preds, positive_class=1, key_cols=("doc_id",),
+                        models=("logistic_regression",))
+        # Persist the fitted pipeline under the shared folder
+        sinks.save_model(res["model"], shared_path(spark, f"model-{uuid.uuid4().hex}"))
+        _RUNS[key] = res
     return _RUNS[key]
 
 

@@ -255,6 +255,7 @@ def document_approved_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
     dec = govern.feature_decisions(f, "quality", kinds, MISSINGNESS, LEAKAGE, REDUNDANCY)
     target = govern.resolve_target(dec, f.columns)
     approved = govern.approved_predictors(dec, f.columns)
+    f = govern.whitelist(f, target, approved, keep=("doc_id",))  # C10: project to what the screen may use
     rows = [(p, kinds[p], infer.predictor_kind(kinds[p]), target) for p in approved]
     t = spark.createDataFrame(rows, "predictor string, inferred_type string, test_route string, target string")
     return t.withColumn("pair_type", govern.pair_type(F.col("inferred_type"), F.lit("binary")))

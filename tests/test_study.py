@@ -71,3 +71,22 @@ def test_iterative_impute_fills_and_floors(spark):
     out = impute.iterative_impute(df, ["a", "b"], n_trees=5, max_iter=2)
     assert out.where(F.col("a").isNull() | F.col("b").isNull()).count() == 0
     assert dict(out.dtypes)["b"] == "bigint"
+
+
+def test_model_grids_and_one_fit_per_family(spark):
+    cands = model.candidates(100)
+    assert len(cands["logistic_regression"][1]) == 6
+    assert len(cands["random_forest"][1]) == 36
+    assert len(cands["gradient_boosting"][1]) == 8
+    df = _frame(spark).where(F.col("y").isNotNull()).withColumn("label", F.col("y").cast("double"))
+    df = model.balanced_weights(df, "label")
+    from pyspark.ml import Pipeline
+    pre = model.preprocessor(df, ["x", "cat", "flag"])
+    for name, (clf, grid) in cands.items():
+        pm = dict(grid[0])
+        if name == "random_forest":
+            pm = {**pm, clf.numTrees: 5}
+        if name == "gradient_boosting":
+            pm = {**pm, clf.maxIter: 3}
+        m = Pipeline(stages=pre + [clf.copy(pm)]).fit(df)
+        assert m.transform(df).select("probability").count() == df.count()
