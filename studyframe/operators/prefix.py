@@ -1,11 +1,12 @@
 """Global prefix sums and consecutive row ids without a single-partition window (G1).
 
 ``Window.orderBy(x)`` with no partition moves every row into one task.  Here the
-order key is cut into ``B`` ranges at approximate quantiles (B cut points reach the
-driver), each range gets its totals with one ``groupBy`` (B rows reach the
-driver), and a window runs only inside a range, plus that range's offset.
-Everything is a function of the data values, not of physical partition ids, so a
-recomputed task after an executor loss produces identical results.
+order key is cut into ``B`` ranges at approximate quantiles (the B cut points
+reach the driver), each range's totals form a B-row table whose own window
+gives every range the totals of the ranges before it, that table is broadcast
+back, and the row-level window runs only inside a range.  Everything is a
+function of the data values, not of physical partition ids, so a recomputed
+task after an executor loss produces identical results.
 """
 
 from __future__ import annotations
@@ -42,34 +43,31 @@ def with_range_bucket(df: DataFrame, key: str, buckets: int | None = None, out:
     return bz.transform(df.withColumn(tmp, F.col(key).cast("double"))).drop(tmp).withColumn(out, F.col(out).cast("int"))
 
 
+def _bucket_offsets(b: DataFrame, aggs: dict, order_desc: bool = False) -> DataFrame:
+    """Per range bucket, ``aggs`` over the bucket and the same aggregates over all
+    earlier (or later) buckets.  The table has one row per bucket (bounded by
+    the bucket count), so its window is small and it is broadcast back."""
+    tot = b.groupBy("_rb").agg(*[fn(c).alias(c) for c, fn in aggs.items()])
+    order = F.col("_rb").desc() if order_desc else F.col("_rb").asc()
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outs = []
+    for c, fn in aggs.items():
+        outs.append(fn(F.col(c)).over(w).alias(f"_off_{c}"))
+    return tot.select("_rb", *outs)
+
+
 def prefix_sums(df: DataFrame, key: str, sums, tiebreak=(), buckets: int | None = None,
                 prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``sums`` in ``(key, *tiebreak)`` order, over the whole frame."""
     sums = list(sums)
     b = with_range_bucket(df, key, buckets)
-    totals = b.groupBy("_rb").agg(*[F.sum(s).alias(s) for s in sums]).collect()
-    totals = sorted(totals, key=lambda r: (r["_rb"] is None, r["_rb"] if r["_rb"] is not None else 0))
-    offsets = {s: [] for s in sums}
-    run = {s: 0 for s in sums}
-    ids = []
-    for r in totals:
-        ids.append(r["_rb"])
-        for s in sums:
-            offsets[s].append(run[s])
-            run[s] = run[s] + (r[s] or 0)
+    offs = _bucket_offsets(b, {s: F.sum for s in sums})
     w = (Window.partitionBy("_rb").orderBy(F.col(key), *[F.col(t) for t in tiebreak])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = b
-    if ids:
-        pos = F.array_position(F.array(*[F.lit(i) for i in ids if i is not None]), F.col("_rb"))
+    out = b.join(F.broadcast(offs), "_rb", "left")
     for s in sums:
-        if ids:
-            off = F.element_at(F.array(*[F.lit(v) for v in offsets[s][: len([i for i in ids if i is not None])]]),
-                               pos.cast("int"))
-        else:
-            off = F.lit(0)
-        out = out.withColumn(f"{prefix}{s}", F.coalesce(off, F.lit(0)) + F.sum(s).over(w))
-    return out.drop("_rb")
+        out = out.withColumn(f"{prefix}{s}", F.coalesce(F.col(f"_off_{s}"), F.lit(0)) + F.sum(s).over(w))
+    return out.drop("_rb", *[f"_off_{s}" for s in sums])
 
 
 def row_index(df: DataFrame, key: str, tiebreak=(), name: str = "row_id", buckets: int | None = None) -> DataFrame:
@@ -81,26 +79,14 @@ def row_index(df: DataFrame, key: str, tiebreak=(), name: str = "row_id", bucket
 def suffix_min(df: DataFrame, key: str, value: str, out: str, tiebreak=(), buckets: int | None = None) -> DataFrame:
     """``out`` = min of ``value`` over all rows at or after this one in ``(key, *tiebreak)`` order.
 
-    Same range-bucket scheme as ``prefix_sums``: per-range minima (B rows) give
-    each range the minimum of all later ranges; a window runs inside a range.
+    Same range-bucket scheme as ``prefix_sums``: the minimum over all later
+    buckets comes from the small per-bucket table; a window runs inside a bucket.
     """
     b = with_range_bucket(df, key, buckets)
-    mins = {r["_rb"]: r["m"] for r in b.groupBy("_rb").agg(F.min(value).alias("m")).collect()}
-    ids = sorted(i for i in mins if i is not None)
-    later = {}
-    run = None
-    for i in reversed(ids):
-        later[i] = run
-        m = mins[i]
-        run = m if run is None else (m if m is not None and m < run else run)
+    offs = _bucket_offsets(b, {value: F.min}, order_desc=True)
     w = (Window.partitionBy("_rb").orderBy(F.col(key), *[F.col(t) for t in tiebreak])
          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     inside = F.min(value).over(w)
-    if ids:
-        arr = F.array(*[F.lit(later[i]).cast("double") for i in ids])
-        pos = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("_rb")).cast("int")
-        nxt = F.element_at(arr, pos)
-        res = F.when(nxt.isNull(), inside).otherwise(F.least(inside, nxt))
-    else:
-        res = inside
-    return b.withColumn(out, res).drop("_rb")
+    later = F.col(f"_off_{value}")
+    res = F.when(later.isNull(), inside).otherwise(F.least(inside, later))
+    return b.join(F.broadcast(offs), "_rb", "left").withColumn(out, res).drop("_rb", f"_off_{value}")

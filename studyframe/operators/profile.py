@@ -167,51 +167,40 @@ def numeric_value_table(df: DataFrame, cols, buckets: int | None = None, cuts=No
     return long.groupBy("column", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bucket_totals(vt: DataFrame):
-    """Driver-side (bounded) map column → list of (bucket, total, distinct, max n, offset)."""
-    rows = vt.groupBy("column", "bucket").agg(
-        F.sum("n").alias("t"), F.count(F.lit(1)).alias("u"), F.max("n").alias("m")).collect()
-    per = {}
-    for r in rows:
-        per.setdefault(r["column"], []).append((r["bucket"], int(r["t"]), int(r["u"]), int(r["m"])))
-    out = {}
-    for c, lst in per.items():
-        lst.sort()
-        off, acc = 0, []
-        for b, t, u, m in lst:
-            acc.append((b, t, u, m, off))
-            off += t
-        out[c] = acc
-    return out
+def value_table_summary(vt: DataFrame) -> dict:
+    """column → (values, distinct, largest count) from a value table (one row per column)."""
+    rows = vt.groupBy("column").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("u"),
+                                    F.max("n").alias("m")).collect()
+    return {r["column"]: (int(r["t"]), int(r["u"]), int(r["m"])) for r in rows}
 
 
-def order_statistics(vt: DataFrame, ranks: dict, totals=None) -> dict:
-    """Values at 0-based ranks: ``ranks`` maps column → iterable of ranks.
+def order_statistics(vt: DataFrame, ranks: dict) -> dict:
+    """Values at 0-based ranks from a (column, bucket, value, n) table.
 
-    Returns {(column, rank): value}.  One job over the value table; the target
-    ranks (bounded) are joined on (column, bucket).
+    ``ranks`` maps column → iterable of ranks; returns {(column, rank): value}.
+    Bucket offsets come from a window over the per-column bucket totals (one row
+    per bucket), each target rank finds its bucket by a broadcast range join
+    (targets are a dozen per column), and running counts are taken only inside
+    the buckets that hold a target.
     """
     spark = vt.sparkSession
-    totals = totals if totals is not None else _bucket_totals(vt)
-    targets = []
-    for c, ks in ranks.items():
-        for k in set(ks):
-            for b, t, _u, _m, off in totals.get(c, []):
-                if off <= k < off + t:
-                    targets.append((c, int(b), int(k), int(off)))
-                    break
+    targets = [(c, int(k)) for c, ks in ranks.items() for k in set(ks)]
     if not targets:
         return {}
-    tdf = spark.createDataFrame(targets, "column string, bucket int, k long, off long")
+    tdf = spark.createDataFrame(targets, "column string, k long")
+    tot = vt.groupBy("column", "bucket").agg(F.sum("n").alias("t"))
+    wo = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.withColumn("off", F.coalesce(F.sum("t").over(wo), F.lit(0)))
+    hits = (offs.join(F.broadcast(tdf), "column")
+            .where((F.col("off") <= F.col("k")) & (F.col("k") < F.col("off") + F.col("t")))
+            .select("column", "bucket", "k", "off"))
     w = (Window.partitionBy("column", "bucket").orderBy("value")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # only buckets that hold a target rank are windowed
-    need = tdf.select("column", "bucket").distinct()
-    cum = (vt.join(F.broadcast(need), ["column", "bucket"])
+    cum = (vt.join(F.broadcast(hits.select("column", "bucket").distinct()), ["column", "bucket"])
            .withColumn("cum", F.sum("n").over(w)))
-    hit = cum.join(F.broadcast(tdf), ["column", "bucket"]).where(
+    found = cum.join(F.broadcast(hits), ["column", "bucket"]).where(
         (F.col("off") + F.col("cum") - F.col("n") <= F.col("k")) & (F.col("k") < F.col("off") + F.col("cum")))
-    return {(r["column"], int(r["k"])): float(r["value"]) for r in hit.select("column", "k", "value").collect()}
+    return {(r["column"], int(r["k"])): float(r["value"]) for r in found.select("column", "k", "value").collect()}
 
 
 def _interp(os_, c, n, q):
@@ -260,7 +249,7 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
     m = df.agg(*aggs).first()
     vt = numeric_value_table(df, cols, b, cuts={c: m[f"q{i}"] for i, c in enumerate(cols)}).persist()
     try:
-        totals = _bucket_totals(vt)
+        summary = value_table_summary(vt)
         ranks = {}
         trims = {}
         for i, c in enumerate(cols):
@@ -275,7 +264,7 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
             trims[c] = kt
             ks.update({kt, n - 1 - kt})
             ranks[c] = ks
-        os_ = order_statistics(vt, ranks, totals)
+        os_ = order_statistics(vt, ranks)
         # modes and trimmed sums: one aggregate over the value table
         small = []
         for i, c in enumerate(cols):
@@ -283,7 +272,7 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
                 continue
             n = int(m[f"n{i}"])
             kt = trims[c]
-            small.append((c, max(t[3] for t in totals[c]), os_.get((c, kt)), os_.get((c, n - 1 - kt))))
+            small.append((c, summary[c][2], os_.get((c, kt)), os_.get((c, n - 1 - kt))))
         sums = {}
         if small:
             sdf = spark.createDataFrame(small, "column string, max_n long, lo double, hi double")
@@ -322,7 +311,7 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
             tm = ((s["s_in"] or 0.0) + lo * ((s["c_lo"] or 0) - kt) + hi * ((s["c_hi"] or 0) - kt)) / (n - 2 * kt)
         cv = sd / mean if (sd is not None and mean not in (None, 0)) else None
         iqr = pct[0.75] - pct[0.25] if pct[0.75] is not None and pct[0.25] is not None else None
-        n_unique = sum(t[2] for t in totals.get(c, []))
+        n_unique = summary.get(c, (0, 0, 0))[1]
         if skip_two_level and n_unique == 2:
             continue
         out.append((c, n, n_unique, miss, m[f"mx{i}"], m[f"mn{i}"], pct[0.5], mean,
