@@ -61,26 +61,23 @@ def binary_code(df: DataFrame, target: str):
     return F.when(y == F.lit(lv[0]), 0).when(y == F.lit(lv[1]), 1)
 
 
-def numeric_summaries(df: DataFrame, target: str, cols, y_num) -> dict:
-    """C9 + T1/T2: one aggregate giving, per numeric predictor, pairwise-complete
-    n_used, missing count, x range over complete pairs and r."""
-    y = F.col(target)
-    aggs = [F.count_if(y.isNull()).alias("__ymiss")]
-    for i, c in enumerate(cols):
+def numeric_aggs(cols, y_num):
+    """C9 + T1/T2 aggregates: per numeric predictor, over pairwise-complete rows,
+    the pair count, x and y ranges (the ≥ 2 distinct values test) and r."""
+    aggs = []
+    for j, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
         both = x.isNotNull() & y_num.isNotNull()
         xc = F.when(both, x)
-        aggs += [F.count_if(both).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"m{i}"),
-                 F.min(xc).alias(f"lo{i}"), F.max(xc).alias(f"hi{i}"),
-                 F.min(F.when(both, y_num)).alias(f"ylo{i}"), F.max(F.when(both, y_num)).alias(f"yhi{i}"),
-                 F.corr(xc, F.when(both, y_num)).alias(f"r{i}")]
-    row = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(cols):
-        out[c] = {"n": int(row[f"n{i}"]), "miss": int(row[f"m{i}"]), "lo": row[f"lo{i}"], "hi": row[f"hi{i}"],
-                  "ylo": row[f"ylo{i}"], "yhi": row[f"yhi{i}"], "r": row[f"r{i}"]}
-    out["__ymiss"] = int(row["__ymiss"])
-    return out
+        aggs += [F.count_if(both).alias(f"xn{j}"), F.min(xc).alias(f"lo{j}"), F.max(xc).alias(f"hi{j}"),
+                 F.min(F.when(both, y_num)).alias(f"ylo{j}"), F.max(F.when(both, y_num)).alias(f"yhi{j}"),
+                 F.corr(xc, F.when(both, y_num)).alias(f"r{j}")]
+    return aggs
+
+
+def numeric_row(row, j) -> dict:
+    return {"n": int(row[f"xn{j}"]), "lo": row[f"lo{j}"], "hi": row[f"hi{j}"], "ylo": row[f"ylo{j}"],
+            "yhi": row[f"yhi{j}"], "r": row[f"r{j}"]}
 
 
 def contingency_cells(df: DataFrame, target: str, cols) -> DataFrame:
@@ -150,13 +147,16 @@ def associations(df: DataFrame, target: str, predictor_types: dict, leakage_vars
     tab_cols = [c for c, k in preds if k in TABLE_KINDS and a_type in ("binary", "categorical")
                 and c not in num_cols]
     y_notnull = F.col(target).isNotNull()
-    counts = df.agg(F.count_if(~y_notnull).alias("__ymiss"),
-                    *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, (c, _) in enumerate(preds)],
-                    *[F.count_if(F.col(f"`{c}`").isNotNull() & y_notnull).alias(f"n{i}")
-                      for i, (c, _) in enumerate(preds)]).first()
+    # one pass: target / predictor missing counts, complete pairs, and for the
+    # numeric predictors the ranges and correlations of the complete pairs
+    aggs = [F.count_if(~y_notnull).alias("__ymiss")]
+    aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, (c, _) in enumerate(preds)]
+    aggs += [F.count_if(F.col(f"`{c}`").isNotNull() & y_notnull).alias(f"n{i}") for i, (c, _) in enumerate(preds)]
+    aggs += numeric_aggs(num_cols, y_num)
+    counts = df.agg(*aggs).first()
     ymiss = int(counts["__ymiss"])
     base = {c: (int(counts[f"n{i}"]), int(counts[f"m{i}"])) for i, (c, _) in enumerate(preds)}
-    nums = numeric_summaries(df, target, num_cols, y_num) if num_cols else {}
+    nums = {c: numeric_row(counts, j) for j, c in enumerate(num_cols)}
     chis = {}
     if tab_cols:
         for r in chi_square(contingency_cells(df, target, tab_cols), yates=True).collect():

@@ -128,7 +128,7 @@ def preprocessor(df: DataFrame, predictors):
     stages, vec = [], []
     if num:
         cast = [f"_n_{c}" for c in num]
-        stages.append(_CastDouble(num, cast))
+        stages.append(_cast_double_stage(num, cast))
         stages.append(Imputer(inputCols=cast, outputCols=[f"{c}_i" for c in cast], strategy="median"))
         stages.append(VectorAssembler(inputCols=[f"{c}_i" for c in cast], outputCol="_num_vec"))
         stages.append(StandardScaler(inputCol="_num_vec", outputCol="_num_std", withMean=True, withStd=True))
@@ -143,7 +143,7 @@ def preprocessor(df: DataFrame, predictors):
     return stages
 
 
-def _CastDouble(cols, outs):
+def _cast_double_stage(cols, outs):
     from pyspark.ml.feature import SQLTransformer
     sel = ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{o}`" for c, o in zip(cols, outs))
     return SQLTransformer(statement=f"SELECT *, {sel} FROM __THIS__")
