@@ -90,3 +90,29 @@ def test_model_grids_and_one_fit_per_family(spark):
             pm = {**pm, clf.maxIter: 3}
         m = Pipeline(stages=pre + [clf.copy(pm)]).fit(df)
         assert m.transform(df).select("probability").count() == df.count()
+
+
+def test_masks_and_row_ids_invariant_under_repartition(spark):
+    from studyframe.operators import dedupe, prefix
+    rows = [(i, ["a", "B", " b", "c", None][i % 5]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    def snap(d):
+        m = dedupe.masks(d, ["k"], ["id"])
+        return sorted((r["id"], r["_dup_later"], r["_dup_group"]) for r in m.collect())
+    assert snap(df) == snap(df.repartition(7)) == snap(df.repartition(1))
+    ids = lambda d: sorted((r["id"], r["row_id"]) for r in prefix.row_index(d, "id", buckets=3).collect())
+    assert ids(df) == ids(df.repartition(5)) == [(i, i) for i in range(120)]
+
+
+def test_model_run_finds_planted_signal_deterministically(spark):
+    rows = []
+    for i in range(300):
+        y = 1 if (i * 7919) % 100 < 40 else 0
+        rows.append((i, float(y * 2.0 + ((i * 31) % 17) / 17.0), ["u", "v"][i % 2], y))
+    df = spark.createDataFrame(rows, "id long, x double, g string, y int")
+    kw = dict(positive_class=1, key_cols=("id",), cv_folds=2, n_boot=100, threshold_strategy="youden",
+              models=("logistic_regression",))
+    a = model.run(df, "y", ["x", "g"], **kw)["metrics"].first()
+    b = model.run(df, "y", ["x", "g"], **kw)["metrics"].first()
+    assert a["test_auc"] > 0.9 and a["n_test"] == 60
+    assert a.asDict() == b.asDict()
