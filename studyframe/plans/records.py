@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, cohort, dedupe
+from ..session import materialize
 from ..spec import TaskSpec
 from .tables import table
 
@@ -123,7 +124,8 @@ FROM j GROUP BY ALL
 
 def document_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row ids, flags, filter, drops, target first."""
-    flagged = clean.missing_flags(labelled_documents(spark, sf_dir), exclude=("quality", "toxic"))
+    base = materialize(labelled_documents(spark, sf_dir), "labelled-documents")  # read by several passes
+    flagged = clean.missing_flags(base, exclude=("quality", "toxic"))
     kept, _, _ = cohort.build(flagged, QUALITY_TASK, all_tasks=[TOXIC_TASK], order_key="doc_id")
     return kept
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assoc, clean, govern
+from ..session import materialize
 from ..spec import ColumnSpec
 from .profiling import rounded, sig_wrap
 from .records import labelled_documents
@@ -35,7 +36,8 @@ def study_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 10 == 0, F.col("source")).alias("source_rare"),
     )
     typed = clean.apply_schema(d, STUDY_SPECS)
-    return clean.missing_flags(typed, exclude=("doc_id",))
+    # every study stage reads this frame several times: cut the join lineage once
+    return clean.missing_flags(materialize(typed, "study-frame"), exclude=("doc_id",))
 
 
 def document_predictor_types(spark: SparkSession, sf_dir: str) -> DataFrame:
