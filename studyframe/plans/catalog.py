@@ -22,6 +22,7 @@ _ENTRIES = {
     "events_typed": (cl.events_typed, cl.EVENTS_TYPED_SQL),
     "events_rejected": (cl.events_rejected, cl.EVENTS_REJECTED_SQL),
     "calendar_parts": (cl.calendar_parts, cl.CALENDAR_SQL),
+    "events_stream_calendar": (cl.events_stream_calendar, cl.CALENDAR_SQL),
     "customer_missing_flags": (cl.customer_missing_flags, cl.CUSTOMER_FLAGS_SQL),
     "customer_shape": (cl.customer_shape, cl.CUSTOMER_SHAPE_SQL),
     "document_dup_masks": (rc.document_dup_masks, rc.DOC_DUP_MASKS_SQL),
@@ -82,6 +83,7 @@ _B, _I = "BIGINT", "INTEGER"
 _CASTS = {
     "agreement_by_ship_day": {"n_match": _B},
     "calendar_parts": {"ts_hour": _I, "ts_year": _I},
+    "events_stream_calendar": {"ts_hour": _I, "ts_year": _I},
     "customer_shape": {"null_cells": _B},
     "document_headline": {"n_positive": _B, "n_negative": _B},
     "orders_categorical_profile": {"n": _B},
@@ -105,7 +107,7 @@ def _cast(sql: str, casts: dict) -> str:
 
 
 # Operator ids each registered query exercises.
-COVERS = {'agreement_by_ship_day': 'D1 D4 D5 D8 C1 C2 C3 C5 A21', 'agreement_match_rates': 'D1 D2', 'party_union': 'S4 U1 P1 P2 P3 P4 P8 P12 P13', 'party_csv_ingest': 'S1 S2 S3 S5 U1 U3 P1 P2 P4', 'priority_clean_counts': 'P5 P6 P7 P11 P12', 'priority_schema_audit': 'P5 P6 P8', 'events_typed': 'P5 P8 P9 P10 P13 D9', 'events_rejected': 'P8 P9', 'calendar_parts': 'D3 D4 D5 D6 D7', 'customer_missing_flags': 'P14 P15', 'customer_shape': 'A1', 'document_dup_masks': 'K1 K2', 'document_dup_report': 'K3', 'document_dedupe': 'K4', 'conversation_encounters': 'K5', 'document_attrition': 'C1 C2 C4', 'document_cohort': 'C2 C3 C5 C6 C7 P15 P16 G1', 'document_headline': 'A22', 'document_target_counts': 'A21', 'lineitem_numeric_profile': 'A4 A5 A6 A7 A8', 'events_value_profile': 'A5 A7 A8', 'lineitem_modes': 'A6', 'orders_categorical_profile': 'A9 A10 A11 A12 A13 A14', 'part_categorical_profile': 'A10 A11 A12 A14', 'lineitem_binary_profile': 'A15 A16 A17', 'document_effective_unique': 'A18', 'lineitem_histogram': 'A19', 'part_value_extremes': 'A2', 'lineitem_value_overview': 'A2 A3 D10', 'customer_missingness': 'A20', 'document_predictor_types': 'R1 R2', 'document_associations': 'C9 R4 T1 T2 T3 T4 T5 T6 T8', 'document_associations_pvalues': 'T7 T8', 'lineitem_price_associations': 'T1 T6', 'document_decisions': 'R5 R6 R7 R8', 'document_decision_summary': 'R9', 'events_mann_whitney': 'I4 I5 G1', 'document_chi_square': 'T3 I6 I8 I9', 'planted_fdr': 'I11', 'planted_effect_bands': 'I12 I13', 'document_inferential_screen': 'R12 I1 I2 I3 I4 I5 I6 I7 I8 I9 I10 I11 I12 I13 I14 I15 I16', 'customer_simple_impute': 'M2 M3', 'document_model_frame': 'M1 M4 M5 M6 M7 U2', 'document_frame_summary': 'M8', 'document_split_counts': 'L1', 'document_fold_sizes': 'L7 L8', 'scored_metrics': 'L14 L15 L17', 'scored_roc_points': 'G2 G1', 'scored_pr_points': 'G3', 'scored_confusion': 'G4', 'scored_calibration': 'G5', 'scored_histogram': 'G6', 'scored_threshold_scan': 'L11 L12', 'document_logistic_run': 'S10 R12 L1 L2 L3 L4 L7 L8 L10 L11 L13 L14 L15 L16 L17 L18 L20', 'document_model_comparison': 'L9 G8', 'document_top_features': 'L19 G7', 'customer_iterative_impute': 'M4', 'document_approved_predictors': 'C10 R3 R10 R11 I1', 'document_report_bundle': 'C8 S6 S7 S8 S9 G10', 'events_janitor': 'P17 K3 K4', 'scored_metrics_long': 'G9'}
+COVERS = {'agreement_by_ship_day': 'D1 D4 D5 D8 C1 C2 C3 C5 A21', 'agreement_match_rates': 'D1 D2', 'party_union': 'S4 U1 P1 P2 P3 P4 P8 P12 P13', 'party_csv_ingest': 'S1 S2 S3 S5 U1 U3 P1 P2 P4', 'priority_clean_counts': 'P5 P6 P7 P11 P12', 'priority_schema_audit': 'P5 P6 P8', 'events_typed': 'P5 P8 P9 P10 P13 D9', 'events_rejected': 'P8 P9', 'calendar_parts': 'D3 D4 D5 D6 D7', 'events_stream_calendar': 'D3 D4 D5 D6 D7', 'customer_missing_flags': 'P14 P15', 'customer_shape': 'A1', 'document_dup_masks': 'K1 K2', 'document_dup_report': 'K3', 'document_dedupe': 'K4', 'conversation_encounters': 'K5', 'document_attrition': 'C1 C2 C4', 'document_cohort': 'C2 C3 C5 C6 C7 P15 P16 G1', 'document_headline': 'A22', 'document_target_counts': 'A21', 'lineitem_numeric_profile': 'A4 A5 A6 A7 A8', 'events_value_profile': 'A5 A7 A8', 'lineitem_modes': 'A6', 'orders_categorical_profile': 'A9 A10 A11 A12 A13 A14', 'part_categorical_profile': 'A10 A11 A12 A14', 'lineitem_binary_profile': 'A15 A16 A17', 'document_effective_unique': 'A18', 'lineitem_histogram': 'A19', 'part_value_extremes': 'A2', 'lineitem_value_overview': 'A2 A3 D10', 'customer_missingness': 'A20', 'document_predictor_types': 'R1 R2', 'document_associations': 'C9 R4 T1 T2 T3 T4 T5 T6 T8', 'document_associations_pvalues': 'T7 T8', 'lineitem_price_associations': 'T1 T6', 'document_decisions': 'R5 R6 R7 R8', 'document_decision_summary': 'R9', 'events_mann_whitney': 'I4 I5 G1', 'document_chi_square': 'T3 I6 I8 I9', 'planted_fdr': 'I11', 'planted_effect_bands': 'I12 I13', 'document_inferential_screen': 'R12 I1 I2 I3 I4 I5 I6 I7 I8 I9 I10 I11 I12 I13 I14 I15 I16', 'customer_simple_impute': 'M2 M3', 'document_model_frame': 'M1 M4 M5 M6 M7 U2', 'document_frame_summary': 'M8', 'document_split_counts': 'L1', 'document_fold_sizes': 'L7 L8', 'scored_metrics': 'L14 L15 L17', 'scored_roc_points': 'G2 G1', 'scored_pr_points': 'G3', 'scored_confusion': 'G4', 'scored_calibration': 'G5', 'scored_histogram': 'G6', 'scored_threshold_scan': 'L11 L12', 'document_logistic_run': 'S10 R12 L1 L2 L3 L4 L7 L8 L10 L11 L13 L14 L15 L16 L17 L18 L20', 'document_model_comparison': 'L9 G8', 'document_top_features': 'L19 G7', 'customer_iterative_impute': 'M4', 'document_approved_predictors': 'C10 R3 R10 R11 I1', 'document_report_bundle': 'C8 S6 S7 S8 S9 G10', 'events_janitor': 'P17 K3 K4', 'scored_metrics_long': 'G9'}
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}
 ORACLE_SQL = {k: (_cast(v[1], _CASTS[k]) if k in _CASTS else v[1]) for k, v in _ENTRIES.items() if v[1] is not None}

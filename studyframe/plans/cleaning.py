@@ -284,3 +284,21 @@ def party_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = ingest.merge(spark, paths, PARTY_MAP)
     typed = clean.apply_schema(merged, PARTY_SPECS, PARTY_MAP)
     return clean.reorder(typed, ["segment", "party_key"]).drop("_src_file", "_src_order")
+
+
+def events_stream_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3–D7 on a stream: the events table is read with ``readStream``, calendar
+    parts are derived per row inside the stream, written with an available-now
+    trigger (checkpointed in the shared folder), and the sink is counted."""
+    import uuid
+
+    from ..session import shared_path
+    from ..streaming import stateless
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .parquet(sf_dir.rstrip("/")))
+    rows = clean.apply_derived(stream.select("ts"), CALENDAR_SPECS)
+    base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    stateless.run_available(rows, f"{base}/sink", f"{base}/checkpoint")
+    out = spark.read.parquet(f"{base}/sink")
+    return out.groupBy(*[s.name for s in CALENDAR_SPECS]).agg(F.count(F.lit(1)).alias("n"))

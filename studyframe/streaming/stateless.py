@@ -50,3 +50,16 @@ def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: s
     if trigger_once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def run_available(rows: DataFrame, sink_dir: str, checkpoint_dir: str, timeout_s: int = 600) -> None:
+    """Process everything available now into a Parquet sink, then stop."""
+    q = (rows.writeStream.format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", checkpoint_dir).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("streaming query did not finish")
+    if q.exception() is not None:
+        raise q.exception()
