@@ -9,6 +9,7 @@ are kept so "first" has a meaning later.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +35,25 @@ def _reader(spark: SparkSession, sep: str = ","):
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    """Header names of one file, stripped (schema-only read)."""
+    """Header names of one file, stripped (schema-only read: the first line)."""
     return [c.strip() for c in _reader(spark, sep).csv(path).columns]
 
 
+def headers(spark: SparkSession, paths, sep: str = ",", threads: int = 16) -> list[list[str]]:
+    """Headers of many files; each is a one-line read, so they run concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    paths = list(paths)
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(paths)))) as pool:
+        return list(pool.map(lambda p: header_of(spark, p, sep), paths))
+
+
 def header_diff(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
     """Per file, columns missing from / extra to the first file's header."""
     paths = list(paths)
     if not paths:
         raise ValueError("no input files")
-    heads = [(p, header_of(spark, p, sep)) for p in paths]
+    heads = list(zip(paths, headers(spark, paths, sep)))
     base = heads[0][1]
     df = spark.createDataFrame([(i, p, h) for i, (p, h) in enumerate(heads)],
                                "file_index int, file string, header array<string>")
@@ -56,8 +66,8 @@ def header_diff(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
 def union_header(spark: SparkSession, paths, sep: str = ",") -> list[str]:
     """Union of all headers in first-seen order."""
     seen = OrderedDict()
-    for p in paths:
-        for c in header_of(spark, p, sep):
+    for h in headers(spark, list(paths), sep):
+        for c in h:
             seen.setdefault(c, None)
     return list(seen)
 
@@ -121,6 +131,10 @@ def harmonize_all(frames, rename_map: dict, keep=()) -> DataFrame:
     return out
 
 
+def _path_key(p: str) -> str:
+    return re.sub(r"^file:(//)?", "", p)
+
+
 def merge(spark: SparkSession, paths, rename_map: dict, sep: str = ",",
           null_values=DEFAULT_NULL_TOKENS) -> DataFrame:
     """S1 + U1 + P1/P2: read all files as strings and return the canonical frame.
@@ -132,19 +146,22 @@ def merge(spark: SparkSession, paths, rename_map: dict, sep: str = ",",
     if not paths:
         raise ValueError("no input files")
     groups: OrderedDict = OrderedDict()
-    for i, p in enumerate(paths):
-        groups.setdefault(tuple(header_of(spark, p, sep)), []).append((i, p))
-    index = {p: i for i, p in enumerate(paths)}
-    idx_map = F.create_map(*[x for p, i in index.items() for x in (F.lit(p), F.lit(i))])
+    for i, (p, h) in enumerate(zip(paths, headers(spark, paths, sep))):
+        groups.setdefault(tuple(h), []).append((i, p))
+    # file → index in sorted order, joined on a scheme-less path (one row per file)
+    files = spark.createDataFrame([(_path_key(p), i) for i, p in enumerate(paths)], "_fkey string, _fidx int")
     frames = []
     for _, members in groups.items():
         raw = _strip_names(_reader(spark, sep).csv([p for _, p in members]))
-        raw = raw.withColumn("_src_file", F.col("_metadata.file_path"))
         # position within a file: monotonically increasing in file order for a
         # deterministic scan; with the file index it orders all source rows.
-        raw = raw.withColumn("_src_order", F.struct(
-            F.coalesce(idx_map[F.col("_src_file")], F.lit(-1)).alias("file_index"),
-            F.monotonically_increasing_id().alias("pos")))
+        raw = raw.withColumns({"_src_file": F.col("_metadata.file_path"),
+                               "_pos": F.monotonically_increasing_id()})
+        raw = (raw.withColumn("_fkey", F.regexp_replace("_src_file", "^file:(//)?", ""))
+               .join(F.broadcast(files), "_fkey", "left")
+               .withColumn("_src_order", F.struct(F.coalesce("_fidx", F.lit(-1)).alias("file_index"),
+                                                  F.col("_pos").alias("pos")))
+               .drop("_fkey", "_fidx", "_pos"))
         frames.append(raw)
     out = harmonize_all(frames, rename_map, keep=("_src_file", "_src_order"))
     if null_values:

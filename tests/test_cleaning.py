@@ -232,3 +232,12 @@ def test_schema_audit_and_rejects(spark):
     assert a["age"]["new_null_cast"] == 1 and a["sex"]["new_null_tokens"] == 1
     rej = {(r["column"], r["raw_value"]) for r in clean.rejected_values(_raw(spark), SCHEMA).collect()}
     assert ("age", "abc") in rej and ("call", "thirty first december 2025") in rej
+
+
+def test_merge_orders_rows_by_sorted_file_then_position(spark, tmp_path):
+    b = _write(tmp_path, "b.csv", ["Karte"], [["b1"], ["b2"]])
+    a = _write(tmp_path, "a.csv", ["Karte"], [["a1"], ["a2"], ["a3"]])
+    df = ingest.merge(spark, sorted([a, b]), RENAME)
+    got = [r["patient_card_no"] for r in df.orderBy("_src_order").collect()]
+    assert got == ["a1", "a2", "a3", "b1", "b2"]
+    assert {r["_src_order"]["file_index"] for r in df.collect()} == {0, 1}
