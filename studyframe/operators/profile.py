@@ -60,10 +60,21 @@ def unpivot(df: DataFrame, cols, value_type: str = "string") -> DataFrame:
     return df.select(F.explode(arr).alias("_u")).select("_u.column", "_u.value")
 
 
-def value_counts(df: DataFrame, cols, value_type: str = "string") -> DataFrame:
-    """``(column, value, n)`` over non-null values of every column in ``cols``."""
-    return (unpivot(df, cols, value_type).where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+def value_counts(df: DataFrame, cols, value_type: str = "string", keep_nulls: bool = False) -> DataFrame:
+    """``(column, value, n)`` over the non-null values of every column in ``cols``
+    (with ``keep_nulls`` also one NULL-value row per column holding its null count,
+    so row totals come from the same pass)."""
+    u = unpivot(df, cols, value_type)
+    if not keep_nulls:
+        u = u.where(F.col("value").isNotNull())
+    return u.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rows_and_levels(df: DataFrame, cols):
+    """Value counts of non-null values and per-column row totals from one pass."""
+    vc_all = value_counts(df, cols, keep_nulls=True)
+    rows = vc_all.groupBy("column").agg(F.sum("n").alias("n_rows"))
+    return vc_all.where(F.col("value").isNotNull()), rows
 
 
 SMALL_CARDINALITY = 1000
@@ -430,9 +441,8 @@ def categorical_profile(df: DataFrame, cols, levels: dict | None = None, min_lev
         if c not in levels and meta.get("ordered") and meta.get("levels"):
             levels[c] = meta["levels"]
     # one value-count table feeds every branch; its shuffle is reused across them
-    vc = value_counts(df, cols)
-    rows = df.count()
-    st = _level_stats(vc)
+    vc, rows_t = _rows_and_levels(df, cols)
+    st = _level_stats(vc).join(rows_t, "column")
     top = _ranked_levels(vc, 2).groupBy("column").agg(
         F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("first_mode"),
         F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("_n1"),
@@ -457,7 +467,7 @@ def categorical_profile(df: DataFrame, cols, levels: dict | None = None, min_lev
     N = F.col("n_total").cast("double")
     res = out.select(
         "column", F.col("n_total").alias("n"), F.col("n_levels").alias("n_unique"),
-        ((F.lit(rows) - F.col("n_total")) * 100.0 / F.lit(rows)).alias("missing_pct"),
+        ((F.col("n_rows") - F.col("n_total")) * 100.0 / F.col("n_rows")).alias("missing_pct"),
         "first_mode", "second_mode", "rarest",
         (F.col("_nr") * 100.0 / N).alias("rarest_pct"),
         (F.col("_n1") * 100.0 / N).alias("first_mode_pct"),
@@ -482,9 +492,8 @@ def binary_profile(df: DataFrame, cols) -> DataFrame:
     ``_missing`` flag columns.
     """
     cols = list(cols)
-    vc = value_counts(df, cols)
-    rows = df.count()
-    st = _level_stats(vc)
+    vc, rows_t = _rows_and_levels(df, cols)
+    st = _level_stats(vc).join(rows_t, "column")
     top = _ranked_levels(vc, 2).groupBy("column").agg(
         F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("cat1"),
         F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("_n1"),
@@ -497,7 +506,7 @@ def binary_profile(df: DataFrame, cols) -> DataFrame:
     res = out.select(
         "column", "cat1", "cat0", F.col("n_total").alias("n"),
         F.when(F.col("column").contains("_missing"), F.lit(None).cast("double"))
-        .otherwise((F.lit(rows) - F.col("n_total")) * 100.0 / F.lit(rows)).alias("missing_pct"),
+        .otherwise((F.col("n_rows") - F.col("n_total")) * 100.0 / F.col("n_rows")).alias("missing_pct"),
         p1.alias("p1"), p0.alias("p0"),
         F.when(ratio > 1.1, F.col("cat1")).otherwise(F.lit("equal")).alias("mode"),
         F.when(ratio > 1.1, p1 * 100).otherwise(p0 * 100).alias("mode_pct"),
