@@ -78,3 +78,23 @@ def test_top_k_per_group_is_exact(spark):
     got = ranking.top_k(df, "column", [F.col("n").desc(), F.col("value").asc()], 3, "value", salts=8).collect()
     want = sorted(rows, key=lambda r: (-r[2], r[1]))[:3]
     assert sorted((r["value"], r["n"]) for r in got) == sorted((v, n) for _, v, n in want)
+
+
+def test_calibration_and_histogram_match_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(round(rnd.random(), 3), rnd.randint(0, 1)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    edges = np.linspace(0.0, 1.0, 11)[1:-1]
+    want = {}
+    for p, y in rows:
+        b = int(np.searchsorted(edges, p, side="left"))
+        want.setdefault(b, []).append((p, y))
+    got = {r["bin"]: r for r in D.calibration(df).collect()}
+    assert set(got) == set(want)
+    for b, pts in want.items():
+        assert abs(got[b]["prob_true"] - np.mean([y for _, y in pts])) < 1e-12
+        assert abs(got[b]["prob_pred"] - np.mean([p for p, _ in pts])) < 1e-12
+    h = D.probability_histogram(df, bins=30).collect()
+    for cls in (0, 1):
+        assert sum(r["n"] for r in h if r["y"] == cls) == sum(1 for _, y in rows if y == cls)
+        assert max(r["bin"] for r in h if r["y"] == cls) <= 29
