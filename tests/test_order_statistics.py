@@ -98,3 +98,20 @@ def test_calibration_and_histogram_match_brute_force(spark):
     for cls in (0, 1):
         assert sum(r["n"] for r in h if r["y"] == cls) == sum(1 for _, y in rows if y == cls)
         assert max(r["bin"] for r in h if r["y"] == cls) <= 29
+
+
+def test_overviews_on_a_small_frame(spark):
+    from studyframe.operators import clean
+    rows = [(1, "a", 2.0), (2, None, None), (3, "a", 4.0), (4, "b", None)]
+    df = spark.createDataFrame(rows, "k long, s string, x double")
+    shape = clean.frame_shape(df).first()
+    assert (shape["n_rows"], shape["n_cols"], shape["null_cells"]) == (4, 3, 3)
+    assert shape["null_pct"] == 25.0
+    ov = {r["column"]: r for r in profile.dataset_overview(df).collect()}
+    assert ov["x"]["dtype"] == "double" and ov["k"]["n_rows"] == 4 and ov["k"]["n_cols"] == 3
+    vo = {r["column"]: r for r in profile.value_overview(df).collect()}
+    assert vo["x"]["n_null"] == 2 and vo["x"]["mean"] == 3.0 and vo["s"]["n_unique"] == 2
+    miss = [r["column"] for r in profile.missingness_ranking(df).collect()]
+    assert miss == ["x", "s"]
+    ext = {(r["side"], r["rank"]): r["value"] for r in profile.value_extremes(df, ["s"], k=2).collect()}
+    assert ext[("common", 1)] == "a" and ext[("rare", 1)] == "b"
