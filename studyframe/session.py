@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +16,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # whole texts travel in Arrow batches: few rows keep a batch to some megabytes
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
 
@@ -33,19 +37,42 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared (HDFS/S3/…) folder and is used as is.
-    Only when it is unset (local tests) do we create one under the local temp dir.
+    On a cluster this setting must name a shared (HDFS/S3/…) folder and is used as is.
+    Only a local master without it (as in tests) gets a folder under the local temp dir.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="studyframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     spark.sparkContext.setCheckpointDir(conf)
     return conf
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a Spark application.
+
+    Workers started elsewhere than in the repository's folder cannot import it otherwise.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_studyframe_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    # the driver serves the file for as long as the application runs
+    archive = os.path.join(tempfile.mkdtemp(prefix="studyframe-ship-"), "studyframe_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    sc._studyframe_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder, for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
