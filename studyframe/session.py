@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -16,8 +17,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # whole texts travel in Arrow batches: few rows keep a batch to some megabytes
+    # whole texts travel in Arrow batches: few rows, and few bytes, make a batch
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -85,9 +87,15 @@ def materialize(df, name: str = "stage"):
     need instead of recomputing the upstream plan, and the written table survives
     executor loss (unlike a cache).  Column metadata is kept in the Parquet schema.
     """
-    import uuid
-
     spark = df.sparkSession
     path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._studyframe_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Delete the table behind a frame from ``materialize`` once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._studyframe_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
