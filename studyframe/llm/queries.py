@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language_id, ngram_join, packing, quality, secret_scan, sharding, token_counts
+from . import chat, decontaminate, embedding_dedup, language_id, ngram_join, packing, quality, secret_scan, sharding, token_counts
 
 #: Folder of the public tokenizer files; their place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,6 +43,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_limit_report(counts, 1024)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks_by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -124,6 +128,7 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha25
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_token_counts": (op2_token_counts, None),
+    "op3_decontamination": (op3_decontamination, None),
     "op4_ngram_jaccard_join": (op4_ngram_jaccard_join, None),
     "op5_embedding_dedup": (op5_embedding_dedup, None),
     "op6_secret_scan": (op6_secret_scan, None),
