@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ _FAST_END = 0x250
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
 _SPACES = " \t\n\r\x0b\x0c\x85\xa0"
+_SPACE_STARTS = frozenset(c.encode()[0] for c in _SPACES)
 # Endings that the pattern splits off after an apostrophe.
 _ENDINGS = ("s", "d", "m", "t", "ll", "ve", "re")
 _ENDING_BYTES = {x.encode() for x in _ENDINGS}
@@ -146,6 +149,40 @@ class Pieces:
         self.owner = owner
 
 
+class Recent(dict):
+    """A dict that keeps the entries used since it was last full, and those of the time before.
+
+    It holds about twice ``most`` entries at most.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old[key]  # KeyError if it is new
+        self[key] = value
+        return value
+
+    def get(self, key):
+        try:
+            return self[key]
+        except KeyError:
+            return None
+
+    def turn(self) -> None:
+        """Call between batches."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+@lru_cache(maxsize=2)
+def shared(kind: type, path: str):
+    """One encoder or counter for all tasks of a worker process, so what it has learned stays."""
+    return kind(path)
+
+
 class IdEncoder:
     """Token ids of whole texts.
 
@@ -153,22 +190,21 @@ class IdEncoder:
     the memory of kept pieces is bounded by starting anew beyond ``cache_pieces``.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 1_000_000):
+    def __init__(self, path: str, cache_pieces: int = 500_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = Specials(self.tokenizer)
-        self.kept: dict[bytes, bytes] = {}
-        self.most = cache_pieces
+        self.kept: Recent = Recent(cache_pieces)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids) of texts laid end to end."""
-        if len(self.kept) > self.most:
-            self.kept.clear()
+        self.kept.turn()
         kept, n = self.kept, len(offsets) - 1
         pieces = Pieces(data, offsets, self.specials)
-        if new := [p for p in pieces.distinct if p not in kept]:
-            for piece, enc in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-                kept[piece] = np.array(enc.ids, dtype="<u4").tobytes()
-        found = [kept[p] for p in pieces.distinct]
+        found = list(map(kept.get, pieces.distinct))
+        if new := [k for k, x in enumerate(found) if x is None]:
+            texts = [pieces.distinct[k].decode() for k in new]
+            for k, enc in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                found[k] = kept[pieces.distinct[k]] = array("I", enc.ids).tobytes()
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         length = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         begin = np.cumsum(length) - length
@@ -199,7 +235,7 @@ class PrefixCounter:
     ``count[i] = count[i - len(last)] + 1``. Pieces are worked out once and kept.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 600_000):
+    def __init__(self, path: str, cache_pieces: int = 300_000):
         self.tokenizer = load_tokenizer(path)
         self.specials = Specials(self.tokenizer)
         with open(path, encoding="utf-8") as f:
@@ -219,8 +255,7 @@ class PrefixCounter:
             self.made.setdefault(whole, r)
             self.halves.setdefault(whole, ids)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.kept: dict[bytes, tuple[bytes, int]] = {}
-        self.most = cache_pieces
+        self.kept: Recent = Recent(cache_pieces)
 
     def _apart(self, left: int, right: int) -> bool:
         """Do both tokens stay as they are when they stand side by side?
@@ -245,8 +280,6 @@ class PrefixCounter:
         """Token counts of all byte prefixes of one piece, from the empty one on."""
         last, count = [-1], [0]
         vocab, fits, longest = self.vocab, self.fits, self.longest
-        if len(fits) > 600_000:
-            fits.clear()
         for i in range(1, len(data) + 1):
             for j in range(max(0, i - longest), i):
                 token = vocab.get(data[j:i])
@@ -265,13 +298,13 @@ class PrefixCounter:
         return count
 
     def _learn(self, piece: bytes) -> tuple[bytes, int]:
-        counts = np.array(self._ends(piece))
+        counts = self._ends(piece)
         if piece[:1] == b"'" and piece[1:] in _ENDING_BYTES:
-            counts[1:-1] = np.arange(1, len(piece))  # cut inside, the apostrophe stands alone
-        head = (np.frombuffer(piece, np.uint8) & 0xC0) != 0x80
-        if not head.all():
-            counts = np.append(counts[:-1][head], counts[-1])
-        out = self.kept[piece] = np.diff(counts).astype("<i2").tobytes(), int(counts[-1])
+            counts[1:-1] = range(1, len(piece))  # cut inside, the apostrophe stands alone
+        if not piece.isascii():
+            counts = [c for c, byte in zip(counts, piece) if byte & 0xC0 != 0x80] + counts[-1:]
+        steps = array("h", [y - x for x, y in zip(counts, counts[1:])])
+        out = self.kept[piece] = steps.tobytes(), counts[-1]
         return out
 
     def _get(self, piece: bytes) -> tuple[bytes, int]:
@@ -321,8 +354,9 @@ class PrefixCounter:
         The running sum of a text's steps gives the token count of its prefixes of
         1, 2, ... code points.
         """
-        if len(self.kept) > self.most:
-            self.kept.clear()
+        self.kept.turn()
+        if len(self.fits) > 600_000:
+            self.fits.clear()
         n = len(offsets) - 1
         pieces = Pieces(data, offsets, self.specials)
         found = [self._get(p) for p in pieces.distinct]
@@ -335,8 +369,11 @@ class PrefixCounter:
         sizes = np.bincount(owner, weights=length[which], minlength=n).astype(np.int64)
         tokens = np.bincount(owner, weights=count[which], minlength=n).astype(np.int64)
         ends = np.cumsum(sizes)
-        space = np.array([p.decode().isspace() for p in pieces.distinct], bool)
-        opens = np.array([p[:2].decode(errors="ignore")[:1].isspace() for p in pieces.distinct], bool)
+        opens = np.array([p[0] in _SPACE_STARTS for p in pieces.distinct], bool)
+        space = np.zeros(len(opens), bool)
+        for k in np.flatnonzero(opens).tolist():
+            first = pieces.distinct[k][:2].decode(errors="ignore")[:1]
+            opens[k], space[k] = first.isspace(), pieces.distinct[k].decode().isspace()
         if len(which):
             runs = np.flatnonzero(space[which[:-1]] & opens[which[1:]] & (owner[:-1] == owner[1:]))
             at = np.cumsum(length[which])[runs]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import per_slice, text_bytes
-from .bpe import PrefixCounter
+from .bpe import PrefixCounter, shared
 
 SCHEMA = "n_bytes long, n_tokens long, prefix_steps binary"
 
@@ -26,7 +26,7 @@ def prefix_token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        counter = PrefixCounter(tokenizer_path)
+        counter = shared(PrefixCounter, tokenizer_path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, offsets = text_bytes(batch.column(1))
