@@ -33,6 +33,10 @@ def small(spark, tmp_path_factory):
     return str(folder), rows
 
 
+def ident(doc_id):
+    return -1 if doc_id is None else doc_id
+
+
 def test_stages_follow_the_given_order():
     assert len(corpus_pipeline.STAGES) == 5 and [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
 
@@ -46,9 +50,9 @@ def test_each_stage_decides_on_all_its_input(spark, small):
         assert docs.columns == columns
         left.append(docs.collect())
     known, distinct, clean, masked = left
-    assert sorted(r[0] or -1 for r in rows if r[0] not in (500, 501, 502)) == sorted(r.doc_id or -1 for r in known)
-    assert sorted(r.doc_id or -1 for r in distinct) == sorted([*range(40), 300, 301, 302, 400, -1])
-    assert sorted(r.doc_id or -1 for r in clean) == sorted([*range(40), 400, -1])
+    assert sorted(ident(r[0]) for r in rows if r[0] not in (500, 501, 502)) == sorted(ident(r.doc_id) for r in known)
+    assert sorted(ident(r.doc_id) for r in distinct) == sorted([*range(40), 300, 301, 302, 400, -1])
+    assert sorted(ident(r.doc_id) for r in clean) == sorted([*range(40), 400, -1])
     before = {r.doc_id: r.text for r in clean}
     for r in masked:
         if r.doc_id == 400:
