@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 # Tokens a CSV reader commonly treats as missing, applied right
 # after an all-strings read (Spark's reader takes a single nullValue).
-DEFAULT_NULL_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "<NA>", "-NaN", "-nan")
+DEFAULT_NULL_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "<NA>", "-NaN", "-nan",
+                       "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "1.#IND", "1.#QNAN")
 
 # Ordered day-first datetime formats tried after ISO parsing.
 DAYFIRST_FORMATS = (

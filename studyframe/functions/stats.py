@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 _EPS = 1e-15
 _TINY = 1e-300
 
@@ -125,43 +127,92 @@ def norm_ppf(p: float) -> float:
     return (lo + hi) / 2.0
 
 
+def _stirling_error(n: float) -> float:
+    """log n! − log(√(2πn)·(n/e)^n), without the cancellation of large terms."""
+    if n <= 15:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    k = 1.0 / (n * n)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - k / 1188) * k) * k) * k) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x·log(x/mean) + mean − x, exact also where x is close to the mean."""
+    d = x - mean
+    if abs(d) < 0.1 * (x + mean):
+        v = d / (x + mean)
+        total, term, j = d * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            more = total + term / (2 * j + 1)
+            if more == total:
+                return total
+            total, j = more, j + 1
+    return x * math.log(x / mean) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """log of the binomial probability, by saddle point."""
+    if x < 0 or x > n:
+        return float("-inf")
+    if x == 0:
+        return n * math.log1p(-p) if p < 0.1 else n * math.log(q) if n else 0.0
+    if x == n:
+        return n * math.log(p)
+    body = (_stirling_error(n) - _stirling_error(x) - _stirling_error(n - x)
+            - _deviance(x, n * p) - _deviance(n - x, n * q))
+    return body + 0.5 * (math.log(n) - math.log(2 * math.pi) - math.log(x) - math.log(n - x))
+
+
 def fisher_exact_2x2(a: int, b: int, c: int, d: int):
     """Odds ratio (a·d)/(b·c) and two-sided p: total probability of tables no
-    more likely than the observed one (relative tolerance 1e-7)."""
+    more likely than the observed one (relative tolerance 1e-7).
+
+    Tables more likely than the observed one form a run around the mode. Its ends are
+    found by bisection, and the two tails are summed outward until they vanish.
+    """
+    a, b, c, d = int(a), int(b), int(c), int(d)
     r1, r2, c1 = a + b, c + d, a + c
     n = r1 + r2
     odds = (a * d) / (b * c) if b * c != 0 else (float("inf") if a * d != 0 else float("nan"))
+    if c1 == 0 or c1 == n or r1 == 0 or r2 == 0:
+        return odds, 1.0
+    p, q = c1 / n, (n - c1) / n
+    whole = _log_binomial(c1, n, p, q)
 
     def logp(x):
-        return (math.lgamma(r1 + 1) - math.lgamma(x + 1) - math.lgamma(r1 - x + 1)
-                + math.lgamma(r2 + 1) - math.lgamma(c1 - x + 1) - math.lgamma(r2 - c1 + x + 1)
-                - (math.lgamma(n + 1) - math.lgamma(c1 + 1) - math.lgamma(n - c1 + 1)))
+        return _log_binomial(x, r1, p, q) + _log_binomial(c1 - x, r2, p, q) - whole if r1 and r2 else 0.0
 
     lo, hi = max(0, c1 - r2), min(r1, c1)
-    p_obs = logp(a)
-    cut = p_obs + math.log1p(1e-7)
-    # tables more likely than the observed one form a run around the mode; the
-    # p-value is the two tails outside it, summed until their terms vanish
+    cut = logp(a) + math.log1p(1e-7)
     mode = min(hi, max(lo, ((r1 + 1) * (c1 + 1)) // (n + 2)))
-    left, right = mode, mode
     if logp(mode) <= cut:
-        left, right = mode + 1, mode  # empty middle: every table counts
-    else:
-        while left - 1 >= lo and logp(left - 1) > cut:
-            left -= 1
-        while right + 1 <= hi and logp(right + 1) > cut:
-            right += 1
+        return odds, 1.0  # no table is more likely
+
+    def edge(inner, outer):
+        """The table nearest the mode, towards ``outer``, that counts; None if there is none."""
+        if logp(outer) > cut:
+            return None
+        while abs(outer - inner) > 1:
+            middle = (inner + outer) // 2
+            inner, outer = (middle, outer) if logp(middle) > cut else (inner, middle)
+        return outer
+
     total = 0.0
-    for start, step, stop in ((left - 1, -1, lo - 1), (right + 1, 1, hi + 1)):
-        x = start
-        while x != stop:
-            term = math.exp(logp(x))
-            total += term
-            if term < 1e-300 or (total > 0 and term < total * 1e-17):
-                break
-            x += step
-    if left > right:  # the observed table is as likely as the mode: every table counts
-        total = 1.0
+    for x, step, end in ((edge(mode, lo), -1, lo), (edge(mode, hi), 1, hi)):
+        if x is None:
+            continue
+        at, term = x, math.exp(logp(x))
+        total += term
+        while at != end and term > total * 1e-17:
+            k = np.arange(1, min(abs(end - at), 65536) + 1, dtype=np.float64) * step + at
+            # ratio of each table to the one before it
+            if step > 0:
+                ratio = (r1 - k + 1) * (c1 - k + 1) / (k * (r2 - c1 + k))
+            else:
+                ratio = (k + 1) * (r2 - c1 + k + 1) / ((r1 - k) * (c1 - k))
+            terms = term * np.cumprod(ratio)
+            total += float(terms.sum())
+            at, term = int(k[-1]), float(terms[-1])
     return odds, min(1.0, total)
 
 

@@ -3,8 +3,8 @@
 Two Spark jobs cover any number of predictors: one wide ``agg`` gives pairwise
 complete counts, ranges and ``corr`` for every numeric predictor; one long
 contingency table ``(column, y, x, n)`` (all categorical predictors unpivoted
-together) gives every chi-square.  The chi-square needs no zero cells:
-Σ(o−e)²/e = Σ_observed o²/e − n, and in a 2×2 table every |o−e| is equal, so
+together) gives every chi-square.  The chi-square needs no zero cells: an empty
+one adds its expected count, and together those are n − Σ_observed e.  In a 2×2 table every |o−e| is equal, so
 the Yates form is (d − min(½, d))² · n · Σ1/rᵢ · Σ1/cⱼ from the margins.
 P-values are computed on the per-predictor summary rows.
 """
@@ -99,21 +99,25 @@ def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
                                         F.min("r").alias("r_min"))
     csum = cols_t.groupBy("column").agg(F.count(F.lit(1)).alias("C"), F.sum(1.0 / F.col("c")).alias("inv_c"),
                                         F.min("c").alias("c_min"))
-    e = F.col("r") * F.col("c") / F.col("n_tot")
-    j = (cells.join(rows_t, ["column", "y"]).join(cols_t, ["column", "x"]).join(tot, "column")
+    # in doubles: products of counts outgrow a long; per-predictor sides are one row per predictor
+    N = F.col("n_tot").cast("double")
+    e = F.col("r").cast("double") * F.col("c").cast("double") / N
+    off = F.col("n").cast("double") - F.col("e")
+    j = (cells.join(rows_t, ["column", "y"]).join(cols_t, ["column", "x"]).join(F.broadcast(tot), "column")
          .withColumn("e", e))
     obs = j.groupBy("column").agg(
-        F.sum(F.col("n") * F.col("n") / F.col("e")).alias("s_o2e"),
-        F.max(F.abs(F.col("n") - F.col("e"))).alias("d"),
+        F.sum(off * off / F.col("e")).alias("seen"), F.sum("e").alias("mass"),
+        F.max(F.abs(off)).alias("d"),
         F.count(F.lit(1)).alias("n_obs_cells"))
-    out = obs.join(tot, "column").join(rsum, "column").join(csum, "column")
-    N = F.col("n_tot").cast("double")
-    plain = F.col("s_o2e") - N
+    out = obs.join(F.broadcast(tot), "column").join(F.broadcast(rsum), "column").join(F.broadcast(csum), "column")
+    full = F.col("n_obs_cells") == F.col("R") * F.col("C")
+    # an empty cell adds its expected count
+    plain = F.col("seen") + F.when(full, F.lit(0.0)).otherwise(F.greatest(N - F.col("mass"), F.lit(0.0)))
     yform = (F.pow(F.col("d") - F.least(F.lit(0.5), F.col("d")), 2) * N * F.col("inv_r") * F.col("inv_c"))
     chi2 = F.when((F.col("R") == 2) & (F.col("C") == 2) & F.lit(yates), yform).otherwise(plain)
     return out.select(
         "column", F.col("n_tot").alias("n"), F.col("R").alias("n_rows_levels"), F.col("C").alias("n_cols_levels"), F.greatest(chi2, F.lit(0.0)).alias("chi2"),
-        (F.col("r_min") * F.col("c_min") / N).alias("min_expected"), "n_obs_cells")
+        (F.col("r_min").cast("double") * F.col("c_min").cast("double") / N).alias("min_expected"), "n_obs_cells")
 
 
 def expected_share_below(cells: DataFrame, threshold: float = 5.0) -> DataFrame:
@@ -125,8 +129,8 @@ def expected_share_below(cells: DataFrame, threshold: float = 5.0) -> DataFrame:
     rows_t = cells.groupBy("column", "y").agg(F.sum("n").alias("r"))
     cols_t = cells.groupBy("column", "x").agg(F.sum("n").alias("c"))
     per = rows_t.groupBy("column").agg(F.collect_list("r").alias("rs"), F.sum("r").alias("n_tot"))
-    j = cols_t.join(per, "column")
-    below = F.size(F.filter("rs", lambda r: r * F.col("c") < F.lit(threshold) * F.col("n_tot")))
+    j = cols_t.join(F.broadcast(per), "column")  # one row per predictor
+    below = F.size(F.filter("rs", lambda r: r.cast("double") * F.col("c").cast("double") < F.lit(threshold) * F.col("n_tot").cast("double")))
     return j.groupBy("column").agg(
         (F.sum(below) / F.sum(F.size("rs"))).alias("pct_expected_lt5"),
         F.sum(F.size("rs")).alias("n_cells"))

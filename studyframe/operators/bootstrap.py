@@ -1,102 +1,95 @@
 """Bootstrap intervals for effect sizes (I10, L16 helper).
 
 Resampling n rows with replacement is replaced by Poisson(1) weights per row and
-replicate (the standard large-data bootstrap).  Two shapes:
-
-* row level (point-biserial r): ``mapInPandas`` draws weights for the rows of a
-  partition and emits per-replicate partial sums (B rows per partition and
-  predictor); ``groupBy(column, replicate)`` adds them up.
-* count tables (rank-biserial r, Cramér's V): a sum of c Poisson(1) weights is
-  Poisson(c), so each (value, class) or contingency cell is resampled directly
-  from its count.  One ``applyInPandas`` group per predictor holds that
-  predictor's count table, which is bounded by its levels (or by ``bins``
-  quantile bins for a continuous predictor), never by its rows.
-
-Weights come from a generator seeded by (seed, predictor, partition content), so a
-recomputed task reproduces them.
+replicate (the standard large-data bootstrap). Equal rows are counted first: a sum
+of c Poisson(1) weights is Poisson(c), so every distinct value (or cell) is drawn
+once per replicate from its count. Its generator is seeded by the seed, the
+predictor and the value itself, so the draws are the same for any partitioning and
+after a lost executor. No task holds more than a stretch of one predictor's values
+and one vector of replicates.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = 2048
-_CELL_BUDGET = 4_000_000  # float64 cells per draw chunk (~32 MB)
 
-
-def _seed(seed: int, name: str, salt: int) -> np.random.Generator:
-    return np.random.default_rng([int(seed) & 0x7FFFFFFF, zlib.crc32(name.encode()), int(salt) & 0x7FFFFFFFFFFF])
+def _generator(seed: int, *parts) -> np.random.Generator:
+    """A generator of its own for each predictor and value."""
+    text = "\x1f".join([str(int(seed)), *(p.hex() if isinstance(p, float) else str(p) for p in parts)])
+    key = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=16).digest(), "little")
+    return np.random.Generator(np.random.Philox(key=key))
 
 
 def pearson_replicates(long: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """``long``: (column string, x double, y double, rk long) over complete pairs.
+    """``long``: (column string, x double, y double) over complete pairs.
 
-    Returns (column, rep, r) for every replicate where r is defined.
+    Returns (column, rep, r) for every replicate where r is defined. x and y are
+    centred on their means first, so large offsets cost no digits.
     """
     B = int(n_boot)
+    names = ["s0", "sx", "sy", "sxx", "syy", "sxy"]
 
-    def fn(batches):
-        acc = {}
-        salt = {}
+    def draw(batches):
+        acc: dict[str, np.ndarray] = {}
         for pdf in batches:
-            for name, g in pdf.groupby("column", sort=False):
-                x = g["x"].to_numpy(dtype="float64")
-                y = g["y"].to_numpy(dtype="float64")
-                feats = np.stack([np.ones_like(x), x, y, x * x, y * y, x * y], axis=1)
-                s = salt.get(name, 0) ^ int(np.bitwise_xor.reduce(g["rk"].to_numpy(dtype="int64")) if len(g) else 0)
-                salt[name] = s
-                rng = _seed(seed, name, s)
-                tot = acc.get(name)
-                for i in range(0, len(x), _CHUNK):
-                    w = rng.poisson(1.0, size=(min(_CHUNK, len(x) - i), B)).astype("float64")
-                    part = w.T @ feats[i:i + _CHUNK]
-                    tot = part if tot is None else tot + part
-                acc[name] = tot
-        for name, tot in acc.items():
-            yield pd.DataFrame({"column": name, "rep": np.arange(B, dtype="int32"),
-                                "s0": tot[:, 0], "sx": tot[:, 1], "sy": tot[:, 2],
-                                "sxx": tot[:, 3], "syy": tot[:, 4], "sxy": tot[:, 5]})
-
-    schema = "column string, rep int, s0 double, sx double, sy double, sxx double, syy double, sxy double"
-    parts = long.mapInPandas(fn, schema)
-    s = parts.groupBy("column", "rep").agg(*[F.sum(c).alias(c) for c in ("s0", "sx", "sy", "sxx", "syy", "sxy")])
+            for c, x, y, n, mx, my in zip(pdf["column"], pdf["x"], pdf["y"], pdf["n"], pdf["mx"], pdf["my"]):
+                w = _generator(seed, c, float(x), float(y)).poisson(n, B).astype("float64")
+                dx, dy = x - mx, y - my
+                part = np.outer([1.0, dx, dy, dx * dx, dy * dy, dx * dy], w)
+                acc[c] = acc[c] + part if c in acc else part
+        for c, tot in acc.items():
+            yield pd.DataFrame({"column": c, "rep": np.arange(B, dtype="int32"), **dict(zip(names, tot))})
+
+    pairs = long.groupBy("column", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    means = long.groupBy("column").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    # one row per predictor: a bounded broadcast
+    parts = pairs.join(F.broadcast(means), "column").mapInPandas(
+        draw, "column string, rep int, " + ", ".join(f"{c} double" for c in names))
+    s = parts.groupBy("column", "rep").agg(*[F.sum(c).alias(c) for c in names])
     n = F.col("s0")
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
     vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = n * F.col("syy") - F.col("sy") * F.col("sy")
-    r = F.when((n >= 3) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    r = F.when((n >= 3) & (vx > 0) & (vy > 0), cov / (F.sqrt(vx) * F.sqrt(vy)))
     return s.select("column", "rep", r.alias("r")).where(F.col("r").isNotNull())
 
 
 def rank_biserial_replicates(counts: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """``counts``: (column, v double, c1 long, c0 long), one row per value (or bin).
+    """``counts``: (column, bucket, value double, c1 long, c0 long), buckets in value order.
 
-    Returns (column, rep, r) with r = 2·U1/(n1·n0) − 1 of each resampled table.
+    Returns (column, rep, r) with r = 2·U1/(n1·n0) − 1 of each resampled table, over
+    the values themselves. A bucket gives, per replicate, its weights of both classes
+    and the U of its own pairs; pairs across buckets follow from the weights of class
+    0 in the buckets below.
     """
     B = int(n_boot)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf["column"].iloc[0])
-        pdf = pdf.sort_values("v")
-        c1 = pdf["c1"].to_numpy(dtype="float64")
-        c0 = pdf["c0"].to_numpy(dtype="float64")
-        rng = _seed(seed, name, int(c1.sum() * 1_000_003 + c0.sum()))
-        w1 = rng.poisson(c1[:, None], size=(len(c1), B)).astype("float64")
-        w0 = rng.poisson(c0[:, None], size=(len(c0), B)).astype("float64")
-        below0 = np.cumsum(w0, axis=0) - w0
-        u = (w1 * (below0 + 0.5 * w0)).sum(axis=0)
-        n1, n0 = w1.sum(axis=0), w0.sum(axis=0)
-        ok = (n1 >= 2) & (n0 >= 2)
-        r = np.where(ok, 2.0 * u / np.where(ok, n1 * n0, 1.0) - 1.0, np.nan)
-        keep = ~np.isnan(r)
-        return pd.DataFrame({"column": name, "rep": np.arange(B, dtype="int32")[keep], "r": r[keep]})
-
-    return counts.groupBy("column").applyInPandas(fn, "column string, rep int, r double")
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("value")
+        c, bucket = str(pdf["column"].iloc[0]), int(pdf["bucket"].iloc[0])
+        w1, w0, u = np.zeros(B), np.zeros(B), np.zeros(B)
+        for v, c1, c0 in zip(pdf["value"], pdf["c1"], pdf["c0"]):
+            rng = _generator(seed, c, float(v))
+            one, zero = rng.poisson(c1, B), rng.poisson(c0, B)
+            u += one * (w0 + 0.5 * zero)
+            w1 += one
+            w0 += zero
+        return pd.DataFrame({"column": c, "bucket": bucket, "rep": np.arange(B, dtype="int32"), "u": u, "w1": w1, "w0": w0})
+
+    parts = counts.groupBy("column", "bucket").applyInPandas(
+        draw, "column string, bucket int, rep int, u double, w1 double, w0 double")
+    below = Window.partitionBy("column", "rep").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("below", F.coalesce(F.sum("w0").over(below), F.lit(0.0)))
+    s = parts.groupBy("column", "rep").agg(F.sum(F.col("u") + F.col("w1") * F.col("below")).alias("u"),
+                                           F.sum("w1").alias("n1"), F.sum("w0").alias("n0"))
+    return s.where((F.col("n1") >= 2) & (F.col("n0") >= 2)).select(
+        "column", "rep", (2.0 * F.col("u") / (F.col("n1") * F.col("n0")) - 1.0).alias("r"))
 
 
 def cramers_v_replicates(cells: DataFrame, n_boot: int, seed: int) -> DataFrame:
@@ -105,33 +98,25 @@ def cramers_v_replicates(cells: DataFrame, n_boot: int, seed: int) -> DataFrame:
     resample drop out of that table, as they would from a cross-tabulation."""
     B = int(n_boot)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = str(pdf["column"].iloc[0])
-        ys = {v: i for i, v in enumerate(sorted(pdf["y"].unique()))}
-        xs = {v: i for i, v in enumerate(sorted(pdf["x"].unique()))}
-        m = np.zeros((len(ys), len(xs)))
-        for y, x, n in zip(pdf["y"], pdf["x"], pdf["n"]):
-            m[ys[y], xs[x]] = n
-        rng = _seed(seed, name, int(m.sum()))
-        # replicates are drawn in chunks so memory stays near _CELL_BUDGET cells
-        chunk = max(1, min(B, _CELL_BUDGET // max(1, m.size)))
-        out = []
-        for start in range(0, B, chunk):
-            k = min(chunk, B - start)
-            draws = rng.poisson(m[:, :, None], size=m.shape + (k,)).astype("float64")
-            for j in range(k):
-                t = draws[:, :, j]
-                t = t[t.sum(axis=1) > 0][:, t.sum(axis=0) > 0]
-                if t.shape[0] < 2 or t.shape[1] < 2:
-                    continue
-                n = t.sum()
-                e = np.outer(t.sum(axis=1), t.sum(axis=0)) / n
-                chi2 = float(((t - e) ** 2 / e).sum())
-                out.append((start + j, float(np.sqrt(chi2 / (n * (min(t.shape) - 1))))))
-        return pd.DataFrame({"column": name, "rep": np.array([o[0] for o in out], dtype="int32"),
-                             "r": np.array([o[1] for o in out], dtype="float64")})
-
-    return cells.groupBy("column").applyInPandas(fn, "column string, rep int, r double")
+    def draw(batches):
+        for pdf in batches:
+            for c, y, x, n in zip(pdf["column"], pdf["y"], pdf["x"], pdf["n"]):
+                w = _generator(seed, c, y, x).poisson(n, B)
+                rep = np.flatnonzero(w)
+                yield pd.DataFrame({"column": c, "y": y, "x": x, "rep": rep.astype("int32"), "w": w[rep].astype("float64")})
+
+    drawn = cells.select("column", "y", "x", "n").mapInPandas(draw, "column string, y string, x string, rep int, w double")
+    rows = drawn.groupBy("column", "rep", "y").agg(F.sum("w").alias("r"))
+    cols = drawn.groupBy("column", "rep", "x").agg(F.sum("w").alias("c"))
+    size = rows.groupBy("column", "rep").agg(F.sum("r").alias("total"), F.count(F.lit(1)).alias("n_y"))
+    width = cols.groupBy("column", "rep").agg(F.count(F.lit(1)).alias("n_x"))
+    e = F.col("r") * F.col("c") / F.col("total")
+    t = (drawn.join(rows, ["column", "rep", "y"]).join(cols, ["column", "rep", "x"]).join(size, ["column", "rep"])
+         .groupBy("column", "rep").agg(F.sum(F.pow(F.col("w") - e, 2) / e).alias("seen"), F.sum(e).alias("mass"),
+                                       F.first("total").alias("total"), F.first("n_y").alias("n_y")).join(width, ["column", "rep"]))
+    least = F.least("n_y", "n_x")
+    chi2 = F.col("seen") + F.greatest(F.col("total") - F.col("mass"), F.lit(0.0))  # an empty cell adds its expected count
+    return t.where(least >= 2).select("column", "rep", F.sqrt(chi2 / (F.col("total") * (least - 1))).alias("r"))
 
 
 def percentile_ci(reps: DataFrame, n_boot: int, ci_level: float) -> dict:

@@ -248,9 +248,10 @@ def frame_shape(df: DataFrame) -> DataFrame:
 
 def janitor(df: DataFrame, specs, apply_all: bool = True, id_cols=None, order_cols=None,
             include_first: bool = True, drop_dupes: bool = False, rename_map=None):
-    """Schema → derived → missing flags → duplicates, or duplicates only.
+    """Schema → derived → missing flags → duplicates, or duplicates only; then the overview.
 
-    Returns ``(frame, duplicates_report)``.
+    Returns ``(frame, duplicates_report, overview)``; the overview is the shape of the
+    frame (A1) with its encounter counts (K5) where id columns are given.
     """
     from . import dedupe
 
@@ -261,4 +262,8 @@ def janitor(df: DataFrame, specs, apply_all: bool = True, id_cols=None, order_co
     report = dedupe.report(df, id_cols, order_cols, include_first=include_first) if id_cols else None
     if drop_dupes and id_cols:
         df = dedupe.drop_later(df, id_cols, order_cols)
-    return df, report
+    overview = frame_shape(df)
+    if id_cols:
+        # one row each
+        overview = overview.join(F.broadcast(dedupe.encounter_overview(df, id_cols).withColumnRenamed("n_rows", "_rows")), F.col("n_rows") == F.col("_rows")).drop("_rows")
+    return df, report, overview

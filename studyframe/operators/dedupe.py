@@ -43,18 +43,28 @@ def masks(df: DataFrame, id_cols, order_cols) -> DataFrame:
     order_cols = _as_list(order_cols)
     if not order_cols:
         raise ValueError("an explicit source order is required to tell first from later rows")
-    keys = {f"_k{i}": X.key_normalise(c, _is_text(df, c)) for i, c in enumerate(id_cols)}
-    knames = list(keys)
-    order = F.struct(*[F.col(c) for c in order_cols])
-    keyed = df.withColumns(keys).withColumn("_ord", order)
-    complete = keyed.where(" AND ".join(f"{k} IS NOT NULL" for k in knames))
-    groups = complete.groupBy(*knames).agg(F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    joined = keyed.join(groups, on=knames, how="left")
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        F.coalesce(F.col("_n") > 1, F.lit(False)).alias("_dup_group"),
-        F.coalesce((F.col("_n") > 1) & (F.col("_ord") > F.col("_first")), F.lit(False)).alias("_dup_later"),
+    keys = [X.key_normalise(c, _is_text(df, c)) for c in id_cols]
+    parts = []
+    for k, c in zip(keys, id_cols):
+        text = (k + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else k).cast("string")
+        parts += [F.length(text).cast("string"), text]  # lengths keep neighbours apart
+    whole = parts[1].isNotNull()
+    for p in parts[3::2]:
+        whole &= p.isNotNull()
+    # a digest is the key, so texts are not shuffled for it
+    keyed = df.withColumns({"_key": F.when(whole, F.sha2(F.concat_ws(":", *parts), 256)),
+                            "_ord": F.struct(*[F.col(c) for c in order_cols])})
+    groups = (keyed.where(F.col("_key").isNotNull()).groupBy("_key")
+              .agg(F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
+    joined = keyed.where(F.col("_key").isNotNull()).join(groups, "_key", "left")
+    flagged = joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.col("_n").isNotNull().alias("_dup_group"),
+        F.coalesce(F.col("_ord") > F.col("_first"), F.lit(False)).alias("_dup_later"),
     )
+    # rows with an incomplete key go around the join
+    alone = keyed.where(F.col("_key").isNull()).drop("_key", "_ord").withColumns({"_dup_group": F.lit(False), "_dup_later": F.lit(False)})
+    return flagged.unionByName(alone)
 
 
 def report(df: DataFrame, id_cols, order_cols, include_first: bool = True) -> DataFrame:

@@ -125,24 +125,21 @@ def threshold_scan(scored: DataFrame, y: str = "y", p: str = "p", thresholds=THR
                                        "sensitivity double, specificity double, youden_j double")
 
 
+def _best_threshold(scan: DataFrame) -> float:
+    """The lowest threshold with the largest J of a scan; 0.5 if there is none."""
+    best = scan.where(F.col("youden_j").isNotNull()).agg(
+        F.max_by("threshold", F.struct("youden_j", (-F.col("i")).alias("first"))).alias("t")).first()
+    return 0.5 if best["t"] is None else best["t"]
+
+
 def youden_threshold(scan: DataFrame) -> float:
-    """The first threshold (lowest) with the largest J; 0.5 if none is defined."""
-    best, best_t = None, 0.5
-    for r in scan.orderBy("i").collect():  # the grid is 181 rows
-        if r["youden_j"] is not None and (best is None or r["youden_j"] > best):
-            best, best_t = r["youden_j"], r["threshold"]
-    return best_t
+    """The threshold with the largest J."""
+    return _best_threshold(scan)
 
 
 def min_sensitivity_threshold(scan: DataFrame, target: float) -> float:
-    """Among thresholds reaching ``target`` sensitivity, the first with the best J; else 0.5."""
-    best, best_t = None, 0.5
-    for r in scan.orderBy("i").collect():
-        if r["sensitivity"] is None or r["sensitivity"] < target or r["youden_j"] is None:
-            continue
-        if best is None or r["youden_j"] > best:
-            best, best_t = r["youden_j"], r["threshold"]
-    return best_t
+    """The threshold with the largest J among those that reach ``target`` sensitivity."""
+    return _best_threshold(scan.where(F.col("sensitivity") >= target))
 
 
 def calibration(scored: DataFrame, y: str = "y", p: str = "p", edges=CALIBRATION_EDGES) -> DataFrame:
@@ -180,7 +177,7 @@ def metrics_long(metrics: DataFrame) -> DataFrame:
 
 
 def auc_bootstrap_ci(scored: DataFrame, n_boot: int = 1000, ci_level: float = 0.95, seed: int = 42,
-                     y: str = "y", p: str = "p", rank_bins: int = 2000):
+                     y: str = "y", p: str = "p"):
     """BCa interval of the AUC; percentile interval when BCa is undefined.
 
     Replicates resample the (score, class) count table with Poisson weights.
@@ -199,11 +196,9 @@ def auc_bootstrap_ci(scored: DataFrame, n_boot: int = 1000, ci_level: float = 0.
         ranked.unpersist()
         return None, None
     auc = mw["u1"] / (n1 * n0)
-    n_distinct = ranked.count()
-    bins = infer.bootstrap_bins(ranked, {"p": (n1 + n0, n_distinct)}, rank_bins)
-    reps = bootstrap.rank_biserial_replicates(bins, n_boot, seed).withColumn("r", (F.col("r") + 1.0) / 2.0)
+    reps = bootstrap.rank_biserial_replicates(vt, n_boot, seed).withColumn("r", (F.col("r") + 1.0) / 2.0)
     vals = sorted(r["r"] for r in reps.collect())  # n_boot values
-    if len(vals) < max(10, int(0.1 * n_boot)):
+    if len(vals) < max(50, int(0.2 * n_boot)):
         return None, None
     a = (1.0 - ci_level) / 2.0
 

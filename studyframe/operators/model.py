@@ -15,7 +15,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from . import diagnostics as D
 from . import profile
 
+MOST_CLASSES = 100  # a column with more values is refused as a class label
 HASH_SPACE = 1 << 52  # hashes folded into exactly representable doubles
 
 
@@ -40,7 +41,9 @@ def _hash01(key_cols, seed: int):
 def _class_cutoffs(df: DataFrame, y: str, h: str, fractions) -> dict:
     """Per class label: for each fraction f, (hash value at rank ⌊f·n + ½⌋ − 1, ⌊f·n + ½⌋),
     exact order statistics from the bucketed value table."""
-    labels = [r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().limit(3).collect()]
+    labels = sorted(r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect())
+    if len(labels) > MOST_CLASSES:
+        raise ValueError(f"{y} has more than {MOST_CLASSES} classes; it is no class label")
     wide = df.select(*[F.when(F.col(y) == F.lit(lb), F.col(h)).alias(f"c{i}") for i, lb in enumerate(labels)])
     cols = [f"c{i}" for i in range(len(labels))]
     counts = wide.agg(*[F.count(c).alias(c) for c in cols]).first()
@@ -107,6 +110,20 @@ class ModeFill(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWrit
         return ModeFillModel(inputCols=self.getInputCols(), fills=json.dumps(modes(dataset, self.getInputCols())))
 
 
+class MedianFill(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Fill NULLs of numeric columns with their exact median (0 for a column without values)."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset):
+        from .impute import medians
+        known = medians(dataset, self.getInputCols())
+        return ModeFillModel(inputCols=self.getInputCols(), fills=json.dumps({c: known.get(c, 0.0) for c in self.getInputCols()}))
+
+
 class ModeFillModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     fills = Param(Params._dummy(), "fills", "JSON map column → fill value", typeConverter=TypeConverters.toString)
 
@@ -122,22 +139,22 @@ class ModeFillModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWri
 
 def preprocessor(df: DataFrame, predictors):
     """Stages turning predictors into ``features``: numeric/boolean → median fill →
-    standardise; text/categorical → mode fill → index (unseen kept) → one-hot."""
+    standardise; text/categorical → mode fill → index → one-hot (an unseen level is all zeros)."""
     num = [c for c in predictors if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
     cat = [c for c in predictors if c not in num]
     stages, vec = [], []
     if num:
         cast = [f"_n_{c}" for c in num]
         stages.append(_cast_double_stage(num, cast))
-        stages.append(Imputer(inputCols=cast, outputCols=[f"{c}_i" for c in cast], strategy="median"))
-        stages.append(VectorAssembler(inputCols=[f"{c}_i" for c in cast], outputCol="_num_vec"))
+        stages.append(MedianFill(inputCols=cast))
+        stages.append(VectorAssembler(inputCols=cast, outputCol="_num_vec"))
         stages.append(StandardScaler(inputCol="_num_vec", outputCol="_num_std", withMean=True, withStd=True))
         vec.append("_num_std")
     if cat:
         stages.append(ModeFill(inputCols=cat))
         stages.append(StringIndexer(inputCols=cat, outputCols=[f"_ix_{c}" for c in cat], handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[f"_ix_{c}" for c in cat], outputCols=[f"_oh_{c}" for c in cat],
-                                    dropLast=True, handleInvalid="keep"))
+                                    dropLast=True))  # the last index is the unseen level's
         vec += [f"_oh_{c}" for c in cat]
     stages.append(VectorAssembler(inputCols=vec, outputCol="features"))
     return stages
@@ -152,8 +169,10 @@ def _cast_double_stage(cols, outs):
 # ----------------------------------------------------------------- L4–L6 candidates
 
 def candidates(n_train: int, seed: int = 42):
-    """Model name → (classifier, param grid).  C maps to regParam = 1/(C·n)."""
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=3000, probabilityCol="probability")
+    """Model name → (classifier, param grid).  C maps to regParam = 1/(C·n), n of the rows fitted."""
+    # The searched grids.
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=3000, probabilityCol="probability",
+                            standardization=False)  # the penalty is on the encoded columns as they are
     lr_grid = (ParamGridBuilder()
                .addGrid(lr.regParam, [1.0 / (c * max(n_train, 1)) for c in (0.1, 1.0, 10.0)])
                .addGrid(lr.weightCol, ["w_one", "w_balanced"]).build())
@@ -181,18 +200,16 @@ def _params_text(pm) -> str:
 
 def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_id",), test_size: float = 0.2,
         cv_folds: int = 5, n_boot: int = 1000, ci_level: float = 0.95, threshold_strategy: str = "youden",
-        min_sensitivity_target: float = 0.8, random_state: int = 42, parallelism: int = 4,
+        min_sensitivity_target: float = 0.75, random_state: int = 42, parallelism: int = 4,
         models=("logistic_regression", "random_forest", "gradient_boosting")) -> dict:
     """L20 (L13 fixed 0.5, L11/L12 scanned thresholds): split → grid search per
     model family → pick best mean AUC → threshold from out-of-fold probabilities
     → held-out metrics.  Returns DataFrames:
     comparison, metrics, importance, scored_test, plus the fitted model."""
-    if not 0 < test_size < 1:
-        raise ValueError("test_size must be between 0 and 1")
-    if cv_folds < 2:
-        raise ValueError("cv_folds must be at least 2")
-    if n_boot < 100:
-        raise ValueError("n_boot must be at least 100")
+    wrong = [text for text, ok in (("test_size is below one half and above 0", 0 < test_size < 0.5), ("cv_folds is 3 or more", cv_folds >= 3),
+                                   ("n_boot is 200 or more", n_boot >= 200)) if not ok]
+    if wrong:
+        raise ValueError("needed: " + "; ".join(wrong))
     if threshold_strategy not in ("youden", "min_sensitivity", "fixed"):
         raise ValueError("threshold_strategy must be youden, min_sensitivity or fixed")
     spark = df.sparkSession
@@ -207,7 +224,7 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
     train = train.checkpoint(eager=True)  # reused by every fit: cut lineage once
     n_train = train.count()
     pre = preprocessor(train, list(predictors))
-    comparison, fitted = grid_search(train, pre, candidates(n_train, random_state), cv_folds, parallelism,
+    comparison, fitted = grid_search(train, pre, lambda n: candidates(n, random_state), cv_folds, parallelism,
                                      [m for m in models])
     comp_df = spark.createDataFrame(comparison, "model_name string, best_cv_auc_mean double, "
                                                 "best_cv_auc_std double, best_params string")
@@ -243,26 +260,26 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
             "scored_test": scored, "model": best_model, "warning": warning}
 
 
-def grid_search(train: DataFrame, pre, cands: dict, k: int, parallelism: int, models):
+def grid_search(train: DataFrame, pre, make, k: int, parallelism: int, models):
     """Stratified k-fold grid search on ROC-AUC.
 
     Preprocessing has no searched parameters, so it is fitted once per fold and
     the fold's feature vectors are cached; every grid point's classifier is then
     fitted on them (JVM fits run concurrently) and scored on the held-out fold
-    with the exact AUC.  Returns comparison rows (best mean, sd, params) sorted by
+    with the exact AUC.  ``make(n)`` gives the candidates for n fitted rows.  Returns comparison rows (best mean, sd, params) sorted by
     mean AUC and the best classifier per family, unfitted.
     """
     from concurrent.futures import ThreadPoolExecutor
     evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
                                               metricName="areaUnderROC", numBins=0)
-    jobs = [(name, i, clf, pm) for name, (clf, grid) in cands.items() if name in models
-            for i, pm in enumerate(grid)]
-    scores = {(name, i): [] for name, i, _, _ in jobs}
+    cands = make(train.count())
+    scores = {(name, i): [] for name, (_, grid) in cands.items() if name in models for i in range(len(grid))}
     keep = ["features", "label", "w_one", "w_balanced"]
     for f in range(k):
         prep = Pipeline(stages=list(pre)).fit(train.where(F.col("fold") != f))
         tr = prep.transform(train.where(F.col("fold") != f)).select(*keep).persist()
         va = prep.transform(train.where(F.col("fold") == f)).select(*keep).persist()
+        jobs = [(name, i, clf, pm) for name, (clf, grid) in make(tr.count()).items() if name in models for i, pm in enumerate(grid)]
         try:
             def one(job):
                 name, i, clf, pm = job
@@ -311,7 +328,7 @@ def feature_importance(pipeline_model, spark) -> DataFrame:
     else:
         vals = [abs(v) for v in clf.coefficients.toArray().tolist()]
     if len(names) != len(vals):
-        names = [f"f{i}" for i in range(len(vals))]
+        raise ValueError(f"{len(vals)} coefficients for {len(names)} features")
     return spark.createDataFrame(list(zip(names, [float(v) for v in vals])), "feature string, importance double")
 
 
@@ -320,13 +337,13 @@ def _feature_names(pipeline_model) -> list[str]:
     num, cat_sizes = [], []
     for st in pipeline_model.stages:
         cls = type(st).__name__
-        if cls == "ImputerModel":
-            num = [c[len("_n_"):-2] if c.endswith("_i") else c for c in st.getOutputCols()]
+        if cls == "VectorAssembler" and st.getOutputCol() == "_num_vec":
+            num = [c[len("_n_"):] for c in st.getInputCols()]
         if cls == "StringIndexerModel":
             cat_sizes = list(zip(st.getInputCols(), st.labelsArray))
     names = list(num)
     for col, labels in cat_sizes:
-        names += [f"{col}={lb}" for lb in labels]  # dropLast with 'keep' leaves exactly the seen labels
+        names += [f"{col}={lb}" for lb in labels]  # dropLast leaves exactly the seen labels
     return names
 
 

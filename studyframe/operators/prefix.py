@@ -11,9 +11,12 @@ task after an executor loss produces identical results.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def default_buckets(spark) -> int:
@@ -27,20 +30,41 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     return default_buckets(df.sparkSession)
 
 
+def accuracy(buckets: int) -> int:
+    """Quantile accuracy that resolves so many ranges."""
+    return max(1000, 10 * int(buckets))
+
+
+def _number(df: DataFrame, key: str):
+    """A number that never falls as the key rises (text: six bytes after the common start)."""
+    kind = df.schema[key].dataType
+    k = F.col(f"`{key}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        ends = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi")).first()
+        lo, hi = (v.encode() if isinstance(v, str) else bytes(v or b"") for v in (ends["lo"] or "", ends["hi"] or ""))
+        same = len(os.path.commonprefix([lo, hi]))
+        raw = F.encode(k, "UTF-8") if isinstance(kind, T.StringType) else k
+        return F.conv(F.rpad(F.hex(F.substring(raw, same + 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(k.cast("timestamp")).cast("double")
+    return k.cast("double")
+
+
 def with_range_bucket(df: DataFrame, key: str, buckets: int | None = None, out: str = "_rb") -> DataFrame:
-    """Adds an integer range bucket of ``key``: monotone in ``key``, balanced by quantile."""
+    """Adds an integer range bucket of ``key`` (any ordered type): never falls as the key rises, balanced by quantile."""
     b = _bucket_count(df, buckets)
     if b == 1:
         return df.withColumn(out, F.lit(0))
     probs = [i / b for i in range(1, b)]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 1000).alias("q")).first()
+    number = _number(df, key)
+    row = df.agg(F.percentile_approx(number, probs, accuracy(b)).alias("q")).first()
     cuts = sorted({float(v) for v in (row["q"] or []) if v is not None})
     if not cuts:
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf")] + cuts + [float("inf")]
     tmp = "_rb_key"
     bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return bz.transform(df.withColumn(tmp, F.col(key).cast("double"))).drop(tmp).withColumn(out, F.col(out).cast("int"))
+    return bz.transform(df.withColumn(tmp, number)).drop(tmp).withColumn(out, F.col(out).cast("int"))
 
 
 def _bucket_offsets(b: DataFrame, aggs: dict, order_desc: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from . import ranking
-from .prefix import default_buckets
+from .prefix import accuracy, default_buckets
 
 BOOKKEEPING = ("included_in_cohort", "row_id", "cohort_exclusion_reason", "target")
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -77,37 +77,35 @@ def _rows_and_levels(df: DataFrame, cols):
     return vc_all.where(F.col("value").isNotNull()), rows
 
 
-SMALL_CARDINALITY = 1000
-
-
 def column_catalog(df: DataFrame, cols=None) -> list[dict]:
-    """Per column: dtype, metadata, rows, non-null and distinct counts.
+    """Per column: dtype, metadata, rows, non-null count and levels as 0, 1, 2 or 3 (three or more).
 
-    Routing only needs to tell one, two or more levels apart, so distinct counts
-    are exact where they could be small: one pass gives row / non-null counts and
-    an approximate distinct count, and only columns estimated at no more than
-    ``SMALL_CARDINALITY`` levels get an exact value count.  Larger estimates are
-    reported as is (``n_unique_exact`` False); no routing rule depends on them.
+    Routing only tells one, two and more levels apart, which the smallest value, the
+    largest one and the number of other values settle exactly, in two aggregates.
     Returns one small dict per column.
     """
     cols = list(cols or df.columns)
     if not cols:
         return []
+
+    def plain(c):  # types without an order are compared as text
+        kind = df.schema[c].dataType
+        x = F.col(f"`{c}`")
+        return F.to_json(x) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else x
+
     first = df.agg(F.count(F.lit(1)).alias("__rows"),
                    *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if first[f"d{i}"] <= SMALL_CARDINALITY]
-    exact = {}
-    if small:
-        exact = {r["column"]: int(r["u"]) for r in
-                 value_counts(df, small).groupBy("column").agg(F.count(F.lit(1)).alias("u")).collect()}
+                   *[fn(plain(c)).alias(f"{k}{i}") for i, c in enumerate(cols) for k, fn in (("lo", F.min), ("hi", F.max))]).first()
+    other = df.agg(F.count(F.lit(1)).alias("__rows"), *[
+        F.count_if((plain(c) != F.lit(first[f"lo{i}"])) & (plain(c) != F.lit(first[f"hi{i}"]))).alias(f"o{i}")
+        for i, c in enumerate(cols) if first[f"lo{i}"] is not None]).first()
     out = []
     for i, c in enumerate(cols):
         f = df.schema[c]
+        lo, hi = first[f"lo{i}"], first[f"hi{i}"]
+        levels = 0 if lo is None else (1 if lo == hi or lo != lo else 2) + (1 if other[f"o{i}"] else 0)
         out.append({"column": c, "dtype": f.dataType.simpleString(), "metadata": dict(f.metadata or {}),
-                    "n_rows": int(first["__rows"]), "n_nonnull": int(first[f"n{i}"]),
-                    "n_unique": exact.get(c, 0) if c in small else int(first[f"d{i}"]),
-                    "n_unique_exact": c in small})
+                    "n_rows": int(first["__rows"]), "n_nonnull": int(first[f"n{i}"]), "n_unique": levels})
     return out
 
 
@@ -161,7 +159,7 @@ def numeric_value_table(df: DataFrame, cols, buckets: int | None = None, cuts=No
     b = buckets or default_buckets(df.sparkSession)
     if cuts is None:
         probs = [i / b for i in range(1, b)] if b > 1 else [0.5]
-        row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, 1000).alias(f"q{i}")
+        row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, accuracy(b)).alias(f"q{i}")
                        for i, c in enumerate(cols)]).first()
         cuts = {c: row[f"q{i}"] for i, c in enumerate(cols)}
     base = df.select(*[(F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(cols)])
@@ -256,7 +254,7 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                  F.avg(x).alias(f"av{i}"), F.stddev_pop(x).alias(f"sd{i}"), F.skewness(x).alias(f"sk{i}"),
-                 F.kurtosis(x).alias(f"ku{i}"), F.percentile_approx(x, probs, 1000).alias(f"q{i}")]
+                 F.kurtosis(x).alias(f"ku{i}"), F.percentile_approx(x, probs, accuracy(b)).alias(f"q{i}")]
     m = df.agg(*aggs).first()
     vt = numeric_value_table(df, cols, b, cuts={c: m[f"q{i}"] for i, c in enumerate(cols)}).persist()
     try:

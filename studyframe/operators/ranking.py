@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(df: DataFrame, group, order, k: int, salt_cols, salts: int = 64, rank_col: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, group, order, k: int, salt_cols, salts: int | None = None, rank_col: str = "rank") -> DataFrame:
     """Keep the first ``k`` rows of each group in ``order`` (a list of sort Columns).
 
     ``order`` must be total (end with a unique tie-break) for a deterministic
-    result; ``salt_cols`` pick the slice a row is pre-ranked in.
+    result; ``salt_cols`` pick the slice a row is pre-ranked in (four slices per core).
     """
     group = [group] if isinstance(group, str) else list(group)
+    salts = salts or 4 * max(16, df.sparkSession.sparkContext.defaultParallelism)
     salt_cols = [salt_cols] if isinstance(salt_cols, str) else list(salt_cols)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)))
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assoc, govern, infer
 from .profiling import rounded, sig_wrap
-from .screening import CONTINUOUS, PREDICTORS, study_frame
+from .screening import CONTINUOUS, LEAKAGE, MISSINGNESS, PREDICTORS, REDUNDANCY, study_frame
 from .tables import table
 
 
@@ -138,7 +138,8 @@ FROM b
 
 
 def document_inferential_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I16 end to end on the labelled documents (bootstrap CIs: rows-only check)."""
+    """I16 end to end on the approved predictors of the labelled documents (bootstrap CIs: rows-only check)."""
     f = study_frame(spark, sf_dir)
     kinds = govern.classify_predictors(f, PREDICTORS, CONTINUOUS)
-    return infer.screen(f, "quality", kinds, positive_class=1, random_state=42)
+    dec = govern.feature_decisions(f, "quality", kinds, MISSINGNESS, LEAKAGE, REDUNDANCY)
+    return infer.screen(f, "quality", kinds, positive_class=1, random_state=42, decisions=dec)

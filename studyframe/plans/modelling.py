@@ -258,21 +258,12 @@ def _model_inputs(spark, sf_dir):
     return frame, preds
 
 
-_RUNS: dict = {}
-
-
 def _logistic_run(spark, sf_dir):
-    """One logistic-family run per session and table folder; its small result
-    tables (built from driver-side rows or checkpointed) serve several queries."""
-    key = (id(spark), sf_dir)
-    if key not in _RUNS:
-        frame, preds = _model_inputs(spark, sf_dir)
-        res = model.run(frame, "target", preds, positive_class=1, key_cols=("doc_id",),
-                        models=("logistic_regression",))
-        # Persist the fitted pipeline under the shared folder
-        sinks.save_model(res["model"], shared_path(spark, f"model-{uuid.uuid4().hex}"))
-        _RUNS[key] = res
-    return _RUNS[key]
+    """The logistic family's full grid; S10: the fitted pipeline goes to the shared folder."""
+    frame, preds = _model_inputs(spark, sf_dir)
+    res = model.run(frame, "target", preds, positive_class=1, key_cols=("doc_id",), models=("logistic_regression",))
+    sinks.save_model(res["model"], shared_path(spark, f"model-{uuid.uuid4().hex}"))
+    return res
 
 
 def document_logistic_run(spark: SparkSession, sf_dir: str) -> DataFrame:

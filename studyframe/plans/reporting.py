@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assoc, clean, diagnostics as D, govern, profile
+from ..operators import assoc, clean, diagnostics as D, govern, impute, infer, profile
 from ..spec import ColumnSpec
 from ..session import shared_path
 from ..sources import sinks
@@ -15,6 +15,11 @@ from .cleaning import EVENT_SPECS, _raw_events
 from .screening import CONTINUOUS, LEAKAGE, MISSINGNESS, PREDICTORS, REDUNDANCY, study_frame
 
 
+#: Parameters of the inferential screen, written to the manifest.
+SCREEN = {"alpha": 0.05, "min_non_missing": 10, "ci_level": 0.95, "n_boot": 1000, "random_state": 42,
+          "clinical_relevance_floor": "moderate", "robust_numeric_fallback": True, "outlier_iqr_multiplier": 1.5}
+
+
 def document_report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the study's result tables for one task as Parquet, then list what was
     written (table, rows) by reading it back."""
@@ -30,10 +35,15 @@ def document_report_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "feature_decisions": dec,
         "decision_summary": govern.decision_summary(dec),
         "missingness": profile.missingness_ranking(f),
+        "overview": profile.dataset_overview(f),
+        "inferential": infer.screen(f, "quality", kinds, positive_class=1, decisions=dec, **SCREEN),
     }
+    frame, summary = impute.build_model_frame(f, dec)
+    tables |= {"model_frame": frame} | {f"model_frame_{k}": t for k, t in summary.items()}
     root = shared_path(spark, f"report-{uuid.uuid4().hex}")
     paths = sinks.write_tables(tables, root, "document quality")
-    sinks.write_manifest(spark, {"task": "document quality", "target": "quality", "leakage": list(LEAKAGE)},
+    sinks.write_manifest(spark, {"task": "document quality", "target": "quality", "positive_class": 1, "leakage": list(LEAKAGE),
+                                 "redundancy": REDUNDANCY, "missingness": MISSINGNESS, "predictor_types": kinds, **SCREEN},
                          root, "document quality")
     back = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")
             for name, p in paths.items()]
@@ -47,7 +57,7 @@ def events_janitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema → derived → missing flags → duplicates dropped (first event per type)."""
     specs = EVENT_SPECS + (
         ColumnSpec(name="ts_hour", kind="datetime", derive_from=("ts_raw",), datetime_units="hour"),)
-    frame, report = clean.janitor(_raw_events(spark, sf_dir), specs, apply_all=True, id_cols=["event_type"],
+    frame, _, _ = clean.janitor(_raw_events(spark, sf_dir), specs, apply_all=True, id_cols=["event_type"],
                                   order_cols=["event_id"], drop_dupes=True)
     return frame.select("event_id", "event_type", "value_raw", "ts_hour", "value_raw_missing", "ts_raw_missing",
                         "wait_raw_missing")

@@ -160,7 +160,7 @@ def document_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = study_frame(spark, sf_dir)
     kinds = govern.classify_predictors(f, PREDICTORS, CONTINUOUS)
     dec = govern.feature_decisions(f, "quality", kinds, MISSINGNESS, LEAKAGE, REDUNDANCY)
-    return rounded(dec.drop("dtype"))
+    return rounded(dec.drop("dtype", "position"))
 
 
 DOC_DECISIONS_SQL = sig_wrap(_STUDY_SQL + """

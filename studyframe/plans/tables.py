@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -10,19 +9,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; guarantee at least ``defaultParallelism`` scan partitions.
-
-    A large table arrives in many files and is read as is.  A table stored in
-    fewer files than there are cores (here: one file, one row group) would be
-    scanned by a handful of tasks, and every per-row operator before the first
-    shuffle would run there; such a scan is spread round-robin once and the
-    spread copy is kept (memory, then disk) so later scans in the session reuse
-    it instead of re-shuffling.
-    """
+    """A plain scan of one table, so that selected columns and filters reach the Parquet reader."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    target = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < target:
-        df = df.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

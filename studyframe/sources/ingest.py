@@ -132,7 +132,11 @@ def harmonize_all(frames, rename_map: dict, keep=()) -> DataFrame:
 
 
 def _path_key(p: str) -> str:
-    return re.sub(r"^file:(//)?", "", p)
+    return re.sub(r"^file:/+", "/", p)
+
+
+#: Files whose order is broadcast at most; more are joined by a shuffle.
+BROADCAST_FILES = 100_000
 
 
 def merge(spark: SparkSession, paths, rename_map: dict, sep: str = ",",
@@ -157,9 +161,12 @@ def merge(spark: SparkSession, paths, rename_map: dict, sep: str = ",",
         # deterministic scan; with the file index it orders all source rows.
         raw = raw.withColumns({"_src_file": F.col("_metadata.file_path"),
                                "_pos": F.monotonically_increasing_id()})
-        raw = (raw.withColumn("_fkey", F.regexp_replace("_src_file", "^file:(//)?", ""))
-               .join(F.broadcast(files), "_fkey", "left")
-               .withColumn("_src_order", F.struct(F.coalesce("_fidx", F.lit(-1)).alias("file_index"),
+        # the metadata path is escaped, the listed one is not
+        plain = F.url_decode(F.replace(F.col("_src_file"), F.lit("+"), F.lit("%2B")))
+        order = F.broadcast(files) if len(paths) <= BROADCAST_FILES else files
+        raw = (raw.withColumn("_fkey", F.regexp_replace(plain, "^file:/+", "/"))
+               .join(order, "_fkey", "left")
+               .withColumn("_src_order", F.struct(F.coalesce("_fidx", F.raise_error(F.concat(F.lit("file is not in the list: "), "_src_file")).cast("int")).alias("file_index"),
                                                   F.col("_pos").alias("pos")))
                .drop("_fkey", "_fidx", "_pos"))
         frames.append(raw)

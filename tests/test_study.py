@@ -110,7 +110,7 @@ def test_model_run_finds_planted_signal_deterministically(spark):
         y = 1 if (i * 7919) % 100 < 40 else 0
         rows.append((i, float(y * 2.0 + ((i * 31) % 17) / 17.0), ["u", "v"][i % 2], y))
     df = spark.createDataFrame(rows, "id long, x double, g string, y int")
-    kw = dict(positive_class=1, key_cols=("id",), cv_folds=2, n_boot=100, threshold_strategy="youden",
+    kw = dict(positive_class=1, key_cols=("id",), cv_folds=3, n_boot=200, threshold_strategy="youden",
               models=("logistic_regression",))
     a = model.run(df, "y", ["x", "g"], **kw)["metrics"].first()
     b = model.run(df, "y", ["x", "g"], **kw)["metrics"].first()
