@@ -248,10 +248,9 @@ def frame_shape(df: DataFrame) -> DataFrame:
 
 def janitor(df: DataFrame, specs, apply_all: bool = True, id_cols=None, order_cols=None,
             include_first: bool = True, drop_dupes: bool = False, rename_map=None):
-    """Schema → derived → missing flags → duplicates, or duplicates only; then the overview.
+    """Schema → derived → missing flags → duplicates, or duplicates only.
 
-    Returns ``(frame, duplicates_report, overview)``; the overview is the shape of the
-    frame (A1) with its encounter counts (K5) where id columns are given.
+    Returns ``(frame, duplicates_report)``; ``overview`` tells what is left.
     """
     from . import dedupe
 
@@ -262,8 +261,15 @@ def janitor(df: DataFrame, specs, apply_all: bool = True, id_cols=None, order_co
     report = dedupe.report(df, id_cols, order_cols, include_first=include_first) if id_cols else None
     if drop_dupes and id_cols:
         df = dedupe.drop_later(df, id_cols, order_cols)
-    overview = frame_shape(df)
-    if id_cols:
-        # one row each
-        overview = overview.join(F.broadcast(dedupe.encounter_overview(df, id_cols).withColumnRenamed("n_rows", "_rows")), F.col("n_rows") == F.col("_rows")).drop("_rows")
-    return df, report, overview
+    return df, report
+
+
+def overview(df: DataFrame, id_cols=None) -> DataFrame:
+    """P17's last stage, one row: the frame's shape (A1) and, with id columns, its encounter counts (K5)."""
+    from . import dedupe
+
+    shape = frame_shape(df)
+    if not id_cols:
+        return shape
+    counts = dedupe.encounter_overview(df, id_cols).withColumnRenamed("n_rows", "_rows")
+    return shape.join(F.broadcast(counts), F.col("n_rows") == F.col("_rows")).drop("_rows")  # one row each

@@ -63,14 +63,14 @@ def pr_points(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return pts.unionByName(end)
 
 
-def trapezoid_area(points: DataFrame, x: str, y: str) -> float:
-    """Area under a curve given as points; the points are few per distinct score,
-    so they are ordered with the bucketed row index before pairing neighbours."""
-    idx = prefix.row_index(points.select(F.col(x).alias("x"), F.col(y).alias("y")), "x", tiebreak=["y"], name="i")
-    nxt = idx.select((F.col("i") - 1).alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    j = idx.join(nxt, "i")
-    r = j.agg(F.sum((F.col("x2") - F.col("x")) * (F.col("y") + F.col("y2")) / 2.0).alias("a")).first()
-    return float(r["a"] or 0.0)
+def pr_summary(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """Area under the precision-recall curve (trapezoids between neighbouring
+    thresholds) and its baseline, the prevalence."""
+    at = prefix.row_index(pr_points(scored, y, p), "threshold", name="i")
+    after = at.select((F.col("i") - 1).alias("i"), F.col("recall").alias("r2"), F.col("precision").alias("p2"))
+    area = at.join(after, "i").agg(F.sum((F.col("recall") - F.col("r2")) * (F.col("precision") + F.col("p2")) / 2.0).alias("pr_auc"))
+    prevalence = scored.agg(F.avg(F.col(y).cast("double")).alias("baseline")).first()["baseline"]
+    return area.select("pr_auc", F.lit(prevalence).cast("double").alias("baseline"))
 
 
 def operating_metrics(scored: DataFrame, threshold: float, y: str = "y", p: str = "p") -> DataFrame:

@@ -286,6 +286,52 @@ def party_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.reorder(typed, ["segment", "party_key"]).drop("_src_file", "_src_order")
 
 
+def _party_files(spark, sf_dir):
+    """Customer and supplier as CSV files with drifting headers, under part0 and part1."""
+    import uuid
+
+    from ..session import shared_path
+    root = shared_path(spark, f"csv-{uuid.uuid4().hex}")
+    for i, f in enumerate(_raw_parties(spark, sf_dir)):
+        f.write.option("header", True).mode("overwrite").csv(f"{root}/part{i}")
+    return ingest.discover(spark, f"{root}/*", pattern="*.csv")
+
+
+def _part_of(path):
+    return F.when(path.contains("/part0/"), 0).otherwise(1)
+
+
+def party_header_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers of each part lack and add against the first file, and the union of all headers."""
+    paths = _party_files(spark, sf_dir)
+    union = ingest.union_header(spark, paths)
+    return ingest.header_diff(spark, paths).select(
+        _part_of(F.col("file")).alias("part"), F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"),
+        F.lit(",".join(union)).alias("union_header")).distinct()
+
+
+PARTY_DIFF_SQL = """
+SELECT * FROM (VALUES
+  (0, '', '', 'Key,Name,nation,Balance,Segment,comment,key,NationKey,acct bal'),
+  (1, 'Key,nation,Balance,Segment,comment', 'key,NationKey,acct bal', 'Key,Name,nation,Balance,Segment,comment,key,NationKey,acct bal')
+) v(part, missing, extra, union_header)
+"""
+
+
+def party_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most rows shown of a file of each part, over the columns of the union header (Key and key share one)."""
+    shown = ingest.preview(spark, _party_files(spark, sf_dir), n=3)
+    by_file = shown.groupBy("_src_file").agg(F.count(F.lit(1)).alias("n"))
+    return by_file.groupBy(_part_of(F.col("_src_file")).alias("part")).agg(
+        F.max("n").alias("n_rows"), F.first(F.lit(len(shown.columns) - 1)).alias("n_cols"))
+
+
+PARTY_PREVIEW_SQL = """
+SELECT 0 AS part, least(3, count(*)) AS n_rows, 8 AS n_cols FROM customer
+UNION ALL SELECT 1, least(3, count(*)), 8 FROM supplier
+"""
+
+
 def events_stream_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3–D7 on a stream: the events table is read with ``readStream``, calendar
     parts are derived per row inside the stream, written with an available-now

@@ -11,6 +11,8 @@ from ..operators import assoc, clean, diagnostics as D, govern, impute, infer, p
 from ..spec import ColumnSpec
 from ..session import shared_path
 from ..sources import sinks
+from .profiling import rounded, sig_wrap
+from .tables import table
 from .cleaning import EVENT_SPECS, _raw_events
 from .screening import CONTINUOUS, LEAKAGE, MISSINGNESS, PREDICTORS, REDUNDANCY, study_frame
 
@@ -57,12 +59,70 @@ def events_janitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema → derived → missing flags → duplicates dropped (first event per type)."""
     specs = EVENT_SPECS + (
         ColumnSpec(name="ts_hour", kind="datetime", derive_from=("ts_raw",), datetime_units="hour"),)
-    frame, _, _ = clean.janitor(_raw_events(spark, sf_dir), specs, apply_all=True, id_cols=["event_type"],
+    frame, _ = clean.janitor(_raw_events(spark, sf_dir), specs, apply_all=True, id_cols=["event_type"],
                                   order_cols=["event_id"], drop_dupes=True)
     return frame.select("event_id", "event_type", "value_raw", "ts_hour", "value_raw_missing", "ts_raw_missing",
                         "wait_raw_missing")
 
 
+def _janitor_overview(spark, sf_dir):
+    specs = EVENT_SPECS + (
+        ColumnSpec(name="ts_hour", kind="datetime", derive_from=("ts_raw",), datetime_units="hour"),)
+    frame, _ = clean.janitor(_raw_events(spark, sf_dir), specs, apply_all=True, id_cols=["event_type"], order_cols=["event_id"])
+    return frame.select("event_id", "event_type", "value_raw", "ts_hour", "value_raw_missing")
+
+
+def events_janitor_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P17's overview stage over all cleaned events (nothing dropped)."""
+    return clean.overview(_janitor_overview(spark, sf_dir), ["event_type"])
+
+
+EVENTS_OVERVIEW_SQL = """
+WITH r AS (
+  SELECT event_id, trim(event_type) AS event_type,
+    CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN NULL ELSE value END AS value_raw,
+    CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 3 = 2 THEN 0 ELSE hour(ts) END AS ts_hour
+  FROM events
+), c AS (
+  SELECT count(*) AS n_rows, CAST(count_if(event_type IS NULL) + count_if(value_raw IS NULL) + count_if(ts_hour IS NULL) AS BIGINT) AS null_cells,
+    count(DISTINCT coalesce(event_type, chr(1))) AS n_unique FROM r)
+SELECT n_rows, 5 AS n_cols, null_cells, round(null_cells * 100.0 / (n_rows * 5), 2) AS null_pct, n_unique, n_rows - n_unique AS n_repeat,
+  round(n_unique * 100.0 / n_rows, 2) AS unique_pct, round((n_rows - n_unique) * 100.0 / n_rows, 2) AS repeat_pct FROM c
+"""
+
+
+def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: type and position of every documents column, with the row count."""
+    return profile.dataset_overview(table(spark, sf_dir, "documents"))
+
+
+DOCUMENT_OVERVIEW_SQL = """
+SELECT column_name AS "column", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS dtype,
+  (SELECT count(*) FROM documents) AS n_rows, CAST((SELECT count(*) FROM (DESCRIBE SELECT * FROM documents)) AS INTEGER) AS n_cols
+FROM (SELECT column_name, column_type AS data_type FROM (DESCRIBE SELECT * FROM documents))
+"""
+
+
+def scored_pr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the precision-recall curve and its baseline, the prevalence."""
+    from .modelling import _scored
+    return rounded(D.pr_summary(_scored(spark, sf_dir)))
+
+
+def _pr_summary_sql():
+    from .modelling import _SCORED_SQL
+    return sig_wrap(_SCORED_SQL + """
+, c AS (SELECT p, count_if(y = 1) AS c1, count_if(y = 0) AS c0 FROM s GROUP BY p),
+k AS (SELECT p, sum(c1) OVER (ORDER BY p DESC) AS tp, sum(c0) OVER (ORDER BY p DESC) AS fp, sum(c1) OVER () AS n1 FROM c),
+q AS (SELECT p AS t, tp * 1.0 / n1 AS recall, tp * 1.0 / (tp + fp) AS prec FROM k UNION ALL SELECT 'inf'::DOUBLE, 0.0, 1.0),
+d AS (SELECT recall - lead(recall) OVER (ORDER BY t) AS w, prec + lead(prec) OVER (ORDER BY t) AS h FROM q)
+SELECT sum(w * h / 2.0) AS pr_auc, (SELECT avg(CAST(y AS DOUBLE)) FROM s) AS baseline FROM d
+""", ["pr_auc", "baseline"])
+
+
+PR_SUMMARY_SQL = _pr_summary_sql()
+
+
 EVENTS_JANITOR_SQL = """
 WITH r AS (
   SELECT event_id, trim(event_type) AS event_type,
