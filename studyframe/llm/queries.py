@@ -39,12 +39,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
-    # the digest asks the stored prefixes: does the longest one within the budget end before the text does?
     return token_counts.over_limit_report(counts, 1024)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks_by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    leaks = decontaminate.leaks_by_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.withColumn("item_ids", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +124,67 @@ WITH t AS (
 SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars FROM c"""
 
 
+#: Documents reach every smaller id over links; the smallest one names the component.
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+), n AS (SELECT d.doc_id, count(s.g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY 1
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 75 * (i.n + j.n - c)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y)
+SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL"""
+
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.vec_id WHERE r.root < e.y
+), c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT c.vec_id, (SELECT count(*) FROM e WHERE e.x = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c"""
+
+#: The best window starts at a shingle of the item or ends the document.
+_LEAKS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+), ds AS (
+  SELECT doc_id, n, u.k AS pos, u.g AS g FROM (SELECT doc_id, len(w) AS n, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: {'k': i - 1, 'g': array_to_string(w[i:i + 4], ' ')})
+    WHEN len(w) > 0 THEN [{'k': 0, 'g': array_to_string(w, ' ')}] ELSE [] END) AS u FROM d)
+), bs AS (
+  SELECT item_id, n, greatest(n - 4, 1) AS m, g, count(*) AS times FROM (SELECT item_id, len(w) AS n, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM b) GROUP BY ALL
+), a AS (SELECT doc_id, ds.n, item_id, bs.n AS words, m, times, pos, ds.g FROM ds JOIN bs USING (g)
+), q AS (SELECT doc_id, item_id FROM a GROUP BY ALL HAVING count(*) >= max(m) * 0.75
+), t AS (SELECT DISTINCT doc_id, item_id, n, words, m, least(pos, greatest(n - words, 0)) AS start FROM a JOIN q USING (doc_id, item_id)
+), c AS (
+  SELECT t.doc_id, t.item_id, t.start, t.m, greatest(least(t.words, t.n) - 4, 1) AS total, a.g, least(count(*), max(a.times)) AS common
+  FROM t JOIN a ON a.doc_id = t.doc_id AND a.item_id = t.item_id AND a.pos >= t.start AND a.pos < t.start + greatest(least(t.words, t.n) - 4, 1) GROUP BY ALL
+), s AS (SELECT doc_id, item_id, start, sum(common) AS common, max(total) + max(m) - sum(common) AS larger FROM c GROUP BY ALL
+), h AS (SELECT doc_id, item_id, max(CAST(common AS DOUBLE) / CAST(larger AS DOUBLE)) AS similarity FROM s WHERE 100 * common >= 75 * larger GROUP BY ALL
+), x AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(similarity) AS similarity FROM h GROUP BY 1)
+SELECT d.doc_id, x.doc_id IS NOT NULL AS contaminated, coalesce(x.n_items, 0) AS n_items, coalesce(x.item_ids, '') AS item_ids,
+  coalesce(x.similarity, 0.0) AS similarity FROM d LEFT JOIN x USING (doc_id)"""
+
+
 # name -> (builder, oracle SQL or None)
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_token_counts": (op2_token_counts, None),
-    "op3_decontamination": (op3_decontamination, None),
-    "op4_ngram_jaccard_join": (op4_ngram_jaccard_join, None),
-    "op5_embedding_dedup": (op5_embedding_dedup, None),
+    "op3_decontamination": (op3_decontamination, _LEAKS_SQL),
+    "op4_ngram_jaccard_join": (op4_ngram_jaccard_join, _JACCARD_SQL),
+    "op5_embedding_dedup": (op5_embedding_dedup, _VECTORS_SQL),
     "op6_secret_scan": (op6_secret_scan, None),
     "op7_sharding": (op7_sharding, None),
     "op8_quality": (op8_quality, None),
