@@ -15,8 +15,9 @@ Steps, each a Spark job over the whole table:
 3. prefix entries (shingle, group) dealt by hash range; groups that meet in a shingle and
    whose sizes allow the similarity are candidate pairs. A shingle with more than
    ``SMALL`` groups gives the chain of its neighbours by size first, and is kept;
-4. group pairs are expanded into set pairs and verified on the exact sets, block against
-   block, so each set is shipped about once;
+4. group pairs are expanded into set pairs. Counts of a set's shingles by hash bucket bound
+   what two sets can share and leave out most pairs that do not link; the others are
+   verified on the exact sets, block against block, so each set is shipped about once;
 5. pairs left over from large shingles and large groups whose ends are still in different
    components are verified in a second round; others are linked already;
 6. connected components of the verified links.
@@ -45,7 +46,8 @@ PERCENT = 75
 SMALL = 32            # groups in a shingle that are paired at once
 HEAVY_FROM = 8        # documents that make a shingle heavy at least
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
-BROADCAST_KEYS = 300_000
+# Largest tables that are broadcast (set names, pairs); larger ones are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_PAIRS = 300_000, 1_000_000
 _FLUSH = 2_000_000    # hashes a task holds before it passes them on
 
 
@@ -305,28 +307,67 @@ def _cross_pairs(batches):
 
 # ---- 4: verification ----------------------------------------------------------------
 
-def _cut_blocks(batches):
-    """Rows (key, blob) in a sorted stream become blocks of sets; a repeated key is taken once."""
-    keys, blobs, size = [], [], 0
+def _assign(batches):
+    """Blocks for sets in a sorted stream (key, n, pick): so many sets or shingles each, named by the first key."""
+    block, count, size = None, 0, 0
+    for batch in batches:
+        blocks = []
+        for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if block is None or count >= BLOCK_SETS or size + n > BLOCK_SHINGLES:
+                block, count, size = key, 0, 0
+            blocks.append(block)
+            count += 1
+            size += n
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blocks, pa.binary())], ["key", "pick", "block"])
+
+
+def _gather(batches):
+    """Rows (block, key, blob) sorted by block and key become block rows; a repeated key is taken once."""
+    block, keys, blobs = None, [], []
 
     def emit():
-        return pa.RecordBatch.from_arrays([pa.array([keys[0]], pa.binary()), pa.array([keys], pa.list_(pa.binary())), pa.array([blobs], pa.list_(pa.binary()))],
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([keys], pa.list_(pa.binary())), pa.array([blobs], pa.list_(pa.binary()))],
                                           ["block", "keys", "sets"])
 
     for batch in batches:
-        for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if keys and key == keys[-1]:
-                continue
-            if keys and (len(keys) >= BLOCK_SETS or size + len(blob) // 8 > BLOCK_SHINGLES):
-                yield emit()
-                keys, blobs, size = [], [], 0
-            keys.append(key)
-            blobs.append(blob)
-            size += len(blob) // 8
+        for own, key, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != block:
+                if keys:
+                    yield emit()
+                block, keys, blobs = own, [], []
+            if not keys or key != keys[-1]:
+                keys.append(key)
+                blobs.append(blob)
     if keys:
         yield emit()
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Counts of a sorted set by hash bucket, about two in a bucket; empty if a count needs more than a byte."""
+    bits = max(4, (len(s) // 2).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """False only if no sets of n and m shingles with these signatures are similar."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) != len(b):
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        b = b.reshape(len(a), -1).sum(axis=1)
+    common = int(np.minimum(a, b).sum(dtype=np.int64))
+    return 100 * common >= PERCENT * (n + m - common)
+
+
+def _near_pairs(batches):
+    for batch in batches:
+        ka, kb, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
+        keep = pa.array([may_link(*r) for r in zip(na, sa, nb, sb)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["ka", "kb"])
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Exact test of two sorted sets."""
     both = len(x) + len(y)
@@ -364,14 +405,32 @@ def _verify(batches):
 class Verifier:
     """Checks pairs of set keys on the exact sets, which come from the texts anew."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str):
-        self.docs, self.nodes, self.id_col, self.text_col = docs, nodes, id_col, text_col
+    def __init__(self, docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: str, text_col: str):
+        self.docs, self.rows, self.nodes, self.id_col, self.text_col = docs, rows, nodes, id_col, text_col
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that their signatures do not rule out."""
+        named = pairs.select(F.col("ka").alias("name")).unionByName(pairs.select(F.col("kb").alias("name"))).distinct()
+        named = materialize(named.join(self.nodes, F.col("name") == F.col("key")).select("name", F.col("first_id").alias("pick")), "paired-sets")
+        few = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
+        signed = self.rows.join(few, (F.col("key") == F.col("name")) & F.col("id").eqNullSafe(F.col("pick")))
+        signed = materialize(signed.groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
+
+        def side(s: str) -> DataFrame:
+            return signed.select(F.col("key").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}"))
+
+        both = pairs.join(side("a"), "ka").join(side("b"), "kb").select("ka", "kb", "na", "nb", "sa", "sb")
+        out = materialize(both.mapInArrow(_near_pairs, "ka binary, kb binary"), "near-pairs")
+        discard(named)
+        discard(signed)
+        return out
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (ka, kb) that are linked, or that join what others link."""
         id_col, text_col = self.id_col, self.text_col
         kind = self.docs.schema[id_col].dataType.simpleString()
-        pairs = materialize(pairs, "set-pairs")
+        given = materialize(pairs, "set-pairs")
+        pairs = self.near(given)
         roots = components(pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
         # one document of each set that is asked for
         wanted = materialize(roots.join(self.nodes, F.col("node") == F.col("key")).select("key", "root", "n", F.col("first_id").alias("pick")), "wanted-sets")
@@ -385,23 +444,33 @@ class Verifier:
                                                   ["id", "own", "blob"])
             return work
 
+        # blocks of sets that are likely to meet, from their names and sizes alone
+        parts = max(1, -(-asked // 20_000))
+        in_order = wanted.repartitionByRange(parts, "root", "n", "key").sortWithinPartitions("root", "n", "key")
+        places = materialize(in_order.select("key", "n", "pick").mapInArrow(_assign, f"key binary, pick {kind}, block binary"), "set-places")
+        small = F.broadcast(places) if asked <= BROADCAST_KEYS else places
         sets = self.docs.select(id_col, text_col).mapInArrow(per_slice(make, text_col), f"id {kind}, own binary, blob binary")
-        small = F.broadcast(wanted) if asked <= BROADCAST_KEYS else wanted
-        sets = sets.join(small, (F.col("own") == F.col("key")) & F.col("id").eqNullSafe(F.col("pick")))
-        parts = max(1, -(-asked // 2000))
-        sorted_sets = sets.select("key", "blob", "root", "n").repartitionByRange(parts, "root", "n", "key").sortWithinPartitions("root", "n", "key")
-        blocks = materialize(sorted_sets.select("key", "blob").mapInArrow(_cut_blocks, "block binary, keys array<binary>, sets array<binary>"), "set-blocks")
-        where = blocks.select("block", F.explode("keys").alias("key"))
-        placed = (pairs.join(where.select(F.col("key").alias("ka"), F.col("block").alias("ba")), "ka")
-                  .join(where.select(F.col("key").alias("kb"), F.col("block").alias("bb")), "kb"))
-        # pairs of one meeting of two blocks; large ones are cut into parts
-        meetings = placed.groupBy("ba", "bb", F.pmod(F.xxhash64("ka"), F.lit(4)).alias("part")).agg(F.collect_list(F.struct("ka", "kb")).alias("pairs"))
-        met = meetings.join(blocks.withColumnsRenamed({"block": "ba"}), "ba")
-        other = blocks.select(F.col("block").alias("bb"), F.col("keys").alias("keys_b"), F.col("sets").alias("sets_b"))
-        alone = met.where("ba = bb").select("pairs", "keys", "sets", F.lit(None).cast("array<binary>").alias("keys_b"), F.lit(None).cast("array<binary>").alias("sets_b"))
-        apart = met.where("ba != bb").join(other, "bb").select("pairs", "keys", "sets", "keys_b", "sets_b")
+        sets = sets.join(small, (F.col("own") == F.col("key")) & F.col("id").eqNullSafe(F.col("pick"))).select("block", "key", "blob")
+        gathered = sets.repartition("block").sortWithinPartitions("block", "key").mapInArrow(_gather, "block binary, keys array<binary>, sets array<binary>")
+        blocks = materialize(gathered, "set-blocks")
+        # pairs of one meeting of two blocks; they are few beside the sets and go to the blocks
+        placed = (pairs.join(places.select(F.col("key").alias("ka"), F.col("block").alias("ba")), "ka")
+                  .join(places.select(F.col("key").alias("kb"), F.col("block").alias("bb")), "kb"))
+        meetings = materialize(placed.groupBy("ba", "bb").agg(F.collect_list(F.struct("ka", "kb")).alias("pairs")), "set-meetings")
+        few = pairs.count() <= BROADCAST_PAIRS
+
+        def meeting(inside: bool) -> DataFrame:
+            chosen = meetings.where("ba = bb" if inside else "ba != bb")
+            return blocks.join(F.broadcast(chosen) if few else chosen, F.col("block") == F.col("ba")).drop("block", "ba")
+
+        nothing = F.lit(None).cast("array<binary>")
+        alone = meeting(True).select("pairs", "keys", "sets", nothing.alias("keys_b"), nothing.alias("sets_b"))
+        asked_for = meetings.where("ba != bb").select(F.col("bb").alias("block")).distinct()
+        other = blocks.join(F.broadcast(asked_for) if few else asked_for, "block", "left_semi")
+        other = other.select(F.col("block").alias("bb"), F.col("keys").alias("keys_b"), F.col("sets").alias("sets_b"))
+        apart = meeting(False).join(other, "bb").select("pairs", "keys", "sets", "keys_b", "sets_b")
         out = materialize(alone.unionByName(apart).mapInArrow(_verify, "a binary, b binary"), "set-links")
-        for t in (pairs, wanted, blocks):
+        for t in (given, pairs, wanted, places, blocks, meetings):
             discard(t)
         return out
 
@@ -414,8 +483,8 @@ def jaccard_components(df: DataFrame, heavy_limit: int = 1_000_000, id_col: str
     docs = df.select(id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    # ranges of about a million prefix entries; words take some six bytes
-    bits = min(24, max(5, (total // 20_000_000).bit_length()))
+    # ranges of about half a million prefix entries; words take some six bytes
+    bits = min(24, max(5, (total // 10_000_000).bit_length()))
     codes, counts = heavy_shingles(docs, bits, heavy_limit, text_col)
     shared = spark.sparkContext.broadcast(Order(codes, counts, bits))
 
@@ -426,11 +495,11 @@ def jaccard_components(df: DataFrame, heavy_limit: int = 1_000_000, id_col: str
             sets = shingle_sets(*text_bytes(batch.column(1)))
             groups = [_group(len(s), p) for s, p in zip(sets, order.prefix(sets))]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s.tobytes()) for s in sets], pa.binary()),
-                                               pa.array(groups, pa.int64())], ["id", "n", "key", "grp"])
+                                               pa.array(groups, pa.int64()), pa.array([signature(s) for s in sets], pa.binary())], ["id", "n", "key", "grp", "sig"])
 
         return work
 
-    rows = materialize(docs.mapInArrow(per_slice(describe, text_col), f"id {kind}, n long, key binary, grp long"), "set-rows")
+    rows = materialize(docs.mapInArrow(per_slice(describe, text_col), f"id {kind}, n long, key binary, grp long, sig binary"), "set-rows")
     nodes = materialize(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min("id").alias("first_id")), "set-nodes")
     entries = docs.select(text_col).mapInArrow(lambda b: _entries(b, shared.value, bits, text_col), "range int, tokens binary, places binary, groups binary, sizes binary")
     found = entries.repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(_candidates, "kind byte, a long, b long, size int, index boolean")
@@ -448,7 +517,7 @@ def jaccard_components(df: DataFrame, heavy_limit: int = 1_000_000, id_col: str
     # first round: one member for each group, and every member of a group with its first
     first = group_pairs.join(of("a"), "a").join(of("b"), "b").select("ka", "kb")
     inner = members.join(heads.where("members > 1"), "grp").where("key != head").select(F.col("head").alias("ka"), F.col("key").alias("kb"))
-    verifier = Verifier(docs, nodes, id_col, text_col)
+    verifier = Verifier(docs, rows, nodes, id_col, text_col)
     links = verifier.links(first.unionByName(inner))
     roots = materialize(components(links), "set-roots")
 

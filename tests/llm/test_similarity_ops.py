@@ -109,6 +109,23 @@ def test_prefixes_are_long_enough(n):
     assert n - ngram_join.index_length(n) < 2 * 75 * n / 175
 
 
+def test_signatures_rule_out_only_what_does_not_link():
+    rnd = random.Random(6)
+    pool = np.unique(np.random.default_rng(6).integers(0, 2**64 - 1, 3000, dtype=np.uint64))
+    ruled_out = 0
+    for _ in range(400):
+        base = rnd.sample(range(len(pool)), rnd.choice([1, 3, 40, 400, 900]))
+        other = base[: max(1, int(len(base) * rnd.choice([0.3, 0.6, 0.75, 0.8, 0.9, 1])))] + rnd.sample(range(len(pool)), rnd.choice([0, 0, 5, 100]))
+        x, y = (pool[sorted(set(k))] for k in (base, other))
+        if ngram_join.similar(x, y):
+            assert ngram_join.may_link(len(x), ngram_join.signature(x), len(y), ngram_join.signature(y))
+        else:
+            ruled_out += not ngram_join.may_link(len(x), ngram_join.signature(x), len(y), ngram_join.signature(y))
+    assert ruled_out > 100
+    same = np.arange(600, dtype=np.uint64)
+    assert ngram_join.signature(same) == b"" and ngram_join.may_link(600, b"", 10, b"x")
+
+
 def vectors(seed, dim):
     rng = np.random.default_rng(seed)
     rows = []
@@ -152,7 +169,9 @@ def test_embeddings_of_nothing(spark):
     assert embedding_dedup.dedup_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_components_of_a_long_path_and_a_hub(spark):
+@pytest.mark.parametrize("in_task", [500_000, 0])
+def test_components_of_a_long_path_and_a_hub(spark, monkeypatch, in_task):
+    monkeypatch.setattr(graph, "TASK_EDGES", in_task)
     path = [(k, k + 1) for k in range(60)]
     hub = [(1000, k) for k in range(1001, 1040)] + [(5000, 5000), (1003, 1000)]
     rows = graph.components(spark.createDataFrame(path + hub, "a long, b long")).collect()
