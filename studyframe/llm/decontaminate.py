@@ -10,7 +10,9 @@ a weighted Jaccard similarity (sum of smaller over sum of larger multiplicities)
 1. Document shingles that occur in the benchmark are anchors. Bags of windows of one size
    are equally large, so the best window starts at an anchor or ends the document; starts
    after which too few anchors follow are left out. This loses nothing.
-2. Each remaining window and each item get a 64-bit SimHash of their shingles by weight.
+2. Each remaining window and each item get a 64-bit SimHash of their shingles, each hashed
+   together with its occurrence number, so that equal bits follow the weighted similarity
+   also where shingles are repeated.
 3. Multi-index blocks: fingerprints at most ``RADIUS`` bits apart agree up to one bit in one
    of ``BLOCKS`` blocks; items are listed under every block value with any one bit turned,
    windows under their own, among windows and items of one size. All pairs within the
@@ -69,6 +71,26 @@ def shingle_hashes(ws: Column) -> Column:
     return _bound(ws, of)
 
 
+def numbered(shingles: Column) -> Column:
+    """The shingles of a bag with the second and later occurrences told apart by their number.
+
+    The weighted Jaccard similarity of two bags is then that of two sets, in any order.
+    """
+
+    def of(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        def runs(at: Column) -> Column:
+            def run(p: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(at, k + 1), F.size(s))
+                more = F.transform(F.sequence(F.lit(2), end - p), lambda n: F.concat(F.get(s, p), F.lit("#"), n.cast("string")))
+                return F.when(end - p > 1, F.concat(F.array(F.get(s, p)), more)).otherwise(F.array(F.get(s, p)))
+            return F.flatten(F.transform(at, run))
+        return _bound(first, runs)
+
+    repeats = F.size(F.array_distinct(shingles)) < F.size(shingles)
+    return F.when(repeats, _bound(F.sort_array(shingles), of)).otherwise(shingles)
+
+
 def _maybe_broadcast(df: DataFrame, most: int) -> DataFrame:
     """Broadcast a written table if its rows are few enough; else leave the join to the planner."""
     return F.broadcast(df) if df.count() <= most else df
@@ -150,8 +172,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     whole = materialize(whole.select("key", words(F.col("text")).alias("ws")), "window-words")
     cut = starts.join(whole, "key").select("key", "words", "start", shingles(F.slice("ws", F.col("start") + 1, F.col("words"))).alias("shingles"))
     cut = materialize(cut, "window-shingles")
-    prints = simhash(cut.select("key", "words", "start", F.explode("shingles").alias("shingle")), ["key", "words", "start"], "shingle")
-    item_prints = simhash(items.select("item_id", "words", F.explode("shingles").alias("shingle")), ["item_id", "words"], "shingle")
+    prints = simhash(cut.select("key", "words", "start", F.explode(numbered(F.col("shingles"))).alias("shingle")), ["key", "words", "start"], "shingle")
+    item_prints = simhash(items.select("item_id", "words", F.explode(numbered(F.col("shingles"))).alias("shingle")), ["item_id", "words"], "shingle")
 
     # 3 and 4
     pairs = materialize(within_radius(prints, item_prints), "near-windows")

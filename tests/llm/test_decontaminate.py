@@ -116,3 +116,22 @@ def test_simhash_counts_weights(spark):
     assert decontaminate.simhash(only, ["id"], "s").select("size").first()[0] == 1
     h = only.select(F.xxhash64(F.lit("simhash"), "s")).first()[0]
     assert decontaminate.simhash(only, ["id"], "s").first().fingerprint == h
+
+
+def test_repeated_words_in_the_differing_part(spark):
+    rnd, items, docs = random.Random(8), [], []
+    for k in range(40):
+        common = [f"c{k}x{j}" for j in range(4 + rnd.choice([60, 90, 120]))]  # distinct shingles
+        n = (len(common) - 4) // 6  # six sevenths of each bag; the rest is one word, repeated
+        items.append((k, " ".join(common + ["stop"] * n)))
+        docs += [(k, " ".join(common + ["go"] * n)), (100 + k, " ".join(common + ["go"] * (n // 2) + ["stop"] * (n - n // 2)))]
+    rows = decontaminate.leaks_by_document(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {d: brute(t, items) for d, t in docs}
+    assert sum(map(bool, want.values())) >= 40
+    assert {r.doc_id: (r.item_ids, round(r.similarity, 9)) for r in rows} == {d: (sorted(b), round(max(b.values(), default=0.0), 9)) for d, b in want.items()}
+
+
+def test_numbered_shingles_are_a_set(spark):
+    rows = spark.createDataFrame([(0, ["b", "a", "b", "b"]), (1, ["a", "c"]), (2, []), (3, ["x"] * 3)], "k int, s array<string>")
+    got = {r.k: sorted(r.n) for r in rows.select("k", decontaminate.numbered(F.col("s")).alias("n")).collect()}
+    assert got == {0: ["a", "b", "b#2", "b#3"], 1: ["a", "c"], 2: [], 3: ["x", "x#2", "x#3"]}
