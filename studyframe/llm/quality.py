@@ -30,31 +30,35 @@ WIDTH, FILTERS, HALF = 4, 8, 128
 _BLOCK = 512
 
 
-def _halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols padded to whole half-chunks, half-chunks per text, first half-chunk of each).
+def _halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols padded to whole half-chunks, half-chunks per text, first half-chunk of each, start of each half-chunk).
 
-    Symbol 256 stands for the padding; an empty text is one half-chunk of it.
+    Symbol 256 stands for the padding; an empty text is one half-chunk of it. A gap of padding
+    after every text keeps the filters from reaching into the next one.
     """
     sizes = np.diff(offsets)
     halves = np.maximum(1, -(-sizes // HALF))
     first = np.cumsum(halves) - halves
-    symbols = np.full(int(halves.sum()) * HALF + WIDTH - 1, 256, np.int16)
+    gap = np.arange(len(sizes)) * (WIDTH - 1)
+    symbols = np.full(int(halves.sum()) * HALF + len(sizes) * (WIDTH - 1), 256, np.int16)
     if len(data):
-        symbols[np.arange(len(data)) + np.repeat(first * HALF - offsets[:-1], sizes)] = data
-    return symbols, halves, first
+        symbols[np.arange(len(data)) + np.repeat(first * HALF + gap - offsets[:-1], sizes)] = data
+    return symbols, halves, first, np.arange(int(halves.sum())) * HALF + np.repeat(gap, halves)
 
 
-def _pool(taps: np.ndarray, symbols: np.ndarray, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
+def _pool(taps: np.ndarray, symbols: np.ndarray, starts: np.ndarray, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Largest response of each filter in each half-chunk (and its place)."""
-    n = (len(symbols) - WIDTH + 1) // HALF
+    n, span = len(starts), HALF + WIDTH - 1
     best = np.empty((n, taps.shape[2]), np.float32)
     place = np.empty((n, taps.shape[2]), np.int64) if where else None
     for a in range(0, n, _BLOCK):
         b = min(a + _BLOCK, n)
-        r = respond(taps, symbols[a * HALF: b * HALF + WIDTH - 1]).reshape(b - a, HALF, -1)
+        own = np.full((b - a) * span + WIDTH - 1, 256, np.int16)
+        own[:(b - a) * span] = symbols[starts[a:b, None] + np.arange(span)].ravel()
+        r = respond(taps, own).reshape(b - a, span, -1)[:, :HALF]
         best[a:b] = r.max(axis=1)
         if where:
-            place[a:b] = r.argmax(axis=1) + np.arange(a, b)[:, None] * HALF
+            place[a:b] = r.argmax(axis=1) + starts[a:b, None]
     return best, place
 
 
@@ -81,8 +85,8 @@ class Network:
 
     def forward(self, data: np.ndarray, offsets: np.ndarray, train: bool = False):
         s = self.state
-        symbols, halves, first = _halves(data, offsets)
-        best, place = _pool(s["taps"], symbols, train)
+        symbols, halves, first, starts = _halves(data, offsets)
+        best, place = _pool(s["taps"], symbols, starts, train)
         left, right, begin = _chunks(halves, first)
         takes_left = best[left] >= best[right]
         pooled = np.tanh(np.where(takes_left, best[left], best[right]) + s["shift"])
@@ -90,7 +94,7 @@ class Network:
         mean = np.add.reduceat(pooled, begin) / count[:, None]
         top = np.maximum.reduceat(pooled, begin)
         features = np.concatenate([mean, top], 1).astype(np.float64)
-        logit = features @ s["weights"] + s["bias"][0]
+        logit = (features * s["weights"]).sum(1) + s["bias"][0]  # in the same order for any number of rows
         return (logit, (symbols, place, left, right, takes_left, pooled, count, begin, top, features)) if train else logit
 
     def gradients(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:

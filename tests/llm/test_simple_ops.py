@@ -225,6 +225,17 @@ def test_quality_gradients(spark):
         assert abs((up - down) / 2e-3 - g[k][at]) < 2e-2 * max(1, abs(g[k][at])) + 1e-4
 
 
+def test_quality_score_does_not_depend_on_neighbours():
+    rng = np.random.default_rng(6)
+    texts = ["".join(chr(c) for c in rng.integers(32, 127, n)) for n in (*range(0, 12), 124, 125, 126, 127, 128, 129, 255, 256, 257, 600, 70_000)]
+    texts = [t for t in texts for _ in range(2)]
+    rng.shuffle(texts)
+    net = quality.Network.fresh(3)
+    alone = [net.forward(*text_bytes(pa.array([t])))[0] for t in texts]
+    assert list(net.forward(*text_bytes(pa.array(texts)))) == alone
+    assert list(net.forward(*text_bytes(pa.array(texts[::-1])))) == alone[::-1]
+
+
 EVENT = "conv_id long, seq long, message long, turn long, role string, kind string, text string"
 
 
