@@ -182,6 +182,25 @@ def test_secret_threshold_keeps_the_wanted_recall_where_secrets_are_hard_to_tell
     assert only["threshold"] == 1.0
 
 
+def test_secrets_in_the_middle_of_long_candidates_are_found():
+    model = secret_scan.train(secret_scan._made_findings(5, 1500) + secret_scan._long_findings(5, 600))
+    rng = np.random.default_rng(31)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["ghp_" + "".join(rng.choice(letters, 36)) for _ in range(60)]
+    lead, tail = "/srv/www/data/projects/release_2024/", "/archive/old/backup/files_2023/index"
+    held = [f"see {lead}{k}{tail} for" for k in keys]
+    clean = [f"see {lead}{w}{tail} for" for w in ("river_stone_light", "green-table-walks-home", "docs/manual/chapter_12")]
+    found = secret_scan.find_spans(held, model)
+    assert np.mean([any(k == 3 for _, _, k in f) for f in found]) >= 0.9
+    assert not any(k == 3 for f in secret_scan.find_spans(clean, model) for _, _, k in f)
+
+
+def test_windows_cover_all_of_a_candidate():
+    for n in (16, 40, 41, 50, 51, 99, 1000):
+        starts = secret_scan.window_starts(7, 7 + n)
+        assert {p for s in starts for p in range(s, min(s + 40, 7 + n))} == set(range(7, 7 + n)) and min(starts) == 7
+
+
 def test_redaction_replaces_findings_only(spark, empty):
     df = spark.createDataFrame([(1, "a token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" b"), (2, "clean"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(df, None).collect()}
