@@ -22,8 +22,10 @@ a weighted Jaccard similarity (sum of smaller over sum of larger multiplicities)
 Copies of a text are handled once, by digest. Only DataFrame functions are used.
 
 Nulls: a null or wordless text leaks nothing and a null or wordless item is never leaked; a
-null id passes through. Repeated rows get the same result; items of one text are all
-listed. Without items nothing is contaminated. Other columns are not carried by
+null id passes through. An item is known by its words, so an item with a null item_id is
+leaked like any other (listed as a null before the other ids, and counted), and several
+texts under one item_id are compared one by one. Repeated rows get the same result; items
+of one text are all listed. Without items nothing is contaminated. Other columns are not carried by
 ``leaks_by_document`` and all are kept by ``drop_contaminated``.
 """
 
@@ -143,12 +145,12 @@ def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
     return near.select("key", "words", "start", "item_id").distinct()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, similarity, start): the best window for each leaked text (by digest) and item."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("ws")).where(F.size("ws") > 0)
-    items = materialize(items.select("item_id", F.size("ws").alias("words"), shingles(F.col("ws")).alias("shingles"), shingle_hashes(F.col("ws")).alias("hashes"))
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text") -> DataFrame:
+    """(key, item, similarity, start): the best window for each leaked text (by digest) and item (by digest of its words)."""
+    items = benchmark.select(words(F.col(item_text)).alias("ws")).where(F.size("ws") > 0)
+    items = materialize(items.select(item_digest(F.col("ws")).alias("item"), F.size("ws").alias("words"), shingles(F.col("ws")).alias("shingles"), shingle_hashes(F.col("ws")).alias("hashes"))
                         .withColumn("size", F.size("shingles")).distinct(), "items")
-    known = materialize(items.select("words", "size", "item_id", F.explode("hashes").alias("hash")).distinct(), "item-hashes")
+    known = materialize(items.select("words", "size", "item", F.explode("hashes").alias("hash")).distinct(), "item-hashes")
     asked = _maybe_broadcast(materialize(known.select("hash").distinct(), "known-hashes"), BROADCAST_SHINGLES)
 
     # 1: anchors, once for each text
@@ -157,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     anchors = materialize(spread.join(asked, "hash", "left_semi").distinct(), "anchors")
     by_item = anchors.join(_maybe_broadcast(known, BROADCAST_SHINGLES), "hash")
     need = F.ceil(F.col("size") * F.lit(PERCENT) / F.lit(100)).cast("int")
-    grouped = by_item.groupBy("key", "n", "words", "size", "item_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    grouped = by_item.groupBy("key", "n", "words", "size", "item").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     grouped = grouped.withColumn("need", need).where(F.size("at") >= F.col("need"))
     end = F.greatest(F.col("n") - F.col("words"), F.lit(0))
     enough = F.filter("at", lambda p, k: (p <= end) & (F.get(F.col("at"), k + F.col("need") - 1) - p < F.col("size")))
@@ -173,31 +175,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     cut = starts.join(whole, "key").select("key", "words", "start", shingles(F.slice("ws", F.col("start") + 1, F.col("words"))).alias("shingles"))
     cut = materialize(cut, "window-shingles")
     prints = simhash(cut.select("key", "words", "start", F.explode(numbered(F.col("shingles"))).alias("shingle")), ["key", "words", "start"], "shingle")
-    item_prints = simhash(items.select("item_id", "words", F.explode(numbered(F.col("shingles"))).alias("shingle")), ["item_id", "words"], "shingle")
+    item_prints = simhash(items.select("item", "words", F.explode(numbered(F.col("shingles"))).alias("shingle")), ["item", "words"], "shingle")
 
     # 3 and 4
-    pairs = materialize(within_radius(prints, item_prints), "near-windows")
+    pairs = materialize(within_radius(prints, item_prints.withColumnRenamed("item", "item_id")).withColumnRenamed("item_id", "item"), "near-windows")
 
     def bags(rows: DataFrame, by: list[str]) -> DataFrame:
         return rows.select(*by, F.size("shingles").alias("total"), F.explode("shingles").alias("shingle")).groupBy(*by, "total", "shingle").agg(F.count("*").alias("times"))
 
     ours = bags(cut.join(pairs.select("key", "words", "start").distinct(), ["key", "words", "start"], "left_semi"), ["key", "words", "start"])
-    theirs = bags(items, ["item_id"]).withColumnsRenamed({"total": "item_total", "times": "item_times"})
-    common = (pairs.join(ours, ["key", "words", "start"]).join(theirs, ["item_id", "shingle"])
-              .groupBy("key", "item_id", "start", "total", "item_total").agg(F.sum(F.least("times", "item_times")).alias("common")))
+    theirs = bags(items, ["item"]).withColumnsRenamed({"total": "item_total", "times": "item_times"})
+    common = (pairs.join(ours, ["key", "words", "start"]).join(theirs, ["item", "shingle"])
+              .groupBy("key", "item", "start", "total", "item_total").agg(F.sum(F.least("times", "item_times")).alias("common")))
     larger = F.col("total") + F.col("item_total") - F.col("common")
-    hits = common.where(F.col("common") * 100 >= larger * PERCENT).select("key", "item_id", (F.col("common") / larger).alias("similarity"), "start")
+    hits = common.where(F.col("common") * 100 >= larger * PERCENT).select("key", "item", (F.col("common") / larger).alias("similarity"), "start")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")  # the first of the best
-    return hits.groupBy("key", "item_id").agg(best).select("key", "item_id", "best.similarity", (-F.col("best.back")).alias("start"))
+    return hits.groupBy("key", "item").agg(best).select("key", "item", "best.similarity", (-F.col("best.back")).alias("start"))
 
 
 def digest(text_col: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
+def item_digest(ws: Column) -> Column:
+    return F.unhex(F.sha2(F.array_join(ws, " "), 256))
+
+
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, contaminated, n_items, item_ids (sorted), similarity (of the best window)."""
-    leaks = find_leaks(docs, benchmark, text_col).groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
+    names = benchmark.select("item_id", item_digest(words(F.col("text"))).alias("item")).distinct()
+    # in a struct, as a set leaves out bare nulls
+    leaks = find_leaks(docs, benchmark, text_col).join(names, "item").groupBy("key").agg(
+        F.sort_array(F.collect_set(F.struct("item_id"))).alias("named"), F.max("similarity").alias("similarity"))
+    leaks = leaks.select("key", F.col("named.item_id").alias("item_ids"), "similarity")
     leaks = _maybe_broadcast(materialize(leaks, "leaks"), BROADCAST_TEXTS)
     joined = docs.select(F.col(id_col), digest(text_col).alias("key")).join(leaks, "key", "left")
     return joined.select(id_col, F.col("similarity").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),

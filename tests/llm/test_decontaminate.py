@@ -135,3 +135,14 @@ def test_numbered_shingles_are_a_set(spark):
     rows = spark.createDataFrame([(0, ["b", "a", "b", "b"]), (1, ["a", "c"]), (2, []), (3, ["x"] * 3)], "k int, s array<string>")
     got = {r.k: sorted(r.n) for r in rows.select("k", decontaminate.numbered(F.col("s")).alias("n")).collect()}
     assert got == {0: ["a", "b", "b#2", "b#3"], 1: ["a", "c"], 2: [], 3: ["x", "x#2", "x#3"]}
+
+
+def test_items_without_an_id_and_two_texts_under_one_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    bench = spark.createDataFrame([(None, a), (7, b), (7, c), (8, a)], "item_id long, text string")
+    mixed = " ".join(b.split()[:20] + c.split()[20:])
+    docs = spark.createDataFrame([(1, "x " + a), (2, b), (3, c), (4, mixed), (5, f"{a} and {b}")], "doc_id long, text string")
+    rows = {r.doc_id: (r.contaminated, r.n_items, r.item_ids) for r in decontaminate.leaks_by_document(docs, bench).collect()}
+    assert rows == {1: (True, 2, [None, 8]), 2: (True, 1, [7]), 3: (True, 1, [7]), 4: (False, 0, []), 5: (True, 3, [None, 7, 8])}
+    nameless = bench.where("item_id is null")
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, nameless).collect()} == {2, 3, 4}
