@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, language_id, ngram_join, packing, quality, secret_scan, sharding, token_counts
+from . import chat, decontaminate, embedding_dedup, language_id, ngram_join, packing, prefix_trie, quality, secret_scan, sharding, token_counts
 
 #: Folder of the public tokenizer files; their place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -104,6 +104,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def _crc32_sql(codes: str) -> str:
+    """CRC-32 of a list of bytes; the statement's ``crc`` row has the byte table ``t``."""
+    return f"xor(list_reduce({codes}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"
+
+
+#: The table of CRC-32 by its polynomial.
+_CRC_TABLE_SQL = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)))"""
+
+
 def _chat_sql() -> str:
     def escaped(column: str) -> str:
         out = f"replace({column}, '\\', '\\\\')"
@@ -178,6 +192,27 @@ SELECT d.doc_id, x.doc_id IS NOT NULL AS contaminated, coalesce(x.n_items, 0) AS
   coalesce(x.similarity, 0.0) AS similarity FROM d LEFT JOIN x USING (doc_id)"""
 
 
+#: A node is the list of its turns' digests; sums over subtrees join each node with all its prefixes.
+_TRIE_SQL = r"""
+WITH """ + _CRC_TABLE_SQL + r""", o AS (
+  SELECT conv_id, list({'g': g, 'w': w} ORDER BY turn NULLS FIRST, role, g) AS s FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+      CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS w
+    FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+), h AS (SELECT conv_id, s, conv_id - ((conv_id % 20) + 20) % 20 AS base,
+    """ + _crc32_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))") + r""" % 4 AS h FROM o, crc
+), c AS (SELECT h.conv_id, coalesce(b.s, [])[1:h.h] || h.s[h.h + 1:] AS s FROM h LEFT JOIN o b ON b.conv_id = h.base
+), p AS (SELECT conv_id, len(s) AS size, unnest(range(0, len(s) + 1)) AS depth, list_transform(s, lambda x: x.g) AS k, s FROM c
+), n AS (SELECT k[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n,
+    any_value(CASE WHEN depth > 0 THEN s[depth].w ELSE 0 END) AS w, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth) AS ends
+  FROM p GROUP BY 1, 2
+), q AS (SELECT k[1:depth - 1] AS k, count(*) AS children FROM n WHERE depth > 0 GROUP BY 1
+), u AS (SELECT k[1:d] AS k, sum(CASE WHEN children IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * w) AS saved
+  FROM (SELECT n.k, n, w, children, unnest(range(0, depth + 1)) AS d FROM n LEFT JOIN q USING (k)) GROUP BY 1)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(q.children, 0) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN u USING (k) LEFT JOIN q USING (k) LEFT JOIN n m ON n.depth > 0 AND m.depth = n.depth - 1 AND m.k = n.k[1:n.depth - 1]"""
+
 # name -> (builder, oracle SQL or None)
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
@@ -190,6 +225,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_quality": (op8_quality, None),
     "op9_chat_format": (op9_chat_format, _chat_sql()),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
+    "op11_conversation_trie": (op11_conversation_trie, _TRIE_SQL),
 }
 QUERIES = {k: v[0] for k, v in ENTRIES.items()}
 ORACLE_SQL = {k: v[1] for k, v in ENTRIES.items() if v[1] is not None}

@@ -217,7 +217,7 @@ def test_redaction_replaces_findings_only(spark, empty):
     got = {r.doc_id: r.text for r in secret_scan.redact(df, None).collect()}
     assert got == {1: "a [secret]\" b", 2: "clean", 3: None}
     assert secret_scan.redact(empty, None).count() == 0
-    assert secret_scan.fit_secrets(empty, made=60)["threshold"] >= 0.5
+    assert 0 < secret_scan.fit_secrets(empty, made=60)["threshold"] < 1
 
 
 def test_quality_learns_and_handles_odd_rows(spark, odd, empty):
