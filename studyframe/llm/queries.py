@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding_dedup, language_id, ngram_join, packing, prefix_trie, quality, secret_scan, sharding, token_counts
+from . import chat, decontaminate, embedding_dedup, language_id, main_text, ngram_join, packing, prefix_trie, quality, secret_scan, sharding, spelling, token_counts
 
 #: Folder of the public tokenizer files; their place is a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -108,6 +108,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def _crc32_sql(codes: str) -> str:
     """CRC-32 of a list of bytes; the statement's ``crc`` row has the byte table ``t``."""
     return f"xor(list_reduce({codes}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"
@@ -213,6 +221,26 @@ SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n AS n_convs, coalesce
   CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
 FROM n JOIN u USING (k) LEFT JOIN q USING (k) LEFT JOIN n m ON n.depth > 0 AND m.depth = n.depth - 1 AND m.k = n.k[1:n.depth - 1]"""
 
+#: Near words share what is left when one place is taken out (or blanked, for a replaced letter).
+_SPELLING_SQL = r"""
+WITH RECURSIVE """ + _CRC_TABLE_SQL + r""", r AS (
+  SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+'),
+    lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS w FROM documents) WHERE length(w) >= 5 GROUP BY ALL
+), c AS (SELECT w, n, """ + _crc32_sql("""flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+    lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, CAST(ord(x) - 64 AS BIGINT)] END))""") + r""" AS h FROM r, crc
+), v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word FROM c)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3
+), x AS MATERIALIZED (SELECT word, n, unnest(range(length(word))) AS k FROM v
+), d AS MATERIALIZED (SELECT word, n, k, word[1:k] || word[k + 2:] AS rest FROM x
+), e AS (
+  SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.rest
+), b AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-v.n, b)) AS best, max(v.n) AS best_n FROM e JOIN v ON v.word = e.b GROUP BY 1
+), f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n
+  FROM v LEFT JOIN b USING (word)
+), g(word, last, onward) AS (SELECT word, word, form FROM f UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON f.word = g.onward)
+SELECT f.word, f.form, g.last AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word AND g.onward IS NULL"""
+
 # name -> (builder, oracle SQL or None)
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_language_id": (op1_language_id, None),
@@ -226,6 +254,8 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_chat_format": (op9_chat_format, _chat_sql()),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
     "op11_conversation_trie": (op11_conversation_trie, _TRIE_SQL),
+    "op12_spelling_variants": (op12_spelling_variants, _SPELLING_SQL),
+    "op13_main_text": (op13_main_text, None),
 }
 QUERIES = {k: v[0] for k, v in ENTRIES.items()}
 ORACLE_SQL = {k: v[1] for k, v in ENTRIES.items() if v[1] is not None}
