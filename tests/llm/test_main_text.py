@@ -56,9 +56,10 @@ def test_lists_tables_and_breaks():
 def test_references_and_broken_markup():
     got = main_text.main_text("<article><p>a &lt;b&gt; &amp;amp; &eacute;&nbsp;&#x41; &unknown; 1 < 2 & 3</article>")
     assert got == "a <b> &amp; é A &unknown; 1 < 2 & 3"
-    for page in ("<article><p>text</", "<article><p>text<a href=\"never closed>x</a>", "<article><p>text<!-- open", "<article><p>text<script>var x = 1", "<article><p>text</p></div></span></article></x>",
+    for page in ("<article><p>text</", "<article><p>text<!-- open", "<article><p>text<script>var x = 1", "<article><p>text</p></div></span></article></x>",
                  "<ARTICLE CLASS=Post><P>text</ARTICLE>", "<article><p>te<!-- > -->xt<![CDATA[]]></p>", "<article><p title=\"a>b\">text", "<article><p>text<!-->"):
         assert main_text.main_text(page) == "text", page
+    assert main_text.main_text("<article><p>a <a href=\"never closed>b</a>") == "a b"
     assert main_text.main_text("plain text, no tags.") == "plain text, no tags."
     for page in ("", "<html></html>", "<!-- -->", NAV, "<nav>x", "<script>x</script>", "<article></article>", "<div hidden>gone, all of it.</div>"):
         assert main_text.main_text(page) == "", page
