@@ -13,7 +13,7 @@ import math
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import diagnostics as D
-from . import profile
+from . import profile, trees
 
 MOST_CLASSES = 100  # a column with more values is refused as a class label
 HASH_SPACE = 1 << 52  # hashes folded into exactly representable doubles
@@ -168,44 +168,47 @@ def _cast_double_stage(cols, outs):
 
 # ----------------------------------------------------------------- L4–L6 candidates
 
-def candidates(n_train: int, seed: int = 42):
-    """Model name → (classifier, param grid).  C maps to regParam = 1/(C·n), n of the rows fitted."""
-    # The searched grids.
+FAMILIES = ("logistic_regression", "random_forest", "gradient_boosting")
+
+
+def logistic_candidates(n_train: int):
+    """L4: the classifier and its grid.  C maps to regParam = 1/(C·n), n of the rows fitted."""
+    # The searched grid.
     lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=3000, probabilityCol="probability",
                             standardization=False)  # the penalty is on the encoded columns as they are
-    lr_grid = (ParamGridBuilder()
-               .addGrid(lr.regParam, [1.0 / (c * max(n_train, 1)) for c in (0.1, 1.0, 10.0)])
-               .addGrid(lr.weightCol, ["w_one", "w_balanced"]).build())
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
-    rf_grid = (ParamGridBuilder()
-               .addGrid(rf.numTrees, [200, 400])
-               .addGrid(rf.maxDepth, [30, 8, 16])  # 30 = MLlib's deepest, standing for "unlimited"
-               .addGrid(rf.minInstancesPerNode, [1, 3, 5])
-               .addGrid(rf.weightCol, ["w_one", "w_balanced"]).build())
-    gb = GBTClassifier(featuresCol="features", labelCol="label", seed=seed, weightCol="w_balanced")
-    gb_grid = (ParamGridBuilder()
-               .addGrid(gb.maxIter, [100, 200])
-               .addGrid(gb.stepSize, [0.03, 0.1])
-               .addGrid(gb.maxDepth, [2, 3]).build())
-    return {"logistic_regression": (lr, lr_grid), "random_forest": (rf, rf_grid), "gradient_boosting": (gb, gb_grid)}
+    return lr, (ParamGridBuilder()
+                .addGrid(lr.regParam, [1.0 / (c * max(n_train, 1)) for c in (0.1, 1.0, 10.0)])
+                .addGrid(lr.weightCol, ["w_one", "w_balanced"]).build())
+
+
+def tree_candidates(family: str, seed: int = 42, fit_rows: int = trees.FIT_ROWS) -> list[trees.TreesClassifier]:
+    """One unfitted classifier a grid point."""
+    grid = trees.FOREST_GRID if family == "random_forest" else trees.BOOST_GRID
+    return [trees.TreesClassifier(family=family, points=json.dumps(p), seed=seed, fitRows=fit_rows) for p in trees.grid_points(grid)]
 
 
 def _p1():
     return vector_to_array(F.col("probability")).getItem(1)
 
 
-def _params_text(pm) -> str:
-    return json.dumps({p.name: (v if not isinstance(v, float) else round(v, 12)) for p, v in pm.items()}, sort_keys=True)
+def _params_text(clf) -> str:
+    if isinstance(clf, trees.TreesClassifier):
+        return json.dumps(json.loads(clf.getOrDefault("points")), sort_keys=True)
+    return json.dumps({"regParam": round(clf.getRegParam(), 12), "weightCol": clf.getWeightCol()}, sort_keys=True)
 
 
 def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_id",), test_size: float = 0.2,
         cv_folds: int = 5, n_boot: int = 1000, ci_level: float = 0.95, threshold_strategy: str = "youden",
         min_sensitivity_target: float = 0.75, random_state: int = 42, parallelism: int = 4,
-        models=("logistic_regression", "random_forest", "gradient_boosting")) -> dict:
+        models=FAMILIES, fit_rows: int = trees.FIT_ROWS) -> dict:
     """L20 (L13 fixed 0.5, L11/L12 scanned thresholds): split → grid search per
     model family → pick best mean AUC → threshold from out-of-fold probabilities
     → held-out metrics.  Returns DataFrames:
-    comparison, metrics, importance, scored_test, plus the fitted model."""
+    comparison, metrics, importance, scored_test, plus the fitted model.
+
+    The logistic family uses all training rows.  The two tree families are searched and fitted
+    on about ``fit_rows`` of them at most, picked by a hash of the key; their thresholds,
+    out-of-fold scores and metrics are those of all rows."""
     wrong = [text for text, ok in (("test_size is below one half and above 0", 0 < test_size < 0.5), ("cv_folds is 3 or more", cv_folds >= 3),
                                    ("n_boot is 200 or more", n_boot >= 200)) if not ok]
     if wrong:
@@ -221,20 +224,18 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
     train = split.where(~F.col("_test")).drop("_test")
     test = split.where(F.col("_test")).drop("_test")
     train = fold_column(balanced_weights(train, "label"), "label", key_cols, cv_folds, random_state)
+    train = train.withColumn(trees.PICK, _hash01(key_cols, random_state + 2) / float(HASH_SPACE))
     train = train.checkpoint(eager=True)  # reused by every fit: cut lineage once
     n_train = train.count()
     pre = preprocessor(train, list(predictors))
-    comparison, fitted = grid_search(train, pre, lambda n: candidates(n, random_state), cv_folds, parallelism,
-                                     [m for m in models])
+    comparison, fitted = grid_search(train, pre, cv_folds, parallelism, [m for m in FAMILIES if m in models], random_state, fit_rows)
     comp_df = spark.createDataFrame(comparison, "model_name string, best_cv_auc_mean double, "
                                                 "best_cv_auc_std double, best_params string")
     best_name = comparison[0][0]
     best_clf = fitted[best_name]
     best_pipe = Pipeline(stages=pre + [best_clf])
     best_model = best_pipe.fit(train)
-    warning = None
-    if len(comparison) >= 2 and comparison[0][1] - comparison[1][1] < comparison[0][2] / 2:
-        warning = f"top-2 AUC gap below half the winner's CV sd: {best_name} over {comparison[1][0]} is not conclusive"
+    warning = gap_warning(comparison)
 
     if threshold_strategy == "fixed":
         threshold = 0.5
@@ -244,7 +245,7 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
         threshold = (D.youden_threshold(scan) if threshold_strategy == "youden"
                      else D.min_sensitivity_threshold(scan, min_sensitivity_target))
 
-    scored = best_model.transform(test).select(F.col("label").cast("int").alias("y"), _p1().alias("p"))
+    scored = score(best_model, test, [*key_cols, F.col("label").cast("int").alias("y")])
     scored = scored.withColumn("pred", (F.col("p") >= F.lit(threshold)).cast("int")).checkpoint(eager=True)
     auc = D.roc_auc(scored)
     lo, hi = D.auc_bootstrap_ci(scored, n_boot, ci_level, random_state)
@@ -257,54 +258,73 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
         "test_auc_ci_low double, test_auc_ci_high double, test_brier double, test_sensitivity double, "
         "test_specificity double, test_tp long, test_fp long, test_tn long, test_fn long, n_train long, n_test long")
     return {"comparison": comp_df, "metrics": metrics, "importance": feature_importance(best_model, spark),
-            "scored_test": scored, "model": best_model, "warning": warning}
+            "scored_test": scored, "model": best_model, "warning": warning, "cv_folds": cv_folds,
+            "n_points": {m: len(logistic_candidates(1)[1]) if m == "logistic_regression" else len(tree_candidates(m)) for m in FAMILIES if m in models}}
+
+
+def gap_warning(comparison: list[tuple]) -> str | None:
+    """Set where the best mean AUC leads the second by less than half its standard deviation."""
+    if len(comparison) >= 2 and comparison[0][1] - comparison[1][1] < comparison[0][2] / 2:
+        return f"top-2 AUC gap below half the winner's CV sd: {comparison[0][0]} over {comparison[1][0]} is not conclusive"
+    return None
 
 
-def grid_search(train: DataFrame, pre, make, k: int, parallelism: int, models):
+def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: int = 42, fit_rows: int = trees.FIT_ROWS):
     """Stratified k-fold grid search on ROC-AUC.
 
     Preprocessing has no searched parameters, so it is fitted once per fold and
-    the fold's feature vectors are cached; every grid point's classifier is then
-    fitted on them (JVM fits run concurrently) and scored on the held-out fold
-    with the exact AUC.  ``make(n)`` gives the candidates for n fitted rows.  Returns comparison rows (best mean, sd, params) sorted by
+    the fold's feature vectors are cached.  The logistic points are fitted on them one by one
+    (JVM fits run concurrently); the points of both tree families, in all folds, are grown by
+    one job over a bounded sample (``trees.search``).  Every point is scored on the held-out
+    fold with the exact AUC.  Returns comparison rows (best mean, sd, params) sorted by
     mean AUC and the best classifier per family, unfitted.
     """
     from concurrent.futures import ThreadPoolExecutor
     evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
                                               metricName="areaUnderROC", numBins=0)
-    cands = make(train.count())
-    scores = {(name, i): [] for name, (_, grid) in cands.items() if name in models for i in range(len(grid))}
-    keep = ["features", "label", "w_one", "w_balanced"]
+    n_train = train.count()
+    wooded = [m for m in models if m != "logistic_regression"]
+    points: dict[str, list] = {m: tree_candidates(m, seed, fit_rows) for m in wooded}
+    if "logistic_regression" in models:
+        lr, grid = logistic_candidates(n_train)
+        points["logistic_regression"] = [lr.copy(pm) for pm in grid]
+    scores = {(name, i): [] for name, grid in points.items() for i in range(len(grid))}
+    keep = ["features", "label", "w_one", "w_balanced", trees.PICK]
+    picked = min(1.0, fit_rows / max(n_train, 1))
+    sampled = train.where(F.col(trees.PICK) < picked)
+    folds = []
     for f in range(k):
         prep = Pipeline(stages=list(pre)).fit(train.where(F.col("fold") != f))
+        if wooded:
+            x, y, w = trees.collect_sample(prep.transform(sampled.where(F.col("fold") != f)).select(*keep), fit_rows, ("w_balanced",), picked)
+            held, truth, _ = trees.collect_sample(prep.transform(sampled.where(F.col("fold") == f)).select(*keep), fit_rows, (), picked)
+            data = trees.binned(x, y, w["w_balanced"].to_numpy(float))
+            folds.append((data, data.of(held), truth))
+        if "logistic_regression" not in models:
+            continue
         tr = prep.transform(train.where(F.col("fold") != f)).select(*keep).persist()
         va = prep.transform(train.where(F.col("fold") == f)).select(*keep).persist()
-        jobs = [(name, i, clf, pm) for name, (clf, grid) in make(tr.count()).items() if name in models for i, pm in enumerate(grid)]
+        lr, grid = logistic_candidates(tr.count())
         try:
-            def one(job):
-                name, i, clf, pm = job
-                m = clf.copy(pm).fit(tr)
-                return name, i, evaluator.evaluate(m.transform(va))
             with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-                for name, i, auc in pool.map(one, jobs):
-                    scores[(name, i)].append(auc)
+                for i, auc in enumerate(pool.map(lambda pm: evaluator.evaluate(lr.copy(pm).fit(tr).transform(va)), grid)):
+                    scores["logistic_regression", i].append(auc)
         finally:
             tr.unpersist()
             va.unpersist()
+    scores |= trees.search(train.sparkSession, folds, wooded, seed)
     rows, best = [], {}
-    for name, (clf, grid) in cands.items():
-        if name not in models:
-            continue
+    for name in models:
         stats = []
-        for i, pm in enumerate(grid):
-            v = scores[(name, i)]
+        for i, clf in enumerate(points[name]):
+            v = scores[name, i]
             mean = sum(v) / len(v)
             sd = (sum((x - mean) ** 2 for x in v) / len(v)) ** 0.5
-            stats.append((mean, -i, sd, pm))
-        mean, neg_i, sd, pm = max(stats, key=lambda t: (t[0], t[1]))
-        rows.append((name, float(mean), float(sd), _params_text(pm)))
-        best[name] = clf.copy(pm)
-    rows.sort(key=lambda r: -r[1])
+            stats.append((-1.0 if math.isnan(mean) else mean, -i, mean, sd))
+        _, i, mean, sd = max(stats)
+        best[name] = points[name][-i]
+        rows.append((name, float(mean), float(sd), _params_text(best[name])))
+    rows.sort(key=lambda r: -1.0 if math.isnan(r[1]) else r[1], reverse=True)
     return rows, best
 
 
@@ -347,6 +367,11 @@ def _feature_names(pipeline_model) -> list[str]:
     return names
 
 
+def score(fitted, df: DataFrame, keep) -> DataFrame:
+    """The columns ``keep`` and the probability ``p`` of the positive class, of a fitted or loaded pipeline."""
+    return fitted.transform(df).select(*keep, _p1().alias("p"))
+
+
 def scored_from_columns(df: DataFrame, y_col: str, p_expr, threshold: float = 0.5) -> DataFrame:
     """A scored table ``(y, p, pred)`` from existing columns."""
     return df.select(F.col(y_col).cast("int").alias("y"), p_expr.cast("double").alias("p")).withColumn(

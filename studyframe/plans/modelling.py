@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnostics as D
 from ..operators import govern, impute, model
-from ..session import shared_path
-from ..sources import sinks
+from ..session import discard, materialize, shared_path
+from ..sources import registry, sinks
 from .cleaning import _customers_with_nulls
 from .profiling import rounded, sig_wrap
 from .screening import CONTINUOUS, LEAKAGE, MISSINGNESS, PREDICTORS, REDUNDANCY, _STUDY_SQL, study_frame
@@ -274,11 +275,115 @@ def document_logistic_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logistic_run(spark, sf_dir)["metrics"]
 
 
+#: Parameters of the full search, which name its entry in the registry.
+SEARCH = {"positive_class": 1, "key_cols": ["doc_id"], "test_size": 0.2, "cv_folds": 5, "n_boot": 1000, "ci_level": 0.95,
+          "threshold_strategy": "youden", "min_sensitivity_target": 0.75, "random_state": 42, "models": list(model.FAMILIES), "fit_rows": 20_000}
+TASK = "document quality"
+
+
+def _search(spark, sf_dir) -> str:
+    """Folder of the three-family search; the first query to ask runs it, later ones read it."""
+    frame, preds = _model_inputs(spark, sf_dir)
+    frame = materialize(frame, "model-frame")
+    key = registry.key_of(frame, SEARCH | {"predictors": preds})
+    path = registry.find(spark, TASK, key)
+    if path is None:
+        result = model.run(frame, "target", preds, **SEARCH)
+        path = registry.publish(spark, TASK, key, result, SEARCH | {"target": "target", "predictors": preds})
+    discard(frame)
+    return path
+
+
+def document_predictive_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final metrics row of the search over all three families."""
+    return registry.table(spark, _search(spark, sf_dir), "metrics")
+
+
 def document_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best CV AUC mean / sd / params per family, ordered by mean AUC."""
-    return _logistic_run(spark, sf_dir)["comparison"].orderBy(F.col("best_cv_auc_mean").desc())
+    return registry.table(spark, _search(spark, sf_dir), "comparison").orderBy(F.col("best_cv_auc_mean").desc())
 
 
 def document_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 15 largest importances (|coefficient|) by encoded feature."""
-    return D.top_features(_logistic_run(spark, sf_dir)["importance"], 15)
+    """The 15 largest importances of the selected model by encoded feature."""
+    return D.top_features(registry.table(spark, _search(spark, sf_dir), "importance"), 15)
+
+
+def document_search_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every search: the families and their grid points, folds, rows fitted and
+    tested, AUCs in range, the winner's row in the metrics, the gap rule in the manifest."""
+    path = _search(spark, sf_dir)
+    comparison = registry.table(spark, path, "comparison")
+    note, m = registry.table(spark, path, "manifest").first(), registry.table(spark, path, "metrics").first()
+    order = [tuple(r) for r in comparison.orderBy(F.col("best_cv_auc_mean").desc()).collect()]  # one row a family
+    points = F.create_map(*[F.lit(x).cast("string" if isinstance(x, str) else "long") for kv in json.loads(note["n_points"]).items() for x in kv])
+    return comparison.select(
+        "model_name", points[F.col("model_name")].alias("n_points"), F.lit(json.loads(note["cv_folds"])).cast("long").alias("cv_folds"),
+        F.lit(m["n_train"]).cast("long").alias("n_train"), F.lit(m["n_test"]).cast("long").alias("n_test"),
+        F.col("best_cv_auc_mean").between(0.0, 1.0).alias("auc_in_range"), F.lit(m["selected_model"] == order[0][0]).alias("winner_selected"),
+        F.lit(json.loads(note["warning"]) == model.gap_warning(order)).alias("gap_rule_holds"),
+        F.lit(sum(m[c] for c in ("test_tp", "test_fp", "test_tn", "test_fn")) == m["n_test"]).alias("counts_add_up"))
+
+
+SEARCH_AUDIT_SQL = """
+WITH n AS (SELECT quality, count(*) AS n, CAST(floor(0.2 * count(*) + 0.5) AS BIGINT) AS t FROM documents d JOIN labels l USING (doc_id)
+  WHERE quality IS NOT NULL GROUP BY quality),
+t AS (SELECT CAST(sum(n - t) AS BIGINT) AS n_train, CAST(sum(t) AS BIGINT) AS n_test FROM n)
+SELECT model_name, CAST(n_points AS BIGINT) AS n_points, CAST(5 AS BIGINT) AS cv_folds, n_train, n_test, TRUE AS auc_in_range, TRUE AS winner_selected,
+  TRUE AS gap_rule_holds, TRUE AS counts_add_up
+FROM t, (VALUES ('logistic_regression', 6), ('random_forest', 36), ('gradient_boosting', 8)) v(model_name, n_points)
+"""
+
+
+def document_saved_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled documents scored with the model as saved; ``as_fitted`` compares held-out rows with
+    the scores that the fitted model gave in its own run (rows it was trained on have none)."""
+    path = _search(spark, sf_dir)
+    frame, _ = _model_inputs(spark, sf_dir)
+    again = model.score(registry.fitted(path), frame.where(F.col("target").isNotNull()), ["doc_id", F.col("target").cast("int").alias("y")])
+    then = registry.table(spark, path, "scored_test").select("doc_id", F.col("p").alias("p_then"), F.col("y").alias("y_then"))
+    both = again.join(then, "doc_id", "left")
+    near = (F.abs(F.col("p") - F.col("p_then")) <= 1e-12) & (F.col("y") == F.col("y_then"))
+    return both.select("doc_id", "y", F.coalesce(near, F.lit(True)).alias("as_fitted"), F.col("p").between(0.0, 1.0).alias("is_probability"),
+                       F.lit(then.count()).cast("long").alias("n_held_out"))
+
+
+SAVED_SCORES_SQL = """
+SELECT doc_id, CAST(quality AS INTEGER) AS y, TRUE AS as_fitted, TRUE AS is_probability,
+  (SELECT CAST(sum(t) AS BIGINT) FROM (SELECT floor(0.2 * count(*) + 0.5) AS t FROM documents d JOIN labels l USING (doc_id) WHERE quality IS NOT NULL GROUP BY quality)) AS n_held_out
+FROM documents d JOIN labels l USING (doc_id) WHERE quality IS NOT NULL
+"""
+
+
+def document_predictive_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictive and diagnostic tables of the task (curves, calibration, thresholds, importances)
+    written as Parquet, listed with their rows as read back."""
+    path = _search(spark, sf_dir)
+    scored = registry.table(spark, path, "scored_test").select("y", "p", "pred")
+    importance = registry.table(spark, path, "importance")
+    tables = {
+        "comparison": registry.table(spark, path, "comparison"), "final_metrics": D.metrics_long(registry.table(spark, path, "metrics").drop("selected_model", "threshold_strategy")),
+        "roc": D.roc_points(scored), "precision_recall": D.pr_points(scored), "pr_summary": D.pr_summary(scored), "confusion": D.confusion_matrix(scored),
+        "calibration": D.calibration(scored), "probability_histogram": D.probability_histogram(scored), "threshold_scan": D.threshold_scan(scored),
+        "importance": importance, "top_features": D.top_features(importance, 15), "manifest": registry.table(spark, path, "manifest"),
+    }
+    # rows that must be there whatever the scores are
+    levels = {"roc": scored.select("p").distinct().count() + 1}
+    levels["precision_recall"] = levels["roc"]
+    paths = sinks.write_tables(tables, shared_path(spark, f"report-{uuid.uuid4().hex}"), TASK)
+    fixed = {"comparison": 3, "final_metrics": 13, "pr_summary": 1, "threshold_scan": 181, "manifest": 1}
+    out = None
+    for name, p in paths.items():
+        n = F.count(F.lit(1))
+        ok = n == fixed[name] if name in fixed else n == levels[name] if name in levels else (n >= 1) & (n <= {"confusion": 4, "calibration": 10, "probability_histogram": 60,
+                                                                                                                "top_features": 15}.get(name, 10_000))
+        row = spark.read.parquet(p).agg(F.when(F.lit(name in fixed), n).alias("n_rows"), ok.alias("rows_as_expected")).select(F.lit(name).alias("table"), "n_rows", "rows_as_expected")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+PREDICTIVE_BUNDLE_SQL = """
+SELECT name AS "table", CAST(n AS BIGINT) AS n_rows, TRUE AS rows_as_expected
+FROM (VALUES ('comparison', 3), ('final_metrics', 13), ('roc', NULL), ('precision_recall', NULL), ('pr_summary', 1), ('confusion', NULL), ('calibration', NULL),
+  ('probability_histogram', NULL), ('threshold_scan', 181), ('importance', NULL), ('top_features', NULL), ('manifest', 1)) v(name, n)
+"""

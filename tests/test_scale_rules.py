@@ -204,7 +204,7 @@ def test_unseen_levels_are_all_zeros_and_names_are_real(spark):
 
     rows = [(float(k % 7) if k % 5 else None, ["u", "v", "w"][k % 3], float(k % 2)) for k in range(60)]
     df = model.balanced_weights(spark.createDataFrame(rows, "x double, g string, label double"), "label")
-    clf = model.candidates(60)["logistic_regression"][0]
+    clf = model.logistic_candidates(60)[0]
     fitted = Pipeline(stages=[*model.preprocessor(df, ["x", "g"]), clf]).fit(df)
     assert {r.feature for r in model.feature_importance(fitted, spark).collect()} == {"x", "g=u", "g=v", "g=w"}
     new = spark.createDataFrame([(1.0, "unseen", 0.0)], "x double, g string, label double")
