@@ -7,8 +7,7 @@ that many have come last, so a passage shared by thousands rarely selects anyone
 pair's smaller set a shorter index prefix is enough.
 
 Steps, each a Spark job over the whole table:
-1. document counts of shingles (the half of the hash space that orders the rest), as
-   sorted hash blocks dealt by hash range; the heaviest ones, at most ``heavy_limit``,
+1. document counts of all shingles, as sorted hash blocks dealt by hash range; the heaviest ones, at most ``heavy_limit``,
    travel to the tasks and only decide the order, never what is compared;
 2. per document: set size, digest of the set, and the id of its group, all documents of
    one size and one prefix;
@@ -69,8 +68,8 @@ def _digest(*parts: bytes, size: int = 16) -> bytes:
 
 
 def _codes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Range (upper ``bits``) and 32 more bits of hashes below 2**63."""
-    return (hashes >> np.uint64(31 - bits)).astype(np.int64)
+    """Range (upper ``bits``) and 32 more bits of hashes."""
+    return (hashes >> np.uint64(32 - bits)).astype(np.int64)
 
 
 def _by_range(codes: np.ndarray) -> list[tuple[int, slice]]:
@@ -103,7 +102,7 @@ def heavy_shingles(docs: DataFrame, bits: int, heavy_limit: int, text_col: str)
         for batch in batches:
             for part in slices(batch, text_col):
                 for s in shingle_sets(*text_bytes(part.column(0))):
-                    held.append(s[:np.searchsorted(s, np.uint64(1 << 63))])
+                    held.append(s)
                     size += len(held[-1])
                 if size > _FLUSH:
                     yield flush()
@@ -139,13 +138,13 @@ def heavy_shingles(docs: DataFrame, bits: int, heavy_limit: int, text_col: str)
     least = HEAVY_FROM
     while table.where(F.col("documents") >= least).count() > heavy_limit:
         least *= 2
-    rows = table.where(F.col("documents") >= least).orderBy("code").collect()  # at most heavy_limit
+    rows = table.where(F.col("documents") >= least).toPandas().sort_values("code")  # at most heavy_limit rows of 16 bytes
     discard(table)
-    return np.array([r.code for r in rows], np.int64), np.array([r.documents for r in rows], np.int64)
+    return rows["code"].to_numpy(np.int64), rows["documents"].to_numpy(np.int64)
 
 
 class Order:
-    """The order of shingles: light ones, then those outside the counted half, then heavy ones."""
+    """The order of shingles: light ones, then heavy ones by their documents."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, bits: int):
         self.codes, self.counts, self.bits = codes, counts, bits
@@ -154,12 +153,10 @@ class Order:
         """The probe prefix of each sorted set, in order."""
         together = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         rank = np.zeros(len(together), np.int64)
-        upper = together >= np.uint64(1 << 63)
-        rank[upper] = 1
         if len(self.codes):
-            own = _codes(together[~upper], self.bits)
+            own = _codes(together, self.bits)
             at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
-            rank[~upper] = np.where(self.codes[at] == own, self.counts[at] + 1, 0)
+            rank = np.where(self.codes[at] == own, self.counts[at], 0)
         out, a = [], 0
         for s in sets:
             r = rank[a:a + len(s)]

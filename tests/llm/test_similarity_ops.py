@@ -179,3 +179,28 @@ def test_components_of_a_long_path_and_a_hub(spark, monkeypatch, in_task):
     assert len(rows) == len(got)
     assert got == {k: 0 for k in range(61)} | {k: 1000 for k in range(1000, 1040)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("share", [45, 55, 70])
+def test_a_passage_of_thousands_selects_nobody(share):
+    """Documents that share a passage only: their prefixes keep clear of it, in either half of the hash space."""
+    rnd = random.Random(share)
+    passage = [f"p{rnd.randrange(10**6)}" for _ in range(2 * share)]
+    texts = []
+    for _ in range(2000):
+        own = [f"w{rnd.randrange(10**9)}" for _ in range(200 - len(passage))]
+        k = rnd.randrange(len(own) + 1)
+        texts.append(" ".join(own[:k] + passage + own[k:]))
+    sets = shingle_sets(*text_bytes(pa.array(texts)))
+    bits = 5
+    codes, counts = np.unique(ngram_join._codes(np.concatenate(sets), bits), return_counts=True)
+    heavy = counts >= ngram_join.HEAVY_FROM
+    assert (codes[heavy] >> 32 < 16).any() and (codes[heavy] >> 32 >= 16).any()
+    order = ngram_join.Order(codes[heavy], counts[heavy], bits)
+    prefixes = order.prefix(sets)
+    common = np.unique(np.concatenate(prefixes), return_counts=True)
+    if share < 70:
+        assert common[1].max() < 3
+    # even where the passage is most of a text, only its fewest shingles are taken
+    assert sum(int(n) for n in common[1] if n > 100) <= 2000 * max(0, ngram_join.probe_length(196) - (196 - 2 * share + 4))
+    assert all(len(p) == ngram_join.probe_length(len(s)) for p, s in zip(prefixes, sets))
