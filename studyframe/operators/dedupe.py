@@ -56,15 +56,14 @@ def masks(df: DataFrame, id_cols, order_cols) -> DataFrame:
                             "_ord": F.struct(*[F.col(c) for c in order_cols])})
     groups = (keyed.where(F.col("_key").isNotNull()).groupBy("_key")
               .agg(F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
-    joined = keyed.where(F.col("_key").isNotNull()).join(groups, "_key", "left")
-    flagged = joined.select(
+    # an incomplete key meets no digest; it is spread by the order so that such rows do not share a task
+    apart = F.concat(F.lit("~"), F.xxhash64("_ord").cast("string"))
+    joined = keyed.withColumn("_on", F.coalesce("_key", apart)).drop("_key").join(groups.withColumnRenamed("_key", "_on"), "_on", "left")
+    return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         F.col("_n").isNotNull().alias("_dup_group"),
         F.coalesce(F.col("_ord") > F.col("_first"), F.lit(False)).alias("_dup_later"),
     )
-    # rows with an incomplete key go around the join
-    alone = keyed.where(F.col("_key").isNull()).drop("_key", "_ord").withColumns({"_dup_group": F.lit(False), "_dup_later": F.lit(False)})
-    return flagged.unionByName(alone)
 
 
 def report(df: DataFrame, id_cols, order_cols, include_first: bool = True) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
-from . import profile, ranking
+from ..session import discard, materialize
+from . import profile, ranking, ranks
 
 
 def _is_numeric(t) -> bool:
@@ -20,38 +20,24 @@ def _is_numeric(t) -> bool:
 
 
 def medians(df: DataFrame, cols) -> dict:
-    """Exact median per numeric column (mean of the two middle values), one pass
-    over a bucketed value table; no column is gathered in one task."""
-    cols = list(cols)
-    if not cols:
-        return {}
-    ns = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    vt = profile.numeric_value_table(df, cols)
-    ranks = {}
-    for i, c in enumerate(cols):
-        n = int(ns[f"n{i}"])
-        if n:
-            h = (n - 1) * 0.5
-            ranks[c] = {math.floor(h), math.ceil(h)}
-    os_ = profile.order_statistics(vt, ranks)
-    out = {}
-    for i, c in enumerate(cols):
-        n = int(ns[f"n{i}"])
-        if not n:
-            continue
-        h = (n - 1) * 0.5
-        out[c] = (os_[(c, math.floor(h))] + os_[(c, math.ceil(h))]) / 2.0
-    return out
+    """M2: exact median per numeric column with values (mean of the two middle ones), by narrowing
+    brackets: only rows next to the middle are shuffled."""
+    got = ranks.quantiles(df, {c: F.col(f"`{c}`") for c in cols}, [0.5])
+    return {c: m for c, (m,) in got.items() if m is not None}
 
 
 def modes(df: DataFrame, cols) -> dict:
-    """Most frequent value per column, ties → smallest (as text; cast back by the caller)."""
-    cols = list(cols)
-    if not cols:
-        return {}
-    vc = profile.value_counts(df, cols)
-    top = ranking.top_k(vc, "column", [F.col("n").desc(), F.col("value").asc()], 1, salt_cols="value")
-    return {r["column"]: r["value"] for r in top.collect()}
+    """M3: most frequent value per column, ties → smallest (as text; cast back by the caller).
+
+    Frequent values settle it in two passes; the level counts are made for the other columns only.
+    """
+    found, open_ = ranks.frequent_modes(df, {c: F.col(f"`{c}`") for c in cols})
+    out = {c: value for c, (value, _) in found.items()}
+    if open_:
+        vc = profile.value_counts(df, open_)
+        top = ranking.top_k(vc, "column", [F.col("n").desc(), F.col("value").asc()], 1, salt_cols="value")
+        out |= {r["column"]: r["value"] for r in top.collect()}
+    return out
 
 
 def simple_impute(df: DataFrame, cols) -> DataFrame:
@@ -76,28 +62,29 @@ def simple_impute(df: DataFrame, cols) -> DataFrame:
 
 def iterative_impute(df: DataFrame, cols, n_trees: int = 50, max_iter: int = 10, tol: float = 1e-3,
                      seed: int = 0) -> DataFrame:
-    """M4: chained random-forest imputation among ``cols`` (numeric).
+    """M4: chained random-forest imputation among ``cols`` (numeric); a column without any value stays empty.
 
     Start from the mean; each round refits one forest per column on the rows
     where it was observed, using the other columns' current values, and
     predicts the missing entries.  Stops when the largest change relative to the
-    largest value falls under ``tol``.  Integer columns are floored.  Each round
-    is checkpointed (reliable checkpoint under ``spark.checkpoint.dir``) so the
-    lineage stays short and a lost executor recomputes one round only.
+    largest value falls under ``tol``.  Integer columns are floored.  Each column's step
+    is written to the shared folder: the next forest reads it instead of replaying the
+    last one, and a lost executor costs one step.
     """
     cols = [c for c in cols if c in df.columns and _is_numeric(df.schema[c].dataType)]
     if not cols:
         return df
-    ensure_checkpoint_dir(df.sparkSession)
     means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in cols]).first()
+    cols = [c for c in cols if means[c] is not None]
     work = df
     for c in cols:
         work = work.withColumn(f"_obs_{c}", F.col(f"`{c}`").isNotNull())
         work = work.withColumn(f"_cur_{c}", F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(means[c])))
-    work = work.checkpoint(eager=True)
     if len(cols) > 1:
+        work = materialize(work, "impute-start")
         for _ in range(max_iter):
             work = work.withColumns({f"_prev_{c}": F.col(f"_cur_{c}") for c in cols})
+            before = work
             for c in cols:
                 others = [f"_cur_{o}" for o in cols if o != c]
                 asm = VectorAssembler(inputCols=others, outputCol="_feat")
@@ -105,9 +92,11 @@ def iterative_impute(df: DataFrame, cols, n_trees: int = 50, max_iter: int = 10,
                                            seed=seed, predictionCol="_pred")
                 model = Pipeline(stages=[asm, rf]).fit(work.where(F.col(f"_obs_{c}")))
                 pred = model.transform(work).drop("_feat")
-                work = pred.withColumn(f"_cur_{c}", F.when(F.col(f"_obs_{c}"), F.col(f"_cur_{c}"))
+                pred = pred.withColumn(f"_cur_{c}", F.when(F.col(f"_obs_{c}"), F.col(f"_cur_{c}"))
                                        .otherwise(F.col("_pred"))).drop("_pred")
-            work = work.checkpoint(eager=True)
+                last, work = work, materialize(pred, "impute-step")
+                if last is not before:
+                    discard(last)
             d = work.agg(F.max(F.greatest(*[F.abs(F.col(f"_cur_{c}") - F.col(f"_prev_{c}")) for c in cols])).alias("d"),
                          F.max(F.greatest(*[F.abs(F.col(f"_cur_{c}")) for c in cols])).alias("m")).first()
             if d["m"] and d["d"] is not None and d["d"] / d["m"] < tol:

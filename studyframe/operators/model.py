@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import diagnostics as D
-from . import profile, trees
+from . import ranks, trees
 
 MOST_CLASSES = 100  # a column with more values is refused as a class label
 HASH_SPACE = 1 << 52  # hashes folded into exactly representable doubles
@@ -40,24 +40,22 @@ def _hash01(key_cols, seed: int):
 
 def _class_cutoffs(df: DataFrame, y: str, h: str, fractions) -> dict:
     """Per class label: for each fraction f, (hash value at rank ⌊f·n + ½⌋ − 1, ⌊f·n + ½⌋),
-    exact order statistics from the bucketed value table."""
+    exact order statistics by narrowing brackets."""
     labels = sorted(r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect())
     if len(labels) > MOST_CLASSES:
         raise ValueError(f"{y} has more than {MOST_CLASSES} classes; it is no class label")
-    wide = df.select(*[F.when(F.col(y) == F.lit(lb), F.col(h)).alias(f"c{i}") for i, lb in enumerate(labels)])
-    cols = [f"c{i}" for i in range(len(labels))]
-    counts = wide.agg(*[F.count(c).alias(c) for c in cols]).first()
+    # the hashes of each class, as a column of its own
+    hashes = {f"c{i}": F.when(F.col(y) == F.lit(lb), F.col(h)) for i, lb in enumerate(labels)}
 
     def rank(fr, n):
         return max(0, min(n - 1, int(math.floor(fr * n + 0.5)) - 1))
 
-    ranks = {c: {rank(fr, int(counts[c])) for fr in fractions} for c in cols if counts[c]}
-    os_ = profile.order_statistics(profile.numeric_value_table(wide, cols), ranks)
+    got = ranks.select(df, hashes, fractions, lambda _, n: {rank(fr, n) for fr in fractions})
     out = {}
-    for lb, c in zip(labels, cols):
-        n = int(counts[c])
+    for lb, c in zip(labels, hashes):
+        n = got[c].n
         if n:
-            out[lb] = [(os_.get((c, rank(fr, n))), int(math.floor(fr * n + 0.5))) for fr in fractions]
+            out[lb] = [(got[c].value(rank(fr, n)), int(math.floor(fr * n + 0.5))) for fr in fractions]
     return out
 
 

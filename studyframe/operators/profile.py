@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from . import ranking
+from . import ranking, ranks
 from .prefix import accuracy, default_buckets
 
 BOOKKEEPING = ("included_in_cohort", "row_id", "cohort_exclusion_reason", "target")
@@ -230,8 +230,7 @@ def numeric_candidates(df: DataFrame, exclude=()) -> list[str]:
             and f.name not in BOOKKEEPING and f.name not in exclude]
 
 
-def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float = 0.1,
-                    skip_two_level: bool = False) -> DataFrame:
+def numeric_profile(df: DataFrame, cols, trim: float = 0.1, skip_two_level: bool = False) -> DataFrame:
     """One row per numeric column.
 
     Columns: column, n, n_unique, missing_pct, max, min, median, mean, mode,
@@ -247,55 +246,26 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
               "iqrange double, p_5th double, p_95th double, skewness double, kurtosis double")
     if not cols:
         return spark.createDataFrame([], schema)
-    b = buckets or default_buckets(spark)
-    probs = [i / b for i in range(1, b)] if b > 1 else [0.5]
+    # one pass for moments and bracket cuts, one for exact counts between the cuts, one for the rows
+    # inside the brackets, one for the distinct values
+    places = [*PERCENTILES, trim, 1.0 - trim]
+    probs = ranks.sketch_places(places)
     aggs = [F.count(F.lit(1)).alias("__rows")]
+    values = {c: F.col(f"`{c}`").cast("double") for c in cols}
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
+        x = values[c]
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                  F.avg(x).alias(f"av{i}"), F.stddev_pop(x).alias(f"sd{i}"), F.skewness(x).alias(f"sk{i}"),
-                 F.kurtosis(x).alias(f"ku{i}"), F.percentile_approx(x, probs, accuracy(b)).alias(f"q{i}")]
+                 F.kurtosis(x).alias(f"ku{i}"), F.percentile_approx(x, probs, ranks.ACCURACY).alias(f"q{i}")]
     m = df.agg(*aggs).first()
-    vt = numeric_value_table(df, cols, b, cuts={c: m[f"q{i}"] for i, c in enumerate(cols)}).persist()
-    try:
-        summary = value_table_summary(vt)
-        ranks = {}
-        trims = {}
-        for i, c in enumerate(cols):
-            n = int(m[f"n{i}"])
-            if n == 0:
-                continue
-            ks = set()
-            for q in PERCENTILES:
-                h = (n - 1) * q
-                ks.update({math.floor(h), math.ceil(h)})
-            kt = int(trim * n)
-            trims[c] = kt
-            ks.update({kt, n - 1 - kt})
-            ranks[c] = ks
-        os_ = order_statistics(vt, ranks)
-        # modes and trimmed sums: one aggregate over the value table
-        small = []
-        for i, c in enumerate(cols):
-            if c not in ranks:
-                continue
-            n = int(m[f"n{i}"])
-            kt = trims[c]
-            small.append((c, summary[c][2], os_.get((c, kt)), os_.get((c, n - 1 - kt))))
-        sums = {}
-        if small:
-            sdf = spark.createDataFrame(small, "column string, max_n long, lo double, hi double")
-            v = F.col("value")
-            agg = (vt.join(F.broadcast(sdf), "column").groupBy("column").agg(
-                F.min(F.when(F.col("n") == F.col("max_n"), v)).alias("mode"),
-                F.count_if(F.col("n") == F.col("max_n")).alias("n_modes"),
-                F.sum(F.when((v > F.col("lo")) & (v < F.col("hi")), v * F.col("n"))).alias("s_in"),
-                F.sum(F.when(v <= F.col("lo"), F.col("n"))).alias("c_lo"),
-                F.sum(F.when(v >= F.col("hi"), F.col("n"))).alias("c_hi"),
-            ).collect())
-            sums = {r["column"]: r for r in agg}
-    finally:
-        vt.unpersist()
+    rows = {c: int(m[f"n{i}"]) for i, c in enumerate(cols)}
+    cuts = {c: (rows[c], [m[f"mn{i}"], m[f"mx{i}"], *(m[f"q{i}"] or [])]) for i, c in enumerate(cols)}
+
+    def wanted(c: str, n: int) -> set[int]:
+        return ranks.quantile_ranks(n, PERCENTILES) | {int(trim * n), n - 1 - int(trim * n)}
+
+    selected = ranks.select(df, values, places, wanted, cuts)
+    stats = ranks.value_stats(df, values, rows)
     rows_total = int(m["__rows"])
     out = []
     for i, c in enumerate(cols):
@@ -308,24 +278,15 @@ def numeric_profile(df: DataFrame, cols, buckets: int | None = None, trim: float
         g1, g2 = m[f"sk{i}"], m[f"ku{i}"]
         skew = g1 * math.sqrt(n * (n - 1)) / (n - 2) if (g1 is not None and n > 2) else None
         kurt = ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)) if (g2 is not None and n > 3) else None
-        pct = {q: _interp(os_, c, n, q) for q in PERCENTILES}
-        kt = trims[c]
-        lo, hi = os_.get((c, kt)), os_.get((c, n - 1 - kt))
-        s = sums.get(c)
-        if lo is None or hi is None or s is None:
-            tm = None
-        elif lo == hi:
-            tm = lo
-        else:
-            tm = ((s["s_in"] or 0.0) + lo * ((s["c_lo"] or 0) - kt) + hi * ((s["c_hi"] or 0) - kt)) / (n - 2 * kt)
+        pct = {q: selected[c].quantile(q) for q in PERCENTILES}
+        tm = selected[c].trimmed_mean(int(trim * n))
         cv = sd / mean if (sd is not None and mean not in (None, 0)) else None
         iqr = pct[0.75] - pct[0.25] if pct[0.75] is not None and pct[0.25] is not None else None
-        n_unique = summary.get(c, (0, 0, 0))[1]
+        n_unique, _, n_modes, mode = stats[c]
         if skip_two_level and n_unique == 2:
             continue
         out.append((c, n, n_unique, miss, m[f"mx{i}"], m[f"mn{i}"], pct[0.5], mean,
-                    s["mode"] if s else None, int(s["n_modes"]) if s else None, sd, cv, tm, iqr,
-                    pct[0.05], pct[0.95], skew, kurt))
+                    mode, n_modes, sd, cv, tm, iqr, pct[0.05], pct[0.95], skew, kurt))
     prof = spark.createDataFrame(out, schema)
     return prof.withColumns({
         "cv_band": _band(F.col("cv"), CV_BANDS),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assoc, govern, infer
 from .profiling import rounded, sig_wrap
-from .screening import CONTINUOUS, LEAKAGE, MISSINGNESS, PREDICTORS, REDUNDANCY, study_frame
+from .screening import CONTINUOUS, LEAKAGE, MISSINGNESS, PREDICTORS, REDUNDANCY, _STUDY_SQL, _assoc_sql, study_frame
 from .tables import table
 
 
@@ -143,3 +143,100 @@ def document_inferential_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = govern.classify_predictors(f, PREDICTORS, CONTINUOUS)
     dec = govern.feature_decisions(f, "quality", kinds, MISSINGNESS, LEAKAGE, REDUNDANCY)
     return infer.screen(f, "quality", kinds, positive_class=1, random_state=42, decisions=dec)
+
+
+# ----------------------------------------------------------------- the screen against SQL
+
+def _chi2_tail_sql(x: str, k: str) -> str:
+    """Upper tail of chi-square by the series of the incomplete gamma function."""
+    return (f"CASE WHEN ({x}) <= 0 THEN 1.0 ELSE 1 - list_sum(list_transform(range(0, 3000), "
+            f"lambda i: exp(-({x}) / 2 + (({k}) / 2.0 + i) * ln(({x}) / 2) - lgamma(({k}) / 2.0 + i + 1)))) END")
+
+
+def _r_tail_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation: one less the incomplete beta function of r² with 1/2 and (n - 2) / 2, by its series."""
+    y, b = f"(({r}) * ({r}))", f"((({n}) - 2) / 2.0)"
+    return (f"CASE WHEN {y} = 0 THEN 1.0 WHEN {y} >= 1 THEN 0.0 ELSE 1 - exp(0.5 * ln({y}) + {b} * ln(1 - {y}) - ln(0.5) - (lgamma(0.5) + lgamma({b}) - lgamma(0.5 + {b})))"
+            f" * (1 + list_sum(list_transform(range(0, 3000), lambda i: exp(lgamma(1.5) + lgamma(0.5 + {b} + i + 1) - lgamma(2.5 + i) - lgamma(0.5 + {b}) + (i + 1) * ln({y}))))) END")
+
+
+def _screen(spark, sf_dir):
+    f = study_frame(spark, sf_dir)
+    kinds = govern.classify_predictors(f, PREDICTORS, CONTINUOUS)
+    dec = govern.feature_decisions(f, "quality", kinds, MISSINGNESS, LEAKAGE, REDUNDANCY)
+    return infer.screen(f, "quality", kinds, positive_class=1, random_state=42, decisions=dec)
+
+
+def document_screen_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything of the inferential table that is no random draw, and
+    whether each interval is in order and inside the range of its measure."""
+    t = _screen(spark, sf_dir)
+    low = F.when(F.col("effect_metric") == "cramers_v", 0.0).otherwise(-1.0)
+    holds = (F.col("ci_low") <= F.col("ci_high")) & (F.col("ci_low") >= low) & (F.col("ci_high") <= 1.0)
+    t = t.select("predictor", "test_name", "test_stat", "effect_metric", "effect_value", F.round("p_value", 8).alias("p_value"), F.round("p_value_fdr", 8).alias("p_value_fdr"),
+                 "expected_cell_min", "expected_cell_warning", "n", "missing_pct", "status", "skipped_reason", "effect_band", "fdr_significant", "clinically_relevant",
+                 F.coalesce(holds, F.lit(False)).alias("interval_holds"))
+    return rounded(t)
+
+
+def _numeric_facts_sql(col: str) -> str:
+    return f"""
+SELECT '{col}' AS predictor, CASE WHEN robust THEN 'mann_whitney_u' ELSE 'point_biserial' END AS test_name, CASE WHEN robust THEN u1 ELSE r END AS test_stat,
+  CASE WHEN robust THEN 'rank_biserial_r' ELSE 'point_biserial_r' END AS effect_metric, CASE WHEN robust THEN 2 * u1 / (k1 * k0) - 1 ELSE r END AS effect_value,
+  CASE WHEN robust THEN CASE WHEN z <= 0 THEN 1.0 ELSE {_chi2_tail_sql('z * z', '1')} END ELSE {_r_tail_sql('r', 'n')} END AS p_value,
+  CAST(NULL AS DOUBLE) AS expected_cell_min, FALSE AS expected_cell_warning, n, (SELECT count_if({col} IS NULL) * 100.0 / count(*) FROM j) AS missing_pct
+FROM (SELECT *, (greatest(u1, k1 * k0 - u1) - k1 * k0 / 2.0 - 0.5) / sqrt(k1 * k0 / 12.0 * (n + 1 - ties / (n * (n - 1.0)))) AS z FROM (
+  SELECT any_value(s.n) AS n, any_value(s.r) AS r, any_value(s.k1) * 1.0 AS k1, any_value(s.k0) * 1.0 AS k0,
+    sum(CASE WHEN w.y = 1 THEN w.rk END) - any_value(s.k1) * (any_value(s.k1) + 1) / 2.0 AS u1, sum(CAST(w.t AS DOUBLE) * w.t - 1) AS ties,
+    any_value(s.k1 >= 3 AND s.k0 >= 3 AND s.n >= 10) AND (abs(any_value(s.sk)) > 1
+      OR count_if(s.q3 > s.q1 AND (w.v < s.q1 - 1.5 * (s.q3 - s.q1) OR w.v > s.q3 + 1.5 * (s.q3 - s.q1))) * 1.0 / any_value(s.n) > 0.05) AS robust
+  FROM (SELECT v, y, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY v) AS t FROM x_{col}) w,
+    (SELECT count(*) AS n, count_if(y = 1) AS k1, count_if(y = 0) AS k0, corr(v, y) AS r, skewness(v) AS sk, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3
+     FROM x_{col}) s))"""
+
+
+def _categorical_facts_sql(col: str) -> str:
+    return f"""
+SELECT '{col}' AS predictor, 'chi_square' AS test_name, chi2 AS test_stat, 'cramers_v' AS effect_metric, sqrt(chi2 / (n * (least(ny, nx) - 1))) AS effect_value,
+  {_chi2_tail_sql('chi2', '(ny - 1) * (nx - 1)')} AS p_value, emin AS expected_cell_min, emin < 1 OR under > 0.2 AS expected_cell_warning, CAST(n AS BIGINT) AS n,
+  (SELECT count_if({col} IS NULL) * 100.0 / count(*) FROM j) AS missing_pct
+FROM (SELECT sum(pow(o - e, 2) / e) AS chi2, min(e) AS emin, count_if(e < 5) * 1.0 / count(*) AS under, any_value(n_all) AS n, count(DISTINCT y) AS ny, count(DISTINCT x) AS nx
+  FROM (SELECT a.y, b.x, coalesce(c.n, 0) AS o, a.r * b.c * 1.0 / t.n_all AS e, t.n_all
+    FROM (SELECT y, sum(n) AS r FROM c_{col} GROUP BY y) a CROSS JOIN (SELECT x, sum(n) AS c FROM c_{col} GROUP BY x) b CROSS JOIN (SELECT sum(n) AS n_all FROM c_{col}) t
+    LEFT JOIN c_{col} c ON c.y = a.y AND c.x = b.x))"""
+
+
+def _screen_facts_sql() -> str:
+    numeric, categorical = ("n_chars", "n_chars_sparse", "doc_bucket"), ("lang", "source")
+    ctes = [f"x_{c} AS (SELECT CAST({c} AS DOUBLE) AS v, quality AS y FROM j WHERE {c} IS NOT NULL AND quality IS NOT NULL)" for c in numeric]
+    ctes += [f"c_{c} AS (SELECT quality AS y, {c} AS x, count(*) AS n FROM j WHERE {c} IS NOT NULL AND quality IS NOT NULL GROUP BY ALL)" for c in categorical]
+    parts = [_numeric_facts_sql(c) for c in numeric] + [_categorical_facts_sql(c) for c in categorical]
+    union = "\nUNION ALL\n".join(f"SELECT * FROM ({p})" for p in parts)
+    return sig_wrap(_STUDY_SQL + ", " + ",\n".join(ctes) + f""",
+facts AS (SELECT * FROM ({union})),
+ranked AS (SELECT predictor, p_value, row_number() OVER (ORDER BY p_value, predictor) AS rk, count(*) OVER () AS m FROM facts),
+adjusted AS (SELECT predictor, least(1.0, min(p_value * m / rk) OVER (ORDER BY p_value DESC, predictor DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_value_fdr
+  FROM ranked),
+banded AS (SELECT f.* REPLACE (round(f.p_value, 8) AS p_value), a.p_value_fdr AS fdr, 'ok' AS status, CAST(NULL AS VARCHAR) AS skipped_reason,
+  CASE WHEN abs(effect_value) >= 0.5 THEN 'large' WHEN abs(effect_value) >= 0.3 THEN 'moderate' WHEN abs(effect_value) >= 0.1 THEN 'small' ELSE 'negligible' END AS effect_band
+  FROM facts f JOIN adjusted a USING (predictor))
+SELECT * EXCLUDE (fdr), round(fdr, 8) AS p_value_fdr, fdr < 0.05 AS fdr_significant, effect_band IN ('large', 'moderate') AS clinically_relevant, TRUE AS interval_holds FROM banded
+""", ["test_stat", "effect_value", "expected_cell_min", "missing_pct", "p_value", "p_value_fdr"])
+
+
+SCREEN_FACTS_SQL = _screen_facts_sql()
+
+
+def _assoc_p_sql() -> str:
+    levels = {c: f"(SELECT (count(DISTINCT quality) - 1) * (count(DISTINCT {c}) - 1) FROM s WHERE quality IS NOT NULL AND {c} IS NOT NULL)" for c in ("lang", "source", "source_rare", "toxic")}
+    dof = "CASE predictor_col " + " ".join(f"WHEN '{c}' THEN {q}" for c, q in levels.items()) + " END"
+    return sig_wrap(f"""
+WITH s AS ({_STUDY_SQL} SELECT * FROM j), a AS (SELECT *, {dof} AS dof FROM ({_assoc_sql()})),
+p AS (SELECT * EXCLUDE (dof), CASE test_name WHEN 'point_biserial' THEN {_r_tail_sql('test_stat', 'n_used')}
+  WHEN 'chi2' THEN greatest(0.0, {_chi2_tail_sql('test_stat', 'dof')}) END AS p FROM a)
+SELECT * EXCLUDE (p), round(p, 8) AS p_value, CASE WHEN status <> 'ok' OR p IS NULL THEN 'not_run' WHEN p < 0.001 THEN 'sig_0.001' WHEN p < 0.01 THEN 'sig_0.01'
+  WHEN p < 0.05 THEN 'sig_0.05' ELSE 'ns' END AS p_value_note FROM p
+""", ["test_stat", "effect_size", "p_value"])
+
+
+ASSOC_P_SQL = _assoc_p_sql()

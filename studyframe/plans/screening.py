@@ -76,8 +76,8 @@ def document_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_associations_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T8 in full, with p-values and their bands."""
-    return _assoc(spark, sf_dir)
+    """T8 in full, with p-values (8 places) and their bands."""
+    return rounded(_assoc(spark, sf_dir).withColumn("p_value", F.round("p_value", 8)))
 
 
 _STUDY_SQL = """

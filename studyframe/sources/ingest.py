@@ -144,7 +144,7 @@ def merge(spark: SparkSession, paths, rename_map: dict, sep: str = ",",
     """S1 + U1 + P1/P2: read all files as strings and return the canonical frame.
 
     Columns: the canonical names in map order, then ``_src_file`` and ``_src_order``
-    (file index in sorted order, then position within the file).
+    (file index in sorted order, start of the block within the file, position within the block).
     """
     paths = list(paths)
     if not paths:
@@ -157,9 +157,9 @@ def merge(spark: SparkSession, paths, rename_map: dict, sep: str = ",",
     frames = []
     for _, members in groups.items():
         raw = _strip_names(_reader(spark, sep).csv([p for _, p in members]))
-        # position within a file: monotonically increasing in file order for a
-        # deterministic scan; with the file index it orders all source rows.
-        raw = raw.withColumns({"_src_file": F.col("_metadata.file_path"),
+        # a block is read by one task from its start, so the running id orders its rows; blocks of
+        # a file are read in any order, so their starts order them
+        raw = raw.withColumns({"_src_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
                                "_pos": F.monotonically_increasing_id()})
         # the metadata path is escaped, the listed one is not
         plain = F.url_decode(F.replace(F.col("_src_file"), F.lit("+"), F.lit("%2B")))
@@ -167,8 +167,8 @@ def merge(spark: SparkSession, paths, rename_map: dict, sep: str = ",",
         raw = (raw.withColumn("_fkey", F.regexp_replace(plain, "^file:/+", "/"))
                .join(order, "_fkey", "left")
                .withColumn("_src_order", F.struct(F.coalesce("_fidx", F.raise_error(F.concat(F.lit("file is not in the list: "), "_src_file")).cast("int")).alias("file_index"),
-                                                  F.col("_pos").alias("pos")))
-               .drop("_fkey", "_fidx", "_pos"))
+                                                  F.col("_block").alias("block"), F.col("_pos").alias("pos")))
+               .drop("_fkey", "_fidx", "_block", "_pos"))
         frames.append(raw)
     out = harmonize_all(frames, rename_map, keep=("_src_file", "_src_order"))
     if null_values:

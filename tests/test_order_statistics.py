@@ -34,7 +34,7 @@ def test_numeric_profile_matches_numpy(spark):
     xs = _values()
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     for parts in (1, 7):
-        r = profile.numeric_profile(df.repartition(parts), ["x"], buckets=6).first()
+        r = profile.numeric_profile(df.repartition(parts), ["x"]).first()
         a = np.array(xs)
         assert abs(r["median"] - np.percentile(a, 50)) < 1e-12
         assert abs(r["p_5th"] - np.percentile(a, 5)) < 1e-12

@@ -239,3 +239,32 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_source_order_holds_when_files_are_split(spark, tmp_path):
+    for name, start, n in (("a", 0, 4000), ("b", 4000, 900)):
+        (tmp_path / f"{name}.csv").write_text("id,v\n" + "".join(f"{start + k},{'x' * (k % 40)}\n" for k in range(n)))
+    known = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        rows = ingest.merge(spark, ingest.discover(spark, str(tmp_path)), {"id": None, "v": None})
+        assert rows.rdd.getNumPartitions() > 5
+        got = [int(r.id) for r in rows.orderBy("_src_order").select("id").collect()]
+    finally:
+        for c, v in known.items():
+            spark.conf.set(c, v)
+    assert got == list(range(4900))
+
+
+def test_incomplete_keys_are_spread_and_never_duplicates(spark):
+    rows = [(k, None if k % 3 else f"t{k % 60}", "same" if k % 2 else None) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    got = {r.id: (r._dup_group, r._dup_later) for r in dedupe.masks(df, ["a", "b"], ["id"]).collect()}
+    first = {}
+    for k, a, b in rows:
+        if a and b:
+            first.setdefault((a, b), k)
+    assert len(got) == 900
+    for k, a, b in rows:
+        assert got[k] == ((True, first[a, b] != k) if a and b else (False, False))
