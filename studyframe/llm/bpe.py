@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -149,15 +150,22 @@ class Pieces:
         self.owner = owner
 
 
+#: Memory of one entry beside the bytes of its key and value, about.
+ENTRY_BYTES = 200
+#: Memory of the pieces kept by one encoder or counter: twice this at most, and one batch.
+KEPT_BYTES = 32 << 20
+
+
 class Recent(dict):
     """A dict that keeps the entries used since it was last full, and those of the time before.
 
-    It holds about twice ``most`` entries at most.
+    ``size_of`` gives the bytes of a value. Each of both parts holds about ``most`` bytes at most,
+    entries that came back from the old part included.
     """
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, size_of=len):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.size_of, self.old = most, size_of, {}
 
     def __missing__(self, key):
         value = self.old[key]  # KeyError if it is new
@@ -170,9 +178,14 @@ class Recent(dict):
         except KeyError:
             return None
 
+    def held(self) -> int:
+        """Bytes of the newer part, about: entries weighed by a few of them."""
+        some = [len(k) + self.size_of(v) for k, v in islice(self.items(), 0, None, max(1, len(self) // 1000))]
+        return int(len(self) * (ENTRY_BYTES + sum(some) / max(len(some), 1)))
+
     def turn(self) -> None:
         """Call between batches."""
-        if len(self) > self.most:
+        if len(self) * ENTRY_BYTES > self.most or self.held() > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -187,13 +200,13 @@ class IdEncoder:
     """Token ids of whole texts.
 
     Ids of each distinct piece come from the tokenizer library once and are kept;
-    the memory of kept pieces is bounded by starting anew beyond ``cache_pieces``.
+    the memory of kept pieces is bounded by starting anew beyond ``kept_bytes``.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 500_000):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         self.tokenizer = load_tokenizer(path)
         self.specials = Specials(self.tokenizer)
-        self.kept: Recent = Recent(cache_pieces)
+        self.kept: Recent = Recent(kept_bytes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids) of texts laid end to end."""
@@ -235,7 +248,7 @@ class PrefixCounter:
     ``count[i] = count[i - len(last)] + 1``. Pieces are worked out once and kept.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 300_000):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         self.tokenizer = load_tokenizer(path)
         self.specials = Specials(self.tokenizer)
         with open(path, encoding="utf-8") as f:
@@ -255,7 +268,7 @@ class PrefixCounter:
             self.made.setdefault(whole, r)
             self.halves.setdefault(whole, ids)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.kept: Recent = Recent(cache_pieces)
+        self.kept: Recent = Recent(kept_bytes, lambda steps: len(steps[0]) + 90)
 
     def _apart(self, left: int, right: int) -> bool:
         """Do both tokens stay as they are when they stand side by side?

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stri
 
 from studyframe.session import materialize
 
-from .arrowtext import per_slice, text_bytes
+from .arrowtext import per_slice, slices, text_bytes
 
 TABLE = 1 << 14
 DECLARED_RIGHT = 0.95
@@ -76,14 +76,15 @@ def fit_tables(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            languages = batch.column(1).to_pylist()
-            data, offsets = text_bytes(batch.column(0))
-            for lang in set(languages):
-                own = np.array([x == lang for x in languages])
-                keep = np.repeat(own, np.diff(offsets))
-                sizes = np.diff(offsets)[own]
-                code, counts = trigrams(data[keep], np.append(0, np.cumsum(sizes)))
-                sums[lang] = sums.get(lang, 0) + np.bincount(code[counts], minlength=TABLE)
+            for part in slices(batch, "text"):
+                languages = part.column(1).to_pylist()
+                data, offsets = text_bytes(part.column(0))
+                for lang in set(languages):
+                    own = np.array([x == lang for x in languages])
+                    keep = np.repeat(own, np.diff(offsets))
+                    sizes = np.diff(offsets)[own]
+                    code, counts = trigrams(data[keep], np.append(0, np.cumsum(sizes)))
+                    sums[lang] = sums.get(lang, 0) + np.bincount(code[counts], minlength=TABLE)
         for lang, table in sums.items():
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())],

@@ -326,3 +326,26 @@ def test_queries_on_the_smallest_tables(spark, name, library):
         for r in rows:
             sizes[r.doc_id] += r.length
         assert sizes == {k: len(lib_ids(library, t)) + 1 for k, t in docs.items()}
+
+
+def test_kept_pieces_stay_under_their_bound_in_bytes(library):
+    from studyframe.llm.bpe import ENTRY_BYTES, IdEncoder, Recent
+
+    encoder = IdEncoder(tokenizer_path(), kept_bytes=400_000)
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnop"))
+    most = 0
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice(letters, 12)) for _ in range(40)) for _ in range(20)]
+        ids, offsets = encoder.encode(*text_bytes(pa.array(texts)))
+        assert ids[offsets[3]:offsets[4]].tolist() == lib_ids(library, texts[3])
+        one_batch = 800 * (ENTRY_BYTES + 100)
+        held = sum(ENTRY_BYTES + len(k) + len(v) for part in (encoder.kept, encoder.kept.old) for k, v in part.items())
+        most = max(most, held)
+        assert held < 2 * 400_000 + 2 * one_batch
+    assert most > 400_000
+    long = Recent(10_000)
+    for k in range(20):
+        long[str(k)] = b"x" * 5_000
+        long.turn()
+    assert len(long) + len(long.old) < 8
