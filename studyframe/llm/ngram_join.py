@@ -271,7 +271,11 @@ def _candidates(batches):
 
 
 def _cross_pairs(batches):
-    """Pairs of groups of one large shingle that are in different components; rows sorted by shingle, size, group."""
+    """Pairs of groups of one large shingle that are in different components and may hold linked sets.
+
+    Rows are sorted by shingle, size, group. A group of one set brings its signature, by which
+    most pairs that do not link are left out before they leave the task; groups of several pass.
+    """
 
     def settle(rows: pa.Table):
         size, index = rows["size"].to_numpy(), rows["index"].to_numpy(zero_copy_only=False)
@@ -279,12 +283,16 @@ def _cross_pairs(batches):
         low, at = np.unique(np.array(rows["low"].to_pylist(), object), return_inverse=True)
         high = np.unique(np.array(rows["high"].to_pylist(), object), return_inverse=True)
         whole = low[at] == high[0][high[1]]  # all members of the group in one component
+        table = SignatureTable(rows["sig"].to_pylist())
         for i in range(len(groups) - 1):
             if not index[i]:
                 continue
             last = int(np.searchsorted(size, 100 * int(size[i]) // PERCENT, side="right"))
             j = np.arange(i + 1, last)
             j = j[(at[j] != at[i]) | ~whole[j] | ~whole[i]]
+            if len(j):
+                common = table.common(i, j)
+                j = j[100 * common >= PERCENT * (int(size[i]) + size[j].astype(np.int64) - common)]
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(groups[i], groups[j])), pa.array(np.maximum(groups[i], groups[j]))], ["a", "b"])
 
@@ -346,6 +354,37 @@ def signature(s: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+class SignatureTable:
+    """Signatures of the groups of one shingle, by length, for one against many at a time."""
+
+    def __init__(self, signatures: list[bytes]):
+        self.own = signatures
+        self.length = np.array([len(x) for x in signatures])
+        self.place = np.zeros(len(signatures), np.int64)
+        self.by: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length):
+            rows = np.flatnonzero(self.length == n)
+            self.place[rows] = np.arange(len(rows))
+            if n:
+                self.by[int(n)] = np.frombuffer(b"".join(signatures[k] for k in rows), np.uint8).reshape(len(rows), n)
+
+    def common(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Shingles that set i can share with the sets j at most; without a signature, all of them."""
+        out = np.full(len(j), np.iinfo(np.int32).max, np.int64)
+        if not self.length[i]:
+            return out
+        mine = np.frombuffer(self.own[i], np.uint8)
+        for n, table in self.by.items():
+            at = np.flatnonzero(self.length[j] == n)
+            if len(at):
+                few = min(n, len(mine))
+                a = mine if len(mine) == few else mine.reshape(few, -1).sum(axis=1, dtype=np.uint16)
+                rows = table[self.place[j[at]]]
+                b = rows if n == few else rows.reshape(len(at), few, -1).sum(axis=2, dtype=np.uint16)
+                out[at] = np.minimum(b, a).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def may_link(n: int, x: bytes, m: int, y: bytes) -> bool:
     """False only if no sets of n and m shingles with these signatures are similar."""
     if not x or not y:
@@ -497,7 +536,7 @@ def jaccard_components(df: DataFrame, heavy_limit: int = 1_000_000, id_col: str
         return work
 
     rows = materialize(docs.mapInArrow(per_slice(describe, text_col), f"id {kind}, n long, key binary, grp long, sig binary"), "set-rows")
-    nodes = materialize(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min("id").alias("first_id")), "set-nodes")
+    nodes = materialize(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min("id").alias("first_id"), F.first("sig").alias("sig")), "set-nodes")
     entries = docs.select(text_col).mapInArrow(lambda b: _entries(b, shared.value, bits, text_col), "range int, tokens binary, places binary, groups binary, sizes binary")
     found = entries.repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(_candidates, "kind byte, a long, b long, size int, index boolean")
     found = materialize(found, "candidates")
@@ -519,12 +558,13 @@ def jaccard_components(df: DataFrame, heavy_limit: int = 1_000_000, id_col: str
     roots = materialize(components(links), "set-roots")
 
     # second round: what is still apart and has not been compared
-    state = nodes.join(roots, F.col("key") == F.col("node"), "left").select("grp", "key", F.coalesce("root", "key").alias("root"))
-    spans = state.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.min("key").alias("head"))
-    mixed = large.join(spans, F.col("b") == F.col("grp")).select("a", "b", "size", "index", "low", "high")
+    state = nodes.join(roots, F.col("key") == F.col("node"), "left").select("grp", "key", F.coalesce("root", "key").alias("root"), "sig")
+    spans = state.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.first("sig").alias("sig"))
+    spans = spans.withColumn("sig", F.when(F.col("members") == 1, F.col("sig")).otherwise(F.lit(bytearray())))
+    mixed = large.join(spans, F.col("b") == F.col("grp")).select("a", "b", "size", "index", "low", "high", "sig")
     apart = mixed.groupBy("a").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select(F.col("a").alias("shingle"))
     mixed = mixed.join(apart, F.col("a") == F.col("shingle"), "left_semi")
-    cross = mixed.repartition("a").sortWithinPartitions("a", "size", "b").select("a", "b", "size", "index", "low", "high").mapInArrow(_cross_pairs, "a long, b long")
+    cross = mixed.repartition("a").sortWithinPartitions("a", "size", "b").select("a", "b", "size", "index", "low", "high", "sig").mapInArrow(_cross_pairs, "a long, b long")
     many = spans.where("members > 1").select("grp")
     unfolded = group_pairs.join(many, F.col("a") == F.col("grp"), "left_semi").unionByName(group_pairs.join(many, F.col("b") == F.col("grp"), "left_semi"))
     inside = spans.where("low != high").select(F.col("grp").alias("a"), F.col("grp").alias("b"))

@@ -204,3 +204,17 @@ def test_a_passage_of_thousands_selects_nobody(share):
     # even where the passage is most of a text, only its fewest shingles are taken
     assert sum(int(n) for n in common[1] if n > 100) <= 2000 * max(0, ngram_join.probe_length(196) - (196 - 2 * share + 4))
     assert all(len(p) == ngram_join.probe_length(len(s)) for p, s in zip(prefixes, sets))
+
+
+def test_signature_table_equals_pairwise_bound():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**64, int(n), dtype=np.uint64)) for n in rng.integers(1, 300, 60)]
+    sets += [np.unique(np.append(s[5:], rng.integers(0, 2**64, 3, dtype=np.uint64))) for s in sets[:20]]
+    signatures = [ngram_join.signature(s) for s in sets] + [b""]
+    sizes = np.array([len(s) for s in sets] + [7])
+    table = ngram_join.SignatureTable(signatures)
+    j = np.arange(len(signatures))
+    for i in range(len(signatures)):
+        common = table.common(i, j)
+        ok = 100 * common >= ngram_join.PERCENT * (sizes[i] + sizes[j] - common)
+        assert ok.tolist() == [ngram_join.may_link(int(sizes[i]), signatures[i], int(sizes[k]), signatures[k]) for k in j]
