@@ -57,7 +57,9 @@ NO_TEXT_NAMES = frozenset("""ad ads adv advert adverts advertisement advertiseme
     comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu menus modal
     nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promos promoted promotion recommendation
     recommendations recommended related replies reply respond share sharebar sharing sidebar sidebars signup social sponsor sponsored sponsors
-    subscribe subscription taboola toolbar topbar widget widgets""".split())
+    subscribe subscription taboola toolbar topbar""".split())
+#: Words that say so only at the start of a name (page builders end the names of all blocks with them).
+NO_TEXT_STARTS = frozenset("widget widgets".split())
 NO_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog form".split())
 #: Names that start so speak of the page's state, not of the element.
 STATES = frozenset("has with no is without hide show not".split())
@@ -93,6 +95,8 @@ def _named_away(names: str, in_text: bool) -> bool:
         words = [w.lower() for w in _NAME.findall(name)]
         if not words or words[0] in STATES:
             continue
+        if words[0] in NO_TEXT_STARTS:
+            return True
         for w in words:
             if w in NO_TEXT_NAMES and not (w == "header" and (in_text or OF_TEXT.intersection(words))):
                 return True

@@ -48,6 +48,11 @@ def test_parts_inside_an_article_go():
     assert main_text.main_text(page) == "Title\n\nOne, two.\n\nThree linked four."
 
 
+def test_names_that_only_end_like_boilerplate_stay():
+    page = "<article><div class='builder-widget builder-widget-text'><p>One, two.</p></div><div class='widget widget-tags'><p>Tags, tags.</p></div><div class='article-header'><p>By her, today.</p></div></article>"
+    assert main_text.main_text(page) == "One, two.\n\nBy her, today."
+
+
 def test_lists_tables_and_breaks():
     page = "<article><h2>A</h2><ul><li>one<li>two <i>2</i></ul><table><tr><td>x<td>y<tr><th>z</table><p>l1<br>l2<hr><dl><dt>t<dd>d</dl><pre>a\n  b</pre><blockquote>q</blockquote></article>"
     assert main_text.main_text(page).split("\n\n") == ["A", "one", "two 2", "x", "y", "z", "l1 l2", "t", "d", "a b", "q"]
