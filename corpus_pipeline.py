@@ -34,11 +34,13 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     groups = ngram_join.jaccard_components(docs.select(name.alias("name"), "text"), id_col="name")
     groups = materialize(groups.groupBy("name", "component_id").agg(F.count("*").alias("rows")), "pipeline-groups")
 
+    id_name, digest_name = decontaminate.free_name(docs, "named_id"), decontaminate.free_name(docs, "named_digest")
+
     def named(rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.col("name.id").alias("named_id"), F.col("name.digest").alias("named_digest"))
+        rows = rows.select(F.col("name.id").alias(id_name), F.col("name.digest").alias(digest_name))
         return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    same = F.col("doc_id").eqNullSafe(F.col("named_id")) & (digest == F.col("named_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (digest == F.col(digest_name))
     kept = docs.join(named(groups.where("name != component_id")), same, "left_anti")
     repeated = groups.where("name = component_id and rows > 1")
     if not repeated.limit(1).count():
@@ -53,8 +55,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in the text masked and n_chars put right."""
+    """All documents, with secrets in the text masked and n_chars (if there is one) put right."""
     masked = secret_scan.redact(docs, secret_scan.fit_secrets(docs))
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 

@@ -211,10 +211,19 @@ def leaks_by_document(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     leaks = _maybe_broadcast(materialize(leaks, "leaks"), BROADCAST_TEXTS)
     joined = docs.select(F.col(id_col), digest(text_col).alias("key")).join(leaks, "key", "left")
     return joined.select(id_col, F.col("similarity").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
-                         F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+                         F.coalesce("item_ids", F.array().cast(leaks.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that leak no item."""
-    leaked = materialize(find_leaks(docs, benchmark, text_col).select(F.col("key").alias("leaked_key")).distinct(), "leaked")
-    return docs.join(_maybe_broadcast(leaked, BROADCAST_TEXTS), digest(text_col) == F.col("leaked_key"), "left_anti")
+    """The documents, all columns whatever their names, that leak no item."""
+    own = free_name(docs, "leaked_key")
+    leaked = materialize(find_leaks(docs, benchmark, text_col).select(F.col("key").alias(own)).distinct(), "leaked")
+    return docs.join(_maybe_broadcast(leaked, BROADCAST_TEXTS), digest(text_col) == F.col(own), "left_anti")

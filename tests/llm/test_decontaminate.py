@@ -146,3 +146,13 @@ def test_items_without_an_id_and_two_texts_under_one_id(spark):
     assert rows == {1: (True, 2, [None, 8]), 2: (True, 1, [7]), 3: (True, 1, [7]), 4: (False, 0, []), 5: (True, 3, [None, 7, 8])}
     nameless = bench.where("item_id is null")
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, nameless).collect()} == {2, 3, 4}
+
+
+def test_clashing_names_and_text_ids(spark):
+    words = "one two three four five six seven eight nine ten".split()
+    docs = spark.createDataFrame([(1, "before " + " ".join(words) + " after", "x", "y"), (2, "nothing of the kind here at all", "x", "y")],
+                                 "doc_id long, text string, leaked_key string, LEAKED_KEY_ string")
+    bench = spark.createDataFrame([("item a", " ".join(words)), (None, " ".join(words))], "item_id string, text string")
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
+    got = {r.doc_id: r.item_ids for r in decontaminate.leaks_by_document(docs, bench).collect()}
+    assert got == {1: [None, "item a"], 2: []}

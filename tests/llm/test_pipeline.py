@@ -97,3 +97,13 @@ def test_chat_query_equals_its_digests(spark):
         lost = "".join(t for role, t in own if role == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (
             len(own), digest("".join(f"{a}\n{b}\n" for a, b in own)), len(lost), digest(lost))
+
+
+def test_stages_stand_clashing_and_missing_columns(spark):
+    rows = [(1, "the house and the garden are near the river of the town", "a", "b", "c"), (1, "the house and the garden are near the river of the town", "a", "b", "c"),
+            (2, "a token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" b", "a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, named_id string, Named_Digest string, leaked_key string")
+    kept = corpus_pipeline.distinct_documents(spark, docs, None)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == docs.columns
+    masked = corpus_pipeline.without_secrets(spark, kept, None)
+    assert masked.columns == docs.columns and any("[secret]" in r.text for r in masked.collect())
