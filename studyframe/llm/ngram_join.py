@@ -47,6 +47,8 @@ HEAVY_FROM = 8        # documents that make a shingle heavy at least
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
 # Largest tables that are broadcast (set names, pairs); larger ones are joined by a shuffle.
 BROADCAST_KEYS, BROADCAST_PAIRS = 300_000, 1_000_000
+MOST_MEETINGS = 64    # large shingles of a group that its rows carry along
+FINE = 512            # shingles of a set whose signature is a fine one
 _FLUSH = 2_000_000    # hashes a task holds before it passes them on
 
 
@@ -275,6 +277,9 @@ def _cross_pairs(batches):
 
     Rows are sorted by shingle, size, group. A group of one set brings its signature, by which
     most pairs that do not link are left out before they leave the task; groups of several pass.
+    A pair that meets in several large shingles leaves at the first: ``probes`` are a group's
+    smaller large shingles, ``indexed`` those among them by which it meets larger sets (both null
+    where a group has very many; such pairs may leave more than once).
     """
 
     def settle(rows: pa.Table):
@@ -284,6 +289,10 @@ def _cross_pairs(batches):
         high = np.unique(np.array(rows["high"].to_pylist(), object), return_inverse=True)
         whole = low[at] == high[0][high[1]]  # all members of the group in one component
         table = SignatureTable(rows["sig"].to_pylist())
+        indexed = rows["indexed"].to_pylist()
+        probes = [x or [] for x in rows["probes"].to_pylist()]
+        lengths = np.array([len(x) for x in probes])
+        flat, start = np.array([x for p in probes for x in p], np.int64), np.cumsum(lengths) - lengths
         for i in range(len(groups) - 1):
             if not index[i]:
                 continue
@@ -293,6 +302,11 @@ def _cross_pairs(batches):
             if len(j):
                 common = table.common(i, j)
                 j = j[100 * common >= PERCENT * (int(size[i]) + size[j].astype(np.int64) - common)]
+            if len(j) and indexed[i]:
+                own = np.repeat(np.arange(len(j)), lengths[j])
+                at_flat = np.arange(len(own)) - np.repeat(np.cumsum(lengths[j]) - lengths[j], lengths[j]) + np.repeat(start[j], lengths[j])
+                earlier = np.bincount(own, np.isin(flat[at_flat], indexed[i]), len(j)) > 0
+                j = j[~earlier]
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(groups[i], groups[j])), pa.array(np.maximum(groups[i], groups[j]))], ["a", "b"])
 
@@ -348,8 +362,12 @@ def _gather(batches):
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Counts of a sorted set by hash bucket, about two in a bucket; empty if a count needs more than a byte."""
-    bits = max(4, (len(s) // 2).bit_length())
+    """Counts of a sorted set by hash bucket; empty if a count needs more than a byte.
+
+    Sets of up to FINE shingles get two to four buckets a shingle, so that the bound comes close to
+    what two sets really share; larger ones about two shingles a bucket.
+    """
+    bits = max(6, (2 * len(s)).bit_length() if len(s) <= FINE else (len(s) // 2).bit_length())
     counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
@@ -564,7 +582,11 @@ def jaccard_components(df: DataFrame, heavy_limit: int = 1_000_000, id_col: str
     mixed = large.join(spans, F.col("b") == F.col("grp")).select("a", "b", "size", "index", "low", "high", "sig")
     apart = mixed.groupBy("a").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select(F.col("a").alias("shingle"))
     mixed = mixed.join(apart, F.col("a") == F.col("shingle"), "left_semi")
-    cross = mixed.repartition("a").sortWithinPartitions("a", "size", "b").select("a", "b", "size", "index", "low", "high", "sig").mapInArrow(_cross_pairs, "a long, b long")
+    lists = mixed.groupBy("b", "size").agg(F.collect_list(F.when(F.col("index"), F.col("a"))).alias("i"), F.collect_list("a").alias("p"))
+    lists = lists.where(F.size("p").between(2, MOST_MEETINGS)).withColumnsRenamed({"b": "list_of", "size": "list_size"})
+    mixed = mixed.join(lists, (F.col("b") == F.col("list_of")) & (F.col("size") == F.col("list_size")), "left")
+    mixed = mixed.withColumns({"indexed": F.filter("i", lambda x: x < F.col("a")), "probes": F.filter("p", lambda x: x < F.col("a"))})
+    cross = mixed.repartition("a").sortWithinPartitions("a", "size", "b").select("a", "b", "size", "index", "low", "high", "sig", "indexed", "probes").mapInArrow(_cross_pairs, "a long, b long")
     many = spans.where("members > 1").select("grp")
     unfolded = group_pairs.join(many, F.col("a") == F.col("grp"), "left_semi").unionByName(group_pairs.join(many, F.col("b") == F.col("grp"), "left_semi"))
     inside = spans.where("low != high").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
