@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +41,28 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
         at = end
 
 
+def release() -> None:
+    """Give the memory that a worker process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(mapper):
+    """A mapper whose worker, used again by later stages, holds on to no freed memory after a task."""
+
+    @functools.wraps(mapper)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from mapper(batches)
+        finally:
+            release()
+
+    return run
+
+
 def per_slice(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], text_col: str):
     """A mapInArrow function: ``make()`` runs once a task and gives the function for each slice."""
 
@@ -50,7 +74,7 @@ def per_slice(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], te
                 if out.num_rows:
                     yield out
 
-    return run
+    return tidy(run)
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -153,7 +153,7 @@ class Pieces:
 #: Memory of one entry beside the bytes of its key and value, about.
 ENTRY_BYTES = 200
 #: Memory of the pieces kept by one encoder or counter: twice this at most, and one batch.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 16 << 20
 
 
 class Recent(dict):

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stri
 
 from studyframe.session import materialize
 
-from .arrowtext import per_slice, slices, text_bytes
+from .arrowtext import per_slice, slices, text_bytes, tidy
 
 TABLE = 1 << 14
 DECLARED_RIGHT = 0.95
@@ -90,7 +90,7 @@ def fit_tables(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())],
                                              ["lang", "gram", "n"])
 
-    rows = docs.where(F.col("declared").isNotNull()).select("text", "declared").mapInArrow(run, "lang string, gram int, n long")
+    rows = docs.where(F.col("declared").isNotNull()).select("text", "declared").mapInArrow(tidy(run), "lang string, gram int, n long")
     counts = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in counts})
     table = np.zeros((TABLE, len(languages)))

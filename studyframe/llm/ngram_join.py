@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from studyframe.session import discard, materialize
 
-from .arrowtext import per_slice, slices, text_bytes
+from .arrowtext import per_slice, slices, text_bytes, tidy
 from .graph import components
 from .shingles import shingle_sets
 
@@ -135,8 +135,8 @@ def heavy_shingles(docs: DataFrame, bits: int, heavy_limit: int, text_col: str)
         if held:
             yield settle()
 
-    blocks = docs.select(text_col).mapInArrow(count, "range int, codes binary, places binary, counts binary")
-    table = materialize(blocks.repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(heavy, "code long, documents long"), "heavy")
+    blocks = docs.select(text_col).mapInArrow(tidy(count), "range int, codes binary, places binary, counts binary")
+    table = materialize(blocks.repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(tidy(heavy), "code long, documents long"), "heavy")
     least = HEAVY_FROM
     while table.where(F.col("documents") >= least).count() > heavy_limit:
         least *= 2
@@ -474,7 +474,7 @@ class Verifier:
             return signed.select(F.col("key").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}"))
 
         both = pairs.join(side("a"), "ka").join(side("b"), "kb").select("ka", "kb", "na", "nb", "sa", "sb")
-        out = materialize(both.mapInArrow(_near_pairs, "ka binary, kb binary"), "near-pairs")
+        out = materialize(both.mapInArrow(tidy(_near_pairs), "ka binary, kb binary"), "near-pairs")
         discard(named)
         discard(signed)
         return out
@@ -501,11 +501,11 @@ class Verifier:
         # blocks of sets that are likely to meet, from their names and sizes alone
         parts = max(1, -(-asked // 20_000))
         in_order = wanted.repartitionByRange(parts, "root", "n", "key").sortWithinPartitions("root", "n", "key")
-        places = materialize(in_order.select("key", "n", "pick").mapInArrow(_assign, f"key binary, pick {kind}, block binary"), "set-places")
+        places = materialize(in_order.select("key", "n", "pick").mapInArrow(tidy(_assign), f"key binary, pick {kind}, block binary"), "set-places")
         small = F.broadcast(places) if asked <= BROADCAST_KEYS else places
         sets = self.docs.select(id_col, text_col).mapInArrow(per_slice(make, text_col), f"id {kind}, own binary, blob binary")
         sets = sets.join(small, (F.col("own") == F.col("key")) & F.col("id").eqNullSafe(F.col("pick"))).select("block", "key", "blob")
-        gathered = sets.repartition("block").sortWithinPartitions("block", "key").mapInArrow(_gather, "block binary, keys array<binary>, sets array<binary>")
+        gathered = sets.repartition("block").sortWithinPartitions("block", "key").mapInArrow(tidy(_gather), "block binary, keys array<binary>, sets array<binary>")
         blocks = materialize(gathered, "set-blocks")
         # pairs of one meeting of two blocks; they are few beside the sets and go to the blocks
         placed = (pairs.join(places.select(F.col("key").alias("ka"), F.col("block").alias("ba")), "ka")
@@ -523,7 +523,7 @@ class Verifier:
         other = blocks.join(F.broadcast(asked_for) if few else asked_for, "block", "left_semi")
         other = other.select(F.col("block").alias("bb"), F.col("keys").alias("keys_b"), F.col("sets").alias("sets_b"))
         apart = meeting(False).join(other, "bb").select("pairs", "keys", "sets", "keys_b", "sets_b")
-        out = materialize(alone.unionByName(apart).mapInArrow(_verify, "a binary, b binary"), "set-links")
+        out = materialize(alone.unionByName(apart).mapInArrow(tidy(_verify), "a binary, b binary"), "set-links")
         for t in (given, pairs, wanted, places, blocks, meetings):
             discard(t)
         return out
@@ -555,8 +555,8 @@ def jaccard_components(df: DataFrame, heavy_limit: int = 1_000_000, id_col: str
 
     rows = materialize(docs.mapInArrow(per_slice(describe, text_col), f"id {kind}, n long, key binary, grp long, sig binary"), "set-rows")
     nodes = materialize(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("grp").alias("grp"), F.min("id").alias("first_id"), F.first("sig").alias("sig")), "set-nodes")
-    entries = docs.select(text_col).mapInArrow(lambda b: _entries(b, shared.value, bits, text_col), "range int, tokens binary, places binary, groups binary, sizes binary")
-    found = entries.repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(_candidates, "kind byte, a long, b long, size int, index boolean")
+    entries = docs.select(text_col).mapInArrow(tidy(lambda b: _entries(b, shared.value, bits, text_col)), "range int, tokens binary, places binary, groups binary, sizes binary")
+    found = entries.repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(tidy(_candidates), "kind byte, a long, b long, size int, index boolean")
     found = materialize(found, "candidates")
     pairs = found.where("kind = 0").select("a", "b").distinct()
     large = found.where("kind = 1").select("a", "b", "size", "index")
@@ -586,7 +586,7 @@ def jaccard_components(df: DataFrame, heavy_limit: int = 1_000_000, id_col: str
     lists = lists.where(F.size("p").between(2, MOST_MEETINGS)).withColumnsRenamed({"b": "list_of", "size": "list_size"})
     mixed = mixed.join(lists, (F.col("b") == F.col("list_of")) & (F.col("size") == F.col("list_size")), "left")
     mixed = mixed.withColumns({"indexed": F.filter("i", lambda x: x < F.col("a")), "probes": F.filter("p", lambda x: x < F.col("a"))})
-    cross = mixed.repartition("a").sortWithinPartitions("a", "size", "b").select("a", "b", "size", "index", "low", "high", "sig", "indexed", "probes").mapInArrow(_cross_pairs, "a long, b long")
+    cross = mixed.repartition("a").sortWithinPartitions("a", "size", "b").select("a", "b", "size", "index", "low", "high", "sig", "indexed", "probes").mapInArrow(tidy(_cross_pairs), "a long, b long")
     many = spans.where("members > 1").select("grp")
     unfolded = group_pairs.join(many, F.col("a") == F.col("grp"), "left_semi").unionByName(group_pairs.join(many, F.col("b") == F.col("grp"), "left_semi"))
     inside = spans.where("low != high").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
