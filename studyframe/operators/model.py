@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import diagnostics as D
-from . import ranks, trees
+from . import infer, logit, ranks, trees
 
 MOST_CLASSES = 100  # a column with more values is refused as a class label
 HASH_SPACE = 1 << 52  # hashes folded into exactly representable doubles
@@ -260,6 +260,22 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
             "n_points": {m: len(logistic_candidates(1)[1]) if m == "logistic_regression" else len(tree_candidates(m)) for m in FAMILIES if m in models}}
 
 
+def _logistic_aucs(tr: DataFrame, va: DataFrame, parallelism: int) -> list[float]:
+    """Exact held-out AUC of every logistic point, fitted on ``tr``."""
+    lr, grid = logistic_candidates(tr.count())
+    first = tr.select("features").first()
+    if first is not None and first[0].size <= logit.MOST_FEATURES:
+        points = logit.fit_points(tr, [logit.Point(pm[lr.regParam], pm[lr.weightCol]) for pm in grid], first[0].size)
+        names = [f"s{k}" for k in range(len(points))]
+        held = logit.scores(va, points).withColumn("_y", F.col("label").cast("int"))
+        got = {r["column"]: r for r in infer.mann_whitney(infer.class_value_table(held, "_y", names)).collect()}
+        return [float(got[c]["u1"] / (got[c]["n1"] * got[c]["n0"])) if c in got and got[c]["n1"] and got[c]["n0"] else math.nan for c in names]
+    from concurrent.futures import ThreadPoolExecutor
+    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(lambda pm: evaluator.evaluate(lr.copy(pm).fit(tr).transform(va)), grid))
+
+
 def gap_warning(comparison: list[tuple]) -> str | None:
     """Set where the best mean AUC leads the second by less than half its standard deviation."""
     if len(comparison) >= 2 and comparison[0][1] - comparison[1][1] < comparison[0][2] / 2:
@@ -271,15 +287,12 @@ def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: i
     """Stratified k-fold grid search on ROC-AUC.
 
     Preprocessing has no searched parameters, so it is fitted once per fold and
-    the fold's feature vectors are cached.  The logistic points are fitted on them one by one
-    (JVM fits run concurrently); the points of both tree families, in all folds, are grown by
+    the fold's feature vectors are cached.  The logistic points of a fold are fitted on them
+    together (``logit.fit_points``); the points of both tree families, in all folds, are grown by
     one job over a bounded sample (``trees.search``).  Every point is scored on the held-out
     fold with the exact AUC.  Returns comparison rows (best mean, sd, params) sorted by
     mean AUC and the best classifier per family, unfitted.
     """
-    from concurrent.futures import ThreadPoolExecutor
-    evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                              metricName="areaUnderROC", numBins=0)
     n_train = train.count()
     wooded = [m for m in models if m != "logistic_regression"]
     points: dict[str, list] = {m: tree_candidates(m, seed, fit_rows) for m in wooded}
@@ -302,11 +315,9 @@ def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: i
             continue
         tr = prep.transform(train.where(F.col("fold") != f)).select(*keep).persist()
         va = prep.transform(train.where(F.col("fold") == f)).select(*keep).persist()
-        lr, grid = logistic_candidates(tr.count())
         try:
-            with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-                for i, auc in enumerate(pool.map(lambda pm: evaluator.evaluate(lr.copy(pm).fit(tr).transform(va)), grid)):
-                    scores["logistic_regression", i].append(auc)
+            for i, auc in enumerate(_logistic_aucs(tr, va, parallelism)):
+                scores["logistic_regression", i].append(auc)
         finally:
             tr.unpersist()
             va.unpersist()

@@ -11,7 +11,7 @@ from .cleaning import _part_of, _party_files
 from .modelling import _decisions, scored_metrics
 from .profiling import rounded, sig_wrap
 from .records import QUALITY_TASK, labelled_documents
-from .screening import DOC_DECISIONS_SQL, study_frame
+from .screening import APPROVED_SQL, DOC_ASSOC_SQL, DOC_DECISIONS_SQL, study_frame
 from .tables import table
 
 
@@ -155,3 +155,23 @@ def _metrics_values_sql() -> str:
 
 
 METRICS_VALUES_SQL = _metrics_values_sql()
+
+
+#: Rows of every table of the report bundle, counted from the data.
+REPORT_BUNDLE_SQL = f"""
+WITH profiled AS ({PROFILED_COLUMNS_SQL}), dec AS ({DOC_DECISIONS_SQL}), tables AS (
+  SELECT profile || '_profile' AS "table", count(*) AS n_rows FROM profiled GROUP BY profile
+  UNION ALL SELECT 'associations', count(*) FROM ({DOC_ASSOC_SQL})
+  UNION ALL SELECT 'feature_decisions', count(*) FROM dec
+  UNION ALL SELECT 'decision_summary', count(*) FROM (SELECT DISTINCT action, drop_reason FROM dec)
+  UNION ALL SELECT 'missingness', least(20, count_if("column" LIKE '%\\_missing' ESCAPE '\\')) FROM profiled
+  UNION ALL SELECT 'overview', 10 + count_if("column" LIKE '%\\_missing' ESCAPE '\\') FROM profiled
+  UNION ALL SELECT 'inferential', count(*) FROM ({APPROVED_SQL})
+  UNION ALL SELECT 'model_frame', count(*) FROM documents
+  UNION ALL SELECT 'model_frame_headline', 1
+  UNION ALL SELECT 'model_frame_class_counts', count(*) FROM (SELECT DISTINCT quality FROM documents LEFT JOIN labels USING (doc_id))
+  UNION ALL SELECT 'model_frame_predictors_by_type', count(DISTINCT inferred_type) FROM dec WHERE role = 'predictor' AND action = 'keep'
+  UNION ALL SELECT 'model_frame_leakage', count(*) FROM dec WHERE drop_reason = 'leakage'
+  UNION ALL SELECT 'model_frame_warnings', count(*) FROM dec WHERE notes IS NOT NULL AND notes <> 'identifier_column')
+SELECT "table", CAST(n_rows AS BIGINT) AS n_rows FROM tables
+"""

@@ -240,3 +240,30 @@ SELECT * EXCLUDE (p), round(p, 8) AS p_value, CASE WHEN status <> 'ok' OR p IS N
 
 
 ASSOC_P_SQL = _assoc_p_sql()
+
+
+def document_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fisher's exact test of two 2x2 tables (toxic texts; long texts), as the screen runs it."""
+    f = study_frame(spark, sf_dir).withColumn("long_text", F.when(F.col("n_chars") > 1000, "yes").when(F.col("n_chars").isNotNull(), "no"))
+    t = infer.screen(f, "quality", {"toxic": "binary", "long_text": "binary"}, positive_class=1, n_boot=200, random_state=7)
+    return rounded(t.select("predictor", "test_name", "test_stat", "effect_value", F.round("p_value", 8).alias("p_value"), F.round("fisher_p_value", 8).alias("fisher_p_value"),
+                            "expected_cell_min", "expected_cell_lt5_pct", "n", "status"))
+
+
+def _fisher_sql(col: str, value: str) -> str:
+    mass = ("exp(lgamma(r1 + 1) + lgamma(r2 + 1) + lgamma(c1 + 1) + lgamma(n - c1 + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(r1 - k + 1) - lgamma(c1 - k + 1)"
+            " - lgamma(r2 - c1 + k + 1))")
+    return f"""
+SELECT '{col}' AS predictor, 'fisher_exact' AS test_name, a * d * 1.0 / (b * c) AS test_stat, sqrt(chi2 / n) AS effect_value, round(p, 8) AS p_value, round(p, 8) AS fisher_p_value,
+  emin AS expected_cell_min, under * 25.0 AS expected_cell_lt5_pct, n, 'ok' AS status
+FROM (SELECT *, least(1.0, list_sum(list_filter(masses, lambda m: m <= seen * (1 + 1e-7)))) AS p FROM (
+  SELECT *, list_transform(range(greatest(0, c1 - r2), least(c1, r1) + 1), lambda k: {mass}) AS masses, {mass.replace("(k ", "(a ").replace("- k ", "- a ").replace("+ k ", "+ a ")} AS seen,
+    least(r1, r2) * least(c1, n - c1) * 1.0 / n AS emin, (r1 * c1 < 5 * n)::INT + (r1 * (n - c1) < 5 * n)::INT + (r2 * c1 < 5 * n)::INT + (r2 * (n - c1) < 5 * n)::INT AS under,
+    n * pow(a * d * 1.0 - b * c, 2) / (r1 * 1.0 * r2 * c1 * (n - c1)) AS chi2
+  FROM (SELECT *, a + b AS r1, c + d AS r2, a + c AS c1, a + b + c + d AS n FROM (
+    SELECT count_if(y = 0 AND x = 0)::BIGINT AS a, count_if(y = 0 AND x = 1)::BIGINT AS b, count_if(y = 1 AND x = 0)::BIGINT AS c, count_if(y = 1 AND x = 1)::BIGINT AS d
+    FROM (SELECT quality AS y, {value} AS x FROM j WHERE quality IS NOT NULL)))))"""
+
+
+FISHER_SQL = sig_wrap(_STUDY_SQL + _fisher_sql("toxic", "toxic") + "\nUNION ALL" + _fisher_sql("long_text", "CASE WHEN n_chars > 1000 THEN 1 WHEN n_chars IS NOT NULL THEN 0 END"),
+                      ["test_stat", "effect_value", "p_value", "fisher_p_value", "expected_cell_min", "expected_cell_lt5_pct"])

@@ -1,21 +1,25 @@
 """Predictive runs kept together (S10): comparison, metrics, importances, scores, manifest and model.
 
 A run is written once under ``registry/<task>/<key>`` of the shared folder. The key is made of the
-parameters and a fingerprint of the rows, so a run is found again only for the same study of the
-same data, in this session or a later one. The manifest is written last: a run without it is not
+parameters, a fingerprint of the rows and one of the operators' code, so a run is found again only
+for the same study of the same data by the same code, in this session or a later one. The manifest is written last: a run without it is not
 complete and is not found. Runs of the same key by several writers lie side by side.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
+import inspect
 import json
+import pkgutil
 import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import operators
 from ..session import shared_path
 from . import sinks
 
@@ -28,8 +32,17 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256(f"{df.schema.json()}|{row[0]}|{row[1]}".encode()).hexdigest()
 
 
+def code_digest() -> str:
+    """Digest of the operators' sources: a run made by other code is another run."""
+    h = hashlib.sha256()
+    for module in sorted(m.name for m in pkgutil.iter_modules(operators.__path__)):
+        h.update(inspect.getsource(importlib.import_module(f"{operators.__name__}.{module}")).encode())
+    return h.hexdigest()
+
+
 def key_of(df: DataFrame, params: dict) -> str:
-    return hashlib.sha256(f"{fingerprint(df)}|{json.dumps(params, sort_keys=True, default=str)}".encode()).hexdigest()[:32]
+    """Name of a run: what it was made from, with which parameters, by which code."""
+    return hashlib.sha256(f"{fingerprint(df)}|{json.dumps(params, sort_keys=True, default=str)}|{code_digest()}".encode()).hexdigest()[:32]
 
 
 def _home(spark: SparkSession, task: str, key: str) -> str:

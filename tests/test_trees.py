@@ -2,6 +2,7 @@
 
 import json
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -163,7 +164,8 @@ def test_gap_rule_both_ways():
 
 
 def test_full_run_registry_and_saved_model(spark, rows):
-    task, params = "trees test", {"cv_folds": 3, "n_boot": 200, "random_state": 7}
+    # runs of earlier sessions stay in a shared folder: the name makes this one new
+    task, params = f"trees test {uuid.uuid4().hex}", {"cv_folds": 3, "n_boot": 200, "random_state": 7}
     key = registry.key_of(rows, params)
     assert key == registry.key_of(rows.repartition(6), params)
     assert key != registry.key_of(rows.where("id > 0"), params) and key != registry.key_of(rows, params | {"cv_folds": 4})
