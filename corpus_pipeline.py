@@ -64,7 +64,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 2048 tokens."""
-    return packing.best_fit_pack(docs, queries.tokenizer_path())
+    return packing.best_fit_pack(docs, queries.tokenizer_path(), keep_learned=False)
 
 
 STAGES = [

@@ -16,6 +16,8 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
+from .arrowtext import release
+
 # Character classes of the split pattern below U+0250 (letters, numbers,
 # white space), on which all Unicode versions agree. Texts with other characters are
 # split by the tokenizer library itself.
@@ -196,6 +198,19 @@ def shared(kind: type, path: str):
     return kind(path)
 
 
+def forgetful(mapper):
+    """A mapper after whose tasks the worker keeps no encoder, counter or tokenizer."""
+
+    def run(batches):
+        try:
+            yield from mapper(batches)
+        finally:
+            shared.cache_clear()
+            release()
+
+    return run
+
+
 class IdEncoder:
     """Token ids of whole texts.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from studyframe.session import materialize
 
 from .arrowtext import per_slice, text_bytes
-from .bpe import IdEncoder, shared
+from .bpe import IdEncoder, forgetful, shared
 
 
 def cut_lengths(n: int, limit: int) -> list[int]:
@@ -35,7 +35,7 @@ def cut_lengths(n: int, limit: int) -> list[int]:
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text",
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, keep_learned: bool = True) -> DataFrame:
     """A row per piece: id, piece, start, length, ids_crc32, and the ids themselves if asked for."""
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -68,7 +68,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, limit: int, id_col: str = "
         return work
 
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return df.select(id_col, text_col).mapInArrow(per_slice(make, text_col), schema)
+    mapper = per_slice(make, text_col)
+    return df.select(id_col, text_col).mapInArrow(mapper if keep_learned else forgetful(mapper), schema)
 
 
 class OpenBins:
@@ -133,7 +134,11 @@ def pack_pieces(pieces: DataFrame, limit: int, open_bins: int, part_rows: int, i
 
 
 def best_fit_pack(df: DataFrame, tokenizer_path: str, limit: int = 2048, open_bins: int = 1024, part_rows: int = 200_000,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pack all rows; one row per piece with its sequence and place there."""
-    pieces = materialize(token_pieces(df, tokenizer_path, limit, id_col, text_col), "pieces")
+                  id_col: str = "doc_id", text_col: str = "text", keep_learned: bool = True) -> DataFrame:
+    """Pack all rows; one row per piece with its sequence and place there.
+
+    Without ``keep_learned`` each task gives its tokenizer and learned pieces back, so that the
+    workers hold none of it in the stages that follow.
+    """
+    pieces = materialize(token_pieces(df, tokenizer_path, limit, id_col, text_col, keep_learned=keep_learned), "pieces")
     return pack_pieces(pieces, limit, open_bins, part_rows, id_col)
