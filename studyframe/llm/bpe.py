@@ -155,7 +155,9 @@ class Pieces:
 #: Memory of one entry beside the bytes of its key and value, about.
 ENTRY_BYTES = 200
 #: Memory of the pieces kept by one encoder or counter: twice this at most, and one batch.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 64 << 20
+#: The same for tasks that share their worker's memory with other stages.
+FEW_KEPT_BYTES = 16 << 20
 
 
 class Recent(dict):
@@ -193,9 +195,9 @@ class Recent(dict):
 
 
 @lru_cache(maxsize=2)
-def shared(kind: type, path: str):
+def shared(kind: type, path: str, kept_bytes: int = KEPT_BYTES):
     """One encoder or counter for all tasks of a worker process, so what it has learned stays."""
-    return kind(path)
+    return kind(path, kept_bytes)
 
 
 def forgetful(mapper):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from studyframe.session import materialize
 
 from .arrowtext import per_slice, text_bytes
-from .bpe import IdEncoder, forgetful, shared
+from .bpe import FEW_KEPT_BYTES, KEPT_BYTES, IdEncoder, forgetful, shared
 
 
 def cut_lengths(n: int, limit: int) -> list[int]:
@@ -40,7 +40,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, limit: int, id_col: str = "
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        encoder = shared(IdEncoder, tokenizer_path)
+        encoder = shared(IdEncoder, tokenizer_path, KEPT_BYTES if keep_learned else FEW_KEPT_BYTES)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, at = encoder.encode(*text_bytes(batch.column(1)))
