@@ -14,13 +14,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Features up to which the Hessians are made; wider data is fitted point by point.
 MOST_FEATURES = 400
+#: Features of the rows that are added up at once, about.
+CELLS = 1 << 18
 #: Steps at most, and the largest gradient that ends them.
 STEPS, CLOSE = 60, 1e-9
 
@@ -34,32 +36,47 @@ class Point:
     beta: np.ndarray | None = None
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    x = np.stack(pdf["features"].to_numpy())
-    return np.concatenate([x, np.ones((len(x), 1))], 1)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """(features with a last column of ones, all columns) of about CELLS features at a time; features come first."""
+    held, rows = [], 0
+
+    def block():
+        table = pa.Table.from_batches(held)
+        # the lists of a column lie end to end
+        x = table.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+        return np.concatenate([x, np.ones((rows, 1))], 1), table
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if sum(len(b.column(0).flatten()) for b in held) >= CELLS:
+            yield block()
+            held, rows = [], 0
+    if held:
+        yield block()
 
 
 def _sums(rows: DataFrame, weights: list[str], trial: list[tuple[str, np.ndarray]]) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
     """(weight, loss, gradient, Hessian) of each (weight column, coefficients), summed over all rows."""
     size = len(trial[0][1])
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(trial), 2 + size + size * size))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, y = _matrix(pdf), pdf["label"].to_numpy()
+        for x, table in _blocks(batches):
+            y = table.column("label").to_numpy()
             for k, (weight, beta) in enumerate(trial):
-                w = pdf[weight].to_numpy()
+                w = table.column(weight).to_numpy()
                 eta = x @ beta
                 mu = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
                 total[k, 0] += w.sum()
                 total[k, 1] += (w * (np.logaddexp(0, eta) - y * eta)).sum()
                 total[k, 2:2 + size] += x.T @ (w * (mu - y))
                 total[k, 2 + size:] += ((x * (w * mu * (1 - mu))[:, None]).T @ x).ravel()
-        yield pd.DataFrame({"sums": [total.astype("<f8").tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["sums"])
 
-    parts = rows.mapInPandas(add, "sums binary").collect()  # one small matrix a task
+    parts = rows.mapInArrow(add, "sums binary").collect()  # one small matrix a task
     total = sum(np.frombuffer(p["sums"], "<f8") for p in parts).reshape(len(trial), -1)
     return [(t[0], t[1], t[2:2 + size], t[2 + size:].reshape(size, size)) for t in total]
 
@@ -102,12 +119,11 @@ def scores(rows: DataFrame, points: list[Point]) -> DataFrame:
     """(label, s0, s1, ...): the linear score of every point, for ranking."""
     betas = np.stack([p.beta for p in points], 1)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                out = pd.DataFrame(_matrix(pdf) @ betas, columns=[f"s{k}" for k in range(len(points))])
-                out.insert(0, "label", pdf["label"].to_numpy())
-                yield out
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, table in _blocks(batches):
+            got = x @ betas
+            yield pa.RecordBatch.from_arrays([table.column("label").combine_chunks(), *(pa.array(got[:, k]) for k in range(len(points)))],
+                                             ["label", *(f"s{k}" for k in range(len(points)))])
 
     data = rows.select(vector_to_array("features").alias("features"), F.col("label").cast("double").alias("label"))
-    return data.mapInPandas(work, "label double, " + ", ".join(f"s{k} double" for k in range(len(points))))
+    return data.mapInArrow(work, "label double, " + ", ".join(f"s{k} double" for k in range(len(points))))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
@@ -226,7 +227,7 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
     train = train.checkpoint(eager=True)  # reused by every fit: cut lineage once
     n_train = train.count()
     pre = preprocessor(train, list(predictors))
-    comparison, fitted = grid_search(train, pre, cv_folds, parallelism, [m for m in FAMILIES if m in models], random_state, fit_rows)
+    comparison, fitted, preps = grid_search(train, pre, cv_folds, parallelism, [m for m in FAMILIES if m in models], random_state, fit_rows)
     comp_df = spark.createDataFrame(comparison, "model_name string, best_cv_auc_mean double, "
                                                 "best_cv_auc_std double, best_params string")
     best_name = comparison[0][0]
@@ -238,7 +239,7 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
     if threshold_strategy == "fixed":
         threshold = 0.5
     else:
-        oof = out_of_fold(train, best_pipe, {}, cv_folds)
+        oof = out_of_fold(train, best_clf, preps, parallelism)
         scan = D.threshold_scan(oof, "label", "p")
         threshold = (D.youden_threshold(scan) if threshold_strategy == "youden"
                      else D.min_sensitivity_threshold(scan, min_sensitivity_target))
@@ -270,7 +271,6 @@ def _logistic_aucs(tr: DataFrame, va: DataFrame, parallelism: int) -> list[float
         held = logit.scores(va, points).withColumn("_y", F.col("label").cast("int"))
         got = {r["column"]: r for r in infer.mann_whitney(infer.class_value_table(held, "_y", names)).collect()}
         return [float(got[c]["u1"] / (got[c]["n1"] * got[c]["n0"])) if c in got and got[c]["n1"] and got[c]["n0"] else math.nan for c in names]
-    from concurrent.futures import ThreadPoolExecutor
     evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         return list(pool.map(lambda pm: evaluator.evaluate(lr.copy(pm).fit(tr).transform(va)), grid))
@@ -290,8 +290,9 @@ def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: i
     the fold's feature vectors are cached.  The logistic points of a fold are fitted on them
     together (``logit.fit_points``); the points of both tree families, in all folds, are grown by
     one job over a bounded sample (``trees.search``).  Every point is scored on the held-out
-    fold with the exact AUC.  Returns comparison rows (best mean, sd, params) sorted by
-    mean AUC and the best classifier per family, unfitted.
+    fold with the exact AUC.  ``parallelism`` folds run at a time, so that the many small jobs of
+    one fill the gaps of another.  Returns comparison rows (best mean, sd, params) sorted by
+    mean AUC, the best classifier per family, unfitted, and the fitted preprocessing of each fold.
     """
     n_train = train.count()
     wooded = [m for m in models if m != "logistic_regression"]
@@ -303,24 +304,30 @@ def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: i
     keep = ["features", "label", "w_one", "w_balanced", trees.PICK]
     picked = min(1.0, fit_rows / max(n_train, 1))
     sampled = train.where(F.col(trees.PICK) < picked)
-    folds = []
-    for f in range(k):
+
+    def one_fold(f: int):
         prep = Pipeline(stages=list(pre)).fit(train.where(F.col("fold") != f))
+        wood, aucs = None, []
         if wooded:
             x, y, w = trees.collect_sample(prep.transform(sampled.where(F.col("fold") != f)).select(*keep), fit_rows, ("w_balanced",), picked)
             held, truth, _ = trees.collect_sample(prep.transform(sampled.where(F.col("fold") == f)).select(*keep), fit_rows, (), picked)
             data = trees.binned(x, y, w["w_balanced"].to_numpy(float))
-            folds.append((data, data.of(held), truth))
-        if "logistic_regression" not in models:
-            continue
-        tr = prep.transform(train.where(F.col("fold") != f)).select(*keep).persist()
-        va = prep.transform(train.where(F.col("fold") == f)).select(*keep).persist()
-        try:
-            for i, auc in enumerate(_logistic_aucs(tr, va, parallelism)):
-                scores["logistic_regression", i].append(auc)
-        finally:
-            tr.unpersist()
-            va.unpersist()
+            wood = data, data.of(held), truth
+        if "logistic_regression" in models:
+            tr = prep.transform(train.where(F.col("fold") != f)).select(*keep).persist()
+            va = prep.transform(train.where(F.col("fold") == f)).select(*keep).persist()
+            try:
+                aucs = _logistic_aucs(tr, va, parallelism)
+            finally:
+                tr.unpersist()
+                va.unpersist()
+        return prep, wood, aucs
+
+    ran = _side_by_side(one_fold, k, parallelism)
+    for _, _, aucs in ran:
+        for i, auc in enumerate(aucs):
+            scores["logistic_regression", i].append(auc)
+    folds = [wood for _, wood, _ in ran if wood is not None]
     scores |= trees.search(train.sparkSession, folds, wooded, seed)
     rows, best = [], {}
     for name in models:
@@ -334,16 +341,26 @@ def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: i
         best[name] = points[name][-i]
         rows.append((name, float(mean), float(sd), _params_text(best[name])))
     rows.sort(key=lambda r: -1.0 if math.isnan(r[1]) else r[1], reverse=True)
-    return rows, best
+    return rows, best, [prep for prep, _, _ in ran]
+
+
+def _side_by_side(work, k: int, parallelism: int) -> list:
+    """``work`` of the folds 0 to k-1, ``parallelism`` of them at a time; results in order of the folds."""
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+        return list(pool.map(work, range(k)))
+
+
+def out_of_fold(train: DataFrame, clf, preps: list, parallelism: int = 4) -> DataFrame:
+    """One refit of ``clf`` a fold, on the fold's fitted preprocessing, each scoring its
+    held-out fold; union of the scored folds."""
 
+    def one_fold(f: int) -> DataFrame:
+        m = clf.fit(preps[f].transform(train.where(F.col("fold") != f)))
+        held = preps[f].transform(train.where(F.col("fold") == f))
+        return m.transform(held).select(F.col("label").cast("int").alias("label"), _p1().alias("p"))
 
-def out_of_fold(train: DataFrame, pipe: Pipeline, params: dict, k: int) -> DataFrame:
-    """K refits, each scoring its held-out fold; union of the scored folds."""
     parts = None
-    for f in range(k):
-        m = pipe.copy(params).fit(train.where(F.col("fold") != f))
-        s = m.transform(train.where(F.col("fold") == f)).select(F.col("label").cast("int").alias("label"),
-                                                                 _p1().alias("p"))
+    for s in _side_by_side(one_fold, len(preps), parallelism):
         parts = s if parts is None else parts.unionByName(s)
     return parts
 

@@ -52,3 +52,12 @@ def test_separable_and_one_sided_data_end(spark):
     assert all(np.isfinite(p.beta).all() and p.beta[0] > 0 for p in points)
     one = logit.fit_points(df.where("x > 50"), [logit.Point(0.1, "w_one")], 1)[0]
     assert np.isfinite(one.beta).all()
+
+
+def test_preprocessing_is_fitted_once_a_fold(spark, monkeypatch):
+    rows = [(i, float((i * 31) % 17), ["u", "v"][i % 2], int((i * 7919) % 100 < 40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, g string, y int")
+    fits, fit = [], model.ModeFill._fit
+    monkeypatch.setattr(model.ModeFill, "_fit", lambda self, dataset: fits.append(1) or fit(self, dataset))
+    model.run(df, "y", ["x", "g"], positive_class=1, key_cols=("id",), cv_folds=3, n_boot=200, models=("logistic_regression",))
+    assert len(fits) == 4  # each fold's, and that of all training rows
