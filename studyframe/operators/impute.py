@@ -15,6 +15,10 @@ from ..session import discard, materialize
 from . import profile, ranking, ranks
 
 
+#: Rows that a task of a forest fit holds, about: MLlib keeps them with a count for each tree.
+FIT_ROWS_A_TASK = 50_000
+
+
 def _is_numeric(t) -> bool:
     return isinstance(t, T.NumericType) and not isinstance(t, T.BooleanType)
 
@@ -69,7 +73,8 @@ def iterative_impute(df: DataFrame, cols, n_trees: int = 50, max_iter: int = 10,
     predicts the missing entries.  Stops when the largest change relative to the
     largest value falls under ``tol``.  Integer columns are floored.  Each column's step
     is written to the shared folder: the next forest reads it instead of replaying the
-    last one, and a lost executor costs one step.
+    last one, and a lost executor costs one step. However the input lies in files, a task of a
+    fit gets about ``FIT_ROWS_A_TASK`` rows at most.
     """
     cols = [c for c in cols if c in df.columns and _is_numeric(df.schema[c].dataType)]
     if not cols:
@@ -82,6 +87,7 @@ def iterative_impute(df: DataFrame, cols, n_trees: int = 50, max_iter: int = 10,
         work = work.withColumn(f"_cur_{c}", F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(means[c])))
     if len(cols) > 1:
         work = materialize(work, "impute-start")
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(work.count() / FIT_ROWS_A_TASK))
         for _ in range(max_iter):
             work = work.withColumns({f"_prev_{c}": F.col(f"_cur_{c}") for c in cols})
             before = work
@@ -90,7 +96,8 @@ def iterative_impute(df: DataFrame, cols, n_trees: int = 50, max_iter: int = 10,
                 asm = VectorAssembler(inputCols=others, outputCol="_feat")
                 rf = RandomForestRegressor(featuresCol="_feat", labelCol=f"_cur_{c}", numTrees=n_trees,
                                            seed=seed, predictionCol="_pred")
-                model = Pipeline(stages=[asm, rf]).fit(work.where(F.col(f"_obs_{c}")))
+                seen = work.where(F.col(f"_obs_{c}")).select(f"_cur_{c}", *others).repartition(parts)
+                model = Pipeline(stages=[asm, rf]).fit(seen)
                 pred = model.transform(work).drop("_feat")
                 pred = pred.withColumn(f"_cur_{c}", F.when(F.col(f"_obs_{c}"), F.col(f"_cur_{c}"))
                                        .otherwise(F.col("_pred"))).drop("_pred")

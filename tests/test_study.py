@@ -74,6 +74,16 @@ def test_iterative_impute_fills_and_floors(spark):
     assert dict(out.dtypes)["b"] == "bigint"
 
 
+def test_iterative_impute_fits_on_bounded_partitions(spark, monkeypatch):
+    rows = [(i, float(i) if i % 4 else None, i * 2 if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b long").coalesce(1)
+    most, fit = [], impute.Pipeline.fit
+    monkeypatch.setattr(impute, "FIT_ROWS_A_TASK", 6, raising=False)
+    monkeypatch.setattr(impute.Pipeline, "fit", lambda self, d: most.append(max(d.rdd.glom().map(len).collect())) or fit(self, d))
+    out = impute.iterative_impute(df, ["a", "b"], n_trees=5, max_iter=1)
+    assert out.count() == 60 and len(most) == 2 and max(most) <= 8
+
+
 def test_model_grids(spark):
     assert len(model.logistic_candidates(100)[1]) == 6
     points = [json.loads(c.getOrDefault("points")) for c in model.tree_candidates("random_forest")]
