@@ -217,6 +217,8 @@ class ForestBatch:
         # pairs in order of their nodes, so that a stretch of nodes is a stretch of pairs
         sort = np.argsort(self.at, kind="stable")
         ends = np.cumsum(number)
+        # a feature's histogram is as wide as the next power of two of its bins: most one-hot features need two cells
+        width = np.array([1 << max(1, len(c).bit_length()) for c in self.data.cuts])
         for tried in range(0, p, self.tried):
             failed = []
             for k in range(0, len(todo), step):
@@ -227,22 +229,38 @@ class ForestBatch:
                 idx = sort[np.repeat(ends[nodes] - lengths, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)]
                 local = np.repeat(np.arange(len(nodes)), lengths)
                 bins = self.data.x[self.row[idx, None], picked[local]]
-                cell = ((local[:, None] * m + np.arange(m)) * BINS + bins).ravel()
-                shape, cells = (len(nodes), m, BINS), len(nodes) * m * BINS
-                l1 = np.bincount(cell, np.repeat(self.w1[idx], m), cells).reshape(shape).cumsum(2)
-                l0 = np.bincount(cell, np.repeat(self.w0[idx], m), cells).reshape(shape).cumsum(2)
-                ln = np.bincount(cell, minlength=cells).reshape(shape).cumsum(2)
-                r1, r0, rn = t1[nodes, None, None] - l1, t0[nodes, None, None] - l0, lengths[:, None, None] - ln
-                fine = (ln >= self.min_leaf) & (rn >= self.min_leaf)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = (l1 * l1 + l0 * l0) / (l1 + l0) + (r1 * r1 + r0 * r0) / (r1 + r0)
-                score = np.where(fine, score, -np.inf).reshape(len(nodes), -1)
-                best = score.argmax(1)
-                top = score[np.arange(len(nodes)), best]
+                # histograms (node, feature) of one width lie side by side
+                wide = width[picked].ravel()
+                by_width = np.argsort(wide, kind="stable")
+                begin = np.empty(len(wide), np.int64)
+                begin[by_width] = np.cumsum(wide[by_width]) - wide[by_width]
+                cells = int(wide.sum())
+                cell = (begin.reshape(-1, m)[local] + bins).ravel()
+                h1 = np.bincount(cell, np.repeat(self.w1[idx], m), cells)
+                h0 = np.bincount(cell, np.repeat(self.w0[idx], m), cells)
+                hn = np.bincount(cell, minlength=cells)
+                top, at_bin = np.empty(len(wide)), np.empty(len(wide), np.int64)
+                start = 0
+                for size, times in zip(*np.unique(wide, return_counts=True)):
+                    own, spot = by_width[start:start + times], begin[by_width[start]]
+                    start += times
+                    l1, l0, ln = (h[spot:spot + times * size].reshape(times, size).cumsum(1) for h in (h1, h0, hn))
+                    node = own // m
+                    of = nodes[node]
+                    r1, r0, rn = t1[of, None] - l1, t0[of, None] - l0, lengths[node, None] - ln
+                    fine = (ln >= self.min_leaf) & (rn >= self.min_leaf)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = (l1 * l1 + l0 * l0) / (l1 + l0) + (r1 * r1 + r0 * r0) / (r1 + r0)
+                    score = np.where(fine, score, -np.inf)
+                    best = score.argmax(1)
+                    at_bin[own], top[own] = best, score[np.arange(times), best]
+                # the first of equally good features, in the order drawn
+                best = top.reshape(-1, m).argmax(1) + m * np.arange(len(nodes))
+                top = top[best]
                 ok = top > -np.inf
                 done = nodes[ok]
-                feature[done] = picked[ok, best[ok] // BINS]
-                cut[done] = best[ok] % BINS
+                feature[done] = picked.ravel()[best[ok]]
+                cut[done] = at_bin[best[ok]]
                 gain[done] = np.maximum(top[ok] - (t1[done] ** 2 + t0[done] ** 2) / (t1[done] + t0[done]), 0)
                 failed.append(nodes[~ok])
             todo = np.concatenate(failed)
@@ -385,9 +403,10 @@ def batches_of(n: int, counts: list[int]) -> list[range]:
 
 
 def _spread_units(spark: SparkSession, units: list[tuple]) -> DataFrame:
-    """The work table: one JSON row a unit, dealt evenly over the cluster."""
+    """The work table: one JSON row a unit, dealt in turn, so that long units which follow each other go to different tasks."""
     slots = min(len(units), 4 * spark.sparkContext.defaultParallelism)
-    return spark.createDataFrame([(i * slots // len(units), json.dumps(u)) for i, u in enumerate(units)], "slot int, unit string").repartition(slots, "slot")
+    rows = spark.sparkContext.parallelize([[json.dumps(u) for u in units[k::slots]] for k in range(slots)], slots)
+    return spark.createDataFrame(rows.flatMap(lambda own: [(u,) for u in own]), "unit string")
 
 
 def search(spark: SparkSession, folds: list[tuple[Binned, np.ndarray, np.ndarray]], families: list[str], seed: int) -> dict[tuple[str, int], list[float]]:

@@ -190,3 +190,21 @@ def test_full_run_registry_and_saved_model(spark, rows):
     other = registry.key_of(rows, {"other": 1})
     result["comparison"].write.parquet(f"{registry._home(spark, task, other)}/x/comparison")
     assert registry.find(spark, task, other) is None
+
+
+def test_histograms_are_as_wide_as_the_features(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 2, (100, 36)).astype(float), rng.integers(0, 2, 100).astype(float)
+    data, cells, bincount = trees.binned(x, y, np.ones(100)), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda a, weights=None, minlength=0: cells.append(minlength) or bincount(a, weights, minlength))
+    batch = trees.ForestBatch(data, np.ones(100), 1, range(2), 1, 1, None)
+    # two trees, six features tried a node, two cells a feature; 100 are the drawn rows
+    assert max(cells) <= 100 and sum(len(f) for f in batch.feature) == 6
+
+
+def test_long_units_are_dealt_to_different_tasks(spark):
+    slots = 4 * spark.sparkContext.defaultParallelism
+    units = [("boost", k) for k in range(slots)] + [("forest", k) for k in range(9 * slots)]
+    parts = trees._spread_units(spark, units).select(F.spark_partition_id().alias("part"), "unit").groupBy("part").agg(
+        F.count("*").alias("n"), F.count_if(F.col("unit").contains("boost")).alias("long")).collect()
+    assert [(r["n"], r["long"]) for r in parts] == [(10, 1)] * slots
