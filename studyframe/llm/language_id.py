@@ -30,6 +30,8 @@ from studyframe.session import materialize
 from .arrowtext import per_slice, slices, text_bytes, tidy
 
 TABLE = 1 << 14
+#: Bytes of text handled at once: each takes some 60 bytes while it is scored.
+AT_ONCE = 1 << 18
 DECLARED_RIGHT = 0.95
 HOST_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0
 UND_PRIOR = 1e-3
@@ -76,7 +78,7 @@ def fit_tables(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", AT_ONCE):
                 languages = part.column(1).to_pylist()
                 data, offsets = text_bytes(part.column(0))
                 for lang in set(languages):
@@ -140,7 +142,7 @@ def score_evidence(docs: DataFrame, languages: list[str], table: np.ndarray, kee
         return work
 
     chosen = docs.select(*(F.col(c).alias(m) for m, c in zip(names, keep)), F.col("text").alias("_text"), F.col("declared").alias("_declared"))
-    out = chosen.mapInArrow(per_slice(make, "_text"), schema)
+    out = chosen.mapInArrow(per_slice(make, "_text", AT_ONCE), schema)
     return out.withColumnsRenamed(dict(zip(names, keep)))
 
 

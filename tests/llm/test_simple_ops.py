@@ -349,3 +349,25 @@ def test_kept_pieces_stay_under_their_bound_in_bytes(library):
         long[str(k)] = b"x" * 5_000
         long.turn()
     assert len(long) + len(long.old) < 8
+
+
+def test_language_scores_take_little_memory(spark, monkeypatch):
+    """A worker's peak over a batch of 2 MB, as the mapper runs it."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from studyframe.llm import language_id
+
+    docs = spark.createDataFrame([(1, "a", "de")], "id long, text string, declared string")
+    mappers = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: mappers.append(f) or spark.createDataFrame([], schema))
+    language_id.score_evidence(docs, ["de", "en", "fr"], np.zeros((language_id.TABLE, 3)), ["id"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["some words " * 190] * 1000), pa.array(["de"] * 1000)], ["c0", "_text", "_declared"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in mappers[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print(f"peak {peak / 1e6:.1f} MB")
+    assert rows == 1000 and peak < 30e6
