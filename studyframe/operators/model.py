@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import discard
 from . import diagnostics as D
 from . import infer, logit, ranks, trees
 
@@ -180,8 +181,8 @@ def logistic_candidates(n_train: int):
                 .addGrid(lr.weightCol, ["w_one", "w_balanced"]).build())
 
 
-def tree_candidates(family: str, seed: int = 42, fit_rows: int = trees.FIT_ROWS) -> list[trees.TreesClassifier]:
-    """One unfitted classifier a grid point."""
+def tree_candidates(family: str, seed: int = 42, fit_rows: int = 0) -> list[trees.TreesClassifier]:
+    """One unfitted classifier a grid point; all rows are fitted unless ``fit_rows`` says how many."""
     grid = trees.FOREST_GRID if family == "random_forest" else trees.BOOST_GRID
     return [trees.TreesClassifier(family=family, points=json.dumps(p), seed=seed, fitRows=fit_rows) for p in trees.grid_points(grid)]
 
@@ -199,15 +200,13 @@ def _params_text(clf) -> str:
 def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_id",), test_size: float = 0.2,
         cv_folds: int = 5, n_boot: int = 1000, ci_level: float = 0.95, threshold_strategy: str = "youden",
         min_sensitivity_target: float = 0.75, random_state: int = 42, parallelism: int = 4,
-        models=FAMILIES, fit_rows: int = trees.FIT_ROWS) -> dict:
+        models=FAMILIES) -> dict:
     """L20 (L13 fixed 0.5, L11/L12 scanned thresholds): split → grid search per
     model family → pick best mean AUC → threshold from out-of-fold probabilities
     → held-out metrics.  Returns DataFrames:
     comparison, metrics, importance, scored_test, plus the fitted model.
 
-    The logistic family uses all training rows.  The two tree families are searched and fitted
-    on about ``fit_rows`` of them at most, picked by a hash of the key; their thresholds,
-    out-of-fold scores and metrics are those of all rows."""
+    All families are searched and fitted on all training rows."""
     wrong = [text for text, ok in (("test_size is below one half and above 0", 0 < test_size < 0.5), ("cv_folds is 3 or more", cv_folds >= 3),
                                    ("n_boot is 200 or more", n_boot >= 200)) if not ok]
     if wrong:
@@ -227,7 +226,7 @@ def run(df: DataFrame, target: str, predictors, positive_class, key_cols=("row_i
     train = train.checkpoint(eager=True)  # reused by every fit: cut lineage once
     n_train = train.count()
     pre = preprocessor(train, list(predictors))
-    comparison, fitted, preps = grid_search(train, pre, cv_folds, parallelism, [m for m in FAMILIES if m in models], random_state, fit_rows)
+    comparison, fitted, preps = grid_search(train, pre, cv_folds, parallelism, [m for m in FAMILIES if m in models], random_state)
     comp_df = spark.createDataFrame(comparison, "model_name string, best_cv_auc_mean double, "
                                                 "best_cv_auc_std double, best_params string")
     best_name = comparison[0][0]
@@ -283,44 +282,40 @@ def gap_warning(comparison: list[tuple]) -> str | None:
     return None
 
 
-def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: int = 42, fit_rows: int = trees.FIT_ROWS):
+def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: int = 42):
     """Stratified k-fold grid search on ROC-AUC.
 
     Preprocessing has no searched parameters, so it is fitted once per fold and
     the fold's feature vectors are cached.  The logistic points of a fold are fitted on them
     together (``logit.fit_points``); the points of both tree families, in all folds, are grown by
-    one job over a bounded sample (``trees.search``).  Every point is scored on the held-out
-    fold with the exact AUC.  ``parallelism`` folds run at a time, so that the many small jobs of
+    one job over all rows of the folds (``trees.store``, ``trees.search``).  Every point is scored on the
+    whole held-out fold with the exact AUC.  ``parallelism`` folds run at a time, so that the many small jobs of
     one fill the gaps of another.  Returns comparison rows (best mean, sd, params) sorted by
     mean AUC, the best classifier per family, unfitted, and the fitted preprocessing of each fold.
     """
     n_train = train.count()
     wooded = [m for m in models if m != "logistic_regression"]
-    points: dict[str, list] = {m: tree_candidates(m, seed, fit_rows) for m in wooded}
+    points: dict[str, list] = {m: tree_candidates(m, seed) for m in wooded}
     if "logistic_regression" in models:
         lr, grid = logistic_candidates(n_train)
         points["logistic_regression"] = [lr.copy(pm) for pm in grid]
     scores = {(name, i): [] for name, grid in points.items() for i in range(len(grid))}
     keep = ["features", "label", "w_one", "w_balanced", trees.PICK]
-    picked = min(1.0, fit_rows / max(n_train, 1))
-    sampled = train.where(F.col(trees.PICK) < picked)
+    weights = {r["label"]: r["w"] for r in train.groupBy("label").agg(F.max("w_balanced").alias("w")).collect()}
 
     def one_fold(f: int):
         prep = Pipeline(stages=list(pre)).fit(train.where(F.col("fold") != f))
         wood, aucs = None, []
-        if wooded:
-            x, y, w = trees.collect_sample(prep.transform(sampled.where(F.col("fold") != f)).select(*keep), fit_rows, ("w_balanced",), picked)
-            held, truth, _ = trees.collect_sample(prep.transform(sampled.where(F.col("fold") == f)).select(*keep), fit_rows, (), picked)
-            data = trees.binned(x, y, w["w_balanced"].to_numpy(float))
-            wood = data, data.of(held), truth
-        if "logistic_regression" in models:
-            tr = prep.transform(train.where(F.col("fold") != f)).select(*keep).persist()
-            va = prep.transform(train.where(F.col("fold") == f)).select(*keep).persist()
-            try:
+        tr = prep.transform(train.where(F.col("fold") != f)).select(*keep).persist()
+        va = prep.transform(train.where(F.col("fold") == f)).select(*keep).persist()
+        try:
+            if wooded:
+                wood = trees.store(tr, va, (weights.get(0.0, 0.0), weights.get(1.0, 0.0)))
+            if "logistic_regression" in models:
                 aucs = _logistic_aucs(tr, va, parallelism)
-            finally:
-                tr.unpersist()
-                va.unpersist()
+        finally:
+            tr.unpersist()
+            va.unpersist()
         return prep, wood, aucs
 
     ran = _side_by_side(one_fold, k, parallelism)
@@ -329,6 +324,8 @@ def grid_search(train: DataFrame, pre, k: int, parallelism: int, models, seed: i
             scores["logistic_regression", i].append(auc)
     folds = [wood for _, wood, _ in ran if wood is not None]
     scores |= trees.search(train.sparkSession, folds, wooded, seed)
+    for wood in folds:
+        discard(wood.blocks)
     rows, best = [], {}
     for name in models:
         stats = []

@@ -277,7 +277,7 @@ def document_logistic_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Parameters of the full search, which name its entry in the registry.
 SEARCH = {"positive_class": 1, "key_cols": ["doc_id"], "test_size": 0.2, "cv_folds": 5, "n_boot": 1000, "ci_level": 0.95,
-          "threshold_strategy": "youden", "min_sensitivity_target": 0.75, "random_state": 42, "models": list(model.FAMILIES), "fit_rows": 20_000}
+          "threshold_strategy": "youden", "min_sensitivity_target": 0.75, "random_state": 42, "models": list(model.FAMILIES)}
 TASK = "document quality"
 
 
